@@ -91,6 +91,7 @@ def percent_label(value: str | Column, digits: int = 1) -> Column:
 
 
 def mean_std_label(mean: str | Column, std: str | Column) -> Column:
+    """Three digits; halves round up, as `round` does in SQL."""
     return F.format_string("%.3f ± %.3f", col(mean), col(std))
 
 
