@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .base import col, find_all, first_match, last, let, none_if_empty, strip, to_double
+from .base import col, digits_to_double, find_all, first_match, last, let, none_if_empty, strip, to_double
 
 
 def base_text(annotated: str | Column) -> Column:
@@ -28,29 +28,36 @@ def numeric_candidate(text: str | Column) -> Column:
 
 def hash_answer(text: str | Column) -> Column:
     """Answer on the last `####` line: its number if it has one, else the text itself."""
-    payload = strip(last(find_all(col(text), V.HASH_LINE, 1)))
-    return F.coalesce(numeric_candidate(payload), payload)
+    text = col(text)
+    payload = strip(last(find_all(text, V.HASH_LINE, 1)))
+    return F.when(text.contains("####"), let(payload, lambda p: F.coalesce(numeric_candidate(p), p)))
 
 
-def answer_phrase(text: str | Column) -> Column:
-    """What follows the last phrase that introduces an answer (on a tie the earlier pattern wins)."""
-    text = col(text)
+def _latest_phrase(text: Column, patterns: tuple[str, ...]) -> Column:
+    """First group of the match that starts last among all patterns; on a tie the earlier pattern wins."""
 
     def hit(order: int, pattern: str) -> Column:
-        matched = last(find_all(text, pattern))
-        start = F.length(text) - F.length(last(F.split(text, pattern, -1))) - F.length(matched)
-        return F.when(
-            matched.isNotNull(),
-            F.struct(
-                start.alias("start"),
-                F.lit(-order).alias("preference"),
-                strip(F.regexp_extract(matched, pattern, 1)).alias("payload"),
-            ),
-        )
-
-    hits = F.array(*[hit(i, p) for i, p in enumerate(V.PHRASES)])
+        def found(matched: Column) -> Column:
+            start = F.length(text) - F.length(last(F.split(text, pattern, -1))) - F.length(matched)
+            return F.when(
+                matched.isNotNull(),
+                F.struct(
+                    start.alias("start"),
+                    F.lit(-order).alias("preference"),
+                    F.regexp_extract(matched, pattern, 1).alias("payload"),
+                ),
+            )
+
+        return let(last(find_all(text, pattern)), found)
+
+    hits = F.array(*[hit(i, p) for i, p in enumerate(patterns)])
     latest = F.array_max(F.filter(hits, lambda h: h.isNotNull()))
-    return F.when(text.rlike("(?i)answer"), none_if_empty(latest["payload"]))
+    return F.when(text.rlike("(?i)answer"), latest["payload"])
+
+
+def answer_phrase(text: str | Column) -> Column:
+    """What follows the last phrase that introduces an answer."""
+    return none_if_empty(strip(_latest_phrase(col(text), V.PHRASES)))
 
 
 def _balanced_prefix(text: Column) -> Column:
@@ -119,44 +126,26 @@ def final_answer(text: str | Column) -> Column:
     return let(before_chat_turn(text), cascade)
 
 
-def _without_commas(c: Column) -> Column:
-    return F.translate(c, ",", "")
-
-
 def _flat_boxed(text: Column) -> Column:
-    inner = first_match(text, V.BOXED_FLAT)
-    return to_double(strip(F.regexp_replace(strip(_without_commas(inner)), r"^\$+|\$+$", "")))
+    inner = F.translate(F.regexp_extract(text, V.BOXED_FLAT, 1), ",", "")
+    number = to_double(strip(F.regexp_replace(strip(inner), r"^\$+|\$+$", "")))
+    return F.when(text.contains("\\boxed{"), number)
 
 
 def reported_answer(text: str | Column) -> Column:
     """First `Answer: N`, first boxed number, first `= N` at a line end, last plain number."""
     text = col(text)
     return F.coalesce(
-        to_double(_without_commas(first_match(text, V.REPORTED_ANSWER))),
+        F.when(text.contains("nswer"), digits_to_double(F.regexp_extract(text, V.REPORTED_ANSWER, 1))),
         _flat_boxed(text),
-        to_double(_without_commas(first_match(text, V.EQUALS_AT_EOL))),
-        to_double(last(find_all(text, V.PLAIN_NUMBER))),
+        F.when(text.contains("="), digits_to_double(F.regexp_extract(text, V.EQUALS_AT_EOL, 1))),
+        digits_to_double(last(find_all(text, V.PLAIN_NUMBER))),
     )
 
 
-def number_phrase(text: Column) -> Column:
-    """Number behind the last numeric answer phrase (on a tie the earlier pattern wins)."""
-
-    def hit(order: int, pattern: str) -> Column:
-        matched = last(find_all(text, pattern))
-        start = F.length(text) - F.length(last(F.split(text, pattern, -1))) - F.length(matched)
-        return F.when(
-            matched.isNotNull(),
-            F.struct(
-                start.alias("start"),
-                F.lit(-order).alias("preference"),
-                F.regexp_extract(matched, pattern, 1).alias("payload"),
-            ),
-        )
-
-    hits = F.array(*[hit(i, p) for i, p in enumerate(V.NUMBER_PHRASES)])
-    latest = F.array_max(F.filter(hits, lambda h: h.isNotNull()))
-    return F.when(text.rlike("(?i)answer"), to_double(_without_commas(latest["payload"])))
+def number_phrase(text: str | Column) -> Column:
+    """Number behind the last numeric answer phrase."""
+    return digits_to_double(_latest_phrase(col(text), V.NUMBER_PHRASES))
 
 
 def numeric_answer(text: str | Column) -> Column:
@@ -164,9 +153,9 @@ def numeric_answer(text: str | Column) -> Column:
     text = col(text)
     return F.coalesce(
         _flat_boxed(text),
-        to_double(_without_commas(last(find_all(text, V.HASH_NUMBER, 1)))),
+        F.when(text.contains("####"), digits_to_double(last(find_all(text, V.HASH_NUMBER, 1)))),
         number_phrase(text),
-        to_double(_without_commas(last(find_all(text_tail(text), V.WORD_FREE_NUMBER)))),
+        digits_to_double(last(find_all(text_tail(text), V.WORD_FREE_NUMBER))),
     )
 
 
@@ -175,16 +164,15 @@ def answer_tag(text: str | Column) -> Column:
     value = F.regexp_replace(first_match(col(text), V.ANSWER_TAG), r"[,\s]", "")
 
     def parse(v: Column) -> Column:
-        parts = F.split(v, "/", 2)
-        ratio = F.try_divide(to_double(F.get(parts, F.lit(0))), to_double(F.get(parts, F.lit(1))))
-        return F.when(v.contains("/"), ratio).otherwise(to_double(v))
+        part = lambda i: F.get(F.split(v, "/", 2), F.lit(i)).try_cast("double")
+        return F.when(v.contains("/"), F.try_divide(part(0), part(1))).otherwise(v.try_cast("double"))
 
-    return let(value, parse)
+    return F.when(col(text).rlike("(?i)answer"), let(value, parse))
 
 
 def gold_number(answer: str | Column) -> Column:
     """Number after the last `####`."""
-    return to_double(strip(_without_commas(last(find_all(col(answer), V.HASH_NUMBER, 1)))))
+    return digits_to_double(last(find_all(col(answer), V.HASH_NUMBER, 1)))
 
 
 def count_steps(answer: str | Column) -> Column:
@@ -199,11 +187,14 @@ def last_number(text: str | Column) -> Column:
     ratio = let(
         last(find_all(bare, V.TEXT_FRACTION)),
         lambda m: F.try_divide(
-            to_double(F.regexp_extract(m, V.TEXT_FRACTION, 1)), to_double(F.regexp_extract(m, V.TEXT_FRACTION, 2))
+            F.regexp_extract(m, V.TEXT_FRACTION, 1).try_cast("double"),
+            F.regexp_extract(m, V.TEXT_FRACTION, 2).try_cast("double"),
         ),
     )
     return F.coalesce(
-        to_double(first_match(text, V.BOXED_NUMBER)), ratio, to_double(last(find_all(bare, V.SIGNED_NUMBER)))
+        F.when(text.contains("\\boxed{"), digits_to_double(F.regexp_extract(text, V.BOXED_NUMBER, 1))),
+        F.when(text.contains("/"), ratio),
+        digits_to_double(last(find_all(bare, V.SIGNED_NUMBER))),
     )
 
 

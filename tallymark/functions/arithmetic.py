@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .base import col, find_all, let, plain_text, rewrite_matches, strip, to_double
+from .base import col, find_all, let, plain_text, rewrite_matches, strip
 
 # One matched chain is held between these brackets, so that a second pass meets it as a unit.
 _OPEN, _CLOSE = "⟦", "⟧"
@@ -23,8 +23,8 @@ def plain_arithmetic(text: str | Column) -> Column:
     """LaTeX maths to plain text: fractions to decimals, units, currency and thousands commas dropped."""
 
     def fraction(m: Column) -> Column:
-        num = to_double(F.regexp_extract(m, V.LATEX_FRACTION, 1))
-        den = to_double(F.regexp_extract(m, V.LATEX_FRACTION, 2))
+        num = F.regexp_extract(m, V.LATEX_FRACTION, 1).try_cast("double")
+        den = F.regexp_extract(m, V.LATEX_FRACTION, 2).try_cast("double")
         value = F.when(den == 0, F.lit("0")).otherwise(plain_text(F.try_divide(num, den)))
         return F.coalesce(value, m)
 
@@ -33,7 +33,7 @@ def plain_arithmetic(text: str | Column) -> Column:
         return F.when(inner.rlike(r"^[\d.]+$"), inner).otherwise(" ")
 
     t = rewrite_matches(col(text), V.LATEX_FRACTION, fraction)
-    t = let(t, lambda x: rewrite_matches(x, V.LATEX_TEXT, unwrapped))
+    t = rewrite_matches(t, V.LATEX_TEXT, unwrapped)
     t = F.regexp_replace(t, r"\\?\$", "")
     t = F.regexp_replace(t, r"\\times|\\cdot", "×")
     t = F.regexp_replace(t, r"\\div", "÷")
@@ -45,11 +45,11 @@ def expand_fractions(text: str | Column) -> Column:
     """`(a/b)` to its decimal value; left alone when `b` is zero or a part is not a number."""
 
     def value(m: Column) -> Column:
-        num = to_double(F.regexp_extract(m, V.PAREN_FRACTION, 1))
-        den = to_double(F.regexp_extract(m, V.PAREN_FRACTION, 2))
+        num = F.regexp_extract(m, V.PAREN_FRACTION, 1).try_cast("double")
+        den = F.regexp_extract(m, V.PAREN_FRACTION, 2).try_cast("double")
         return F.coalesce(plain_text(F.try_divide(num, den)), m)
 
-    return let(col(text), lambda t: rewrite_matches(t, V.PAREN_FRACTION, value))
+    return rewrite_matches(col(text), V.PAREN_FRACTION, value)
 
 
 def substitute_names(text: str | Column, names: str | Column) -> Column:

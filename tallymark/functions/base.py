@@ -19,16 +19,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def none_if_empty(c: Column) -> Column:
-    """`regexp_extract` answers '' when nothing matched."""
-    return F.nullif(c, F.lit(""))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and use it several times inside `body`."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def none_if_empty(c: Column) -> Column:
+    """`regexp_extract` answers '' when nothing matched."""
+    return let(c, lambda t: F.when(t != "", t))
+
+
 def last(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(-1))
 
@@ -41,21 +41,33 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return none_if_empty(F.regexp_extract(text, pattern, group))
 
 
+def digits_to_double(c: Column) -> Column:
+    """Cast a text known to hold nothing but digits, signs, dots and commas; NULL if it is no number."""
+    return F.translate(c, ",", "").try_cast("double")
+
+
 def to_double(c: Column) -> Column:
     """Cast only what looks like a number: Spark alone would also take `5d`."""
-    return F.when(c.rlike(NUMERIC), c.try_cast("double"))
+    return let(c, lambda t: F.when(t.rlike(NUMERIC), t.try_cast("double")))
 
 
 def plain_text(value: Column) -> Column:
     """Shortest decimal text of a double, never in scientific notation between 1e-18 and 1e18."""
-    small = (F.abs(value) >= 1e-3) & (F.abs(value) < 1e7) | (value == 0)
-    decimal = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?[1-9])0+$|\.0+$", "$1")
-    return F.when(small, value.cast("string")).otherwise(F.coalesce(decimal, value.cast("string")))
+
+    def text(v: Column) -> Column:
+        small = (F.abs(v) >= 1e-3) & (F.abs(v) < 1e7) | (v == 0)
+        decimal = F.regexp_replace(v.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?[1-9])0+$|\.0+$", "$1")
+        return F.when(small, v.cast("string")).otherwise(F.coalesce(decimal, v.cast("string")))
+
+    return let(value, text)
 
 
 def rewrite_matches(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
     """Replace every match of `pattern` by a computed text (a `regexp_replace` with a callback)."""
-    between = F.split(text, pattern, -1)
-    replaced = F.transform(find_all(text, pattern), rewrite)
-    joined = F.array_join(F.zip_with(between, replaced, lambda t, r: F.concat(t, F.coalesce(r, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    def rewritten(t: Column) -> Column:
+        replaced = F.transform(find_all(t, pattern), rewrite)
+        pieces = F.zip_with(F.split(t, pattern, -1), replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(t.rlike(pattern), F.array_join(pieces, "")).otherwise(t)
+
+    return let(text, rewritten)

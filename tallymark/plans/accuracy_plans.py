@@ -49,19 +49,20 @@ def acc_sql(body: str) -> str:
     return with_views(PROBLEMS, RESPONSES, SCORED, _DEPTH_ACC, body)
 
 
-def wilson_sql(k: str = "k", n: str = "n") -> str:
+def wilson_sql(k: str = "k", n: str = "n", digits: int = 6) -> str:
     p, z2 = f"({k} / {n})", "(1.96 * 1.96)"
     centre = f"({p} + {z2} / (2 * {n})) / (1 + {z2} / {n})"
     margin = f"1.96 * sqrt({p} * (1 - {p}) / {n} + {z2} / (4.0 * {n} * {n})) / (1 + {z2} / {n})"
     return (
-        f"round(greatest(0.0, {centre} - {margin}), 6) AS ci_lo, round(least(1.0, {centre} + {margin}), 6) AS ci_hi"
+        f"round(greatest(0.0, {centre} - {margin}), {digits}) AS ci_lo, "
+        f"round(least(1.0, {centre} + {margin}), {digits}) AS ci_hi"
     )
 
 
-def interval_sql(keys: str, source: str = "scored", correct: str = "is_correct") -> str:
-    return f"""SELECT *, round(k / n, 6) AS acc, {wilson_sql()}
-      FROM (SELECT {keys}, count(*) AS n, CAST(count(*) FILTER ({correct}) AS BIGINT) AS k
-            FROM {source} GROUP BY ALL)"""
+def interval_sql(keys: str, digits: int = 6) -> str:
+    return f"""SELECT *, round(k / n, {digits}) AS acc, {wilson_sql(digits=digits)}
+      FROM (SELECT {keys}, count(*) AS n, CAST(count(*) FILTER (is_correct) AS BIGINT) AS k
+            FROM scored GROUP BY ALL)"""
 
 
 # --- accuracy at depth ------------------------------------------------------------------------------
@@ -321,10 +322,10 @@ def delta_across_depths(spark, d):
     "a14_mean_interval",
     scored_sql(f"""SELECT model, round(avg(acc), 6) AS mean_acc, round(avg(ci_lo), 6) AS mean_ci_lo,
         round(avg(ci_hi), 6) AS mean_ci_hi
-        FROM ({interval_sql("model, regime AS method, depth")}) WHERE method = 'cot' GROUP BY model"""),
+        FROM ({interval_sql("model, regime AS method, depth", 15)}) WHERE method = 'cot' GROUP BY model"""),
 )
 def mean_interval(spark, d):
-    cot = rounded(A.accuracy(methods(spark, d).filter(F.col("method") == "cot")), "acc", "ci_lo", "ci_hi")
+    cot = A.accuracy(methods(spark, d).filter(F.col("method") == "cot"))
     return rounded(
         A.macro_mean(cot, ("model",), "acc", "ci_lo", "ci_hi"), "mean_acc", "mean_ci_lo", "mean_ci_hi"
     )

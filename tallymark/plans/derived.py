@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .registry import table
 
 NL = "chr(10)"
@@ -39,9 +40,9 @@ _QUESTION_TAIL = "'. How many items are there in the end?'"
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, problem_id, seed, depth, qs (added per step), vals (running totals), gold, question."""
     quantity = _QUANTITY.format(price="cast(floor(o_totalprice) as bigint)", div="div")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_totalprice")
+        spread(orders, "o_orderkey")
         .withColumn("depth", F.expr("cast(1 + o_custkey % 8 as int)"))
         .withColumn("qs", F.expr(f"transform(sequence(1, depth), i -> {quantity})"))
         .withColumn(
