@@ -135,9 +135,24 @@ def distractor_detected(distractor: str | Column, irrelevant: str | Column) -> C
     return let(F.lower(strip(F.coalesce(col(distractor), F.lit("")))), found)
 
 
+def pool_element(raw: Column) -> Column:
+    """STRUCT<type, text> of a pool element: an object, or a bare text of unknown type."""
+    parsed = F.from_json(raw, "STRUCT<type: STRING, text: STRING>")
+    bare = F.struct(F.lit("UNKNOWN").alias("type"), raw.alias("text"))
+    fields = let(
+        parsed,
+        lambda p: F.struct(
+            F.coalesce(p["type"], F.lit("UNKNOWN")).alias("type"), F.coalesce(p["text"], F.lit("")).alias("text")
+        ),
+    )
+    return F.when(F.startswith(raw, F.lit("{")), fields).otherwise(bare)
+
+
 def parse_pool(response: str | Column) -> Column:
     """Distractor pool from a JSON list; anything else gives an empty pool."""
-    return F.coalesce(F.from_json(col(response), POOL), F.array().cast(POOL))
+    text = strip(col(response))
+    elements = F.when(F.startswith(text, F.lit("[")), F.from_json(text, "ARRAY<STRING>"))
+    return F.coalesce(F.transform(elements, pool_element), F.array().cast(POOL))
 
 
 def variable_name(text: str | Column, chunk_index: str | Column) -> Column:

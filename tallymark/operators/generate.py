@@ -33,17 +33,21 @@ def between(low: int, high: int, key: Column, tag: str, step: Column) -> Column:
     return draw(F.lit(high - low + 1), key, F.lit(tag), step) + low
 
 
+def _divided(pair: Column, f: int) -> Column:
+    def by(name: str, p: Column) -> Column:
+        return (p[name] / f).cast("bigint").alias(name)
+
+    return let(
+        pair,
+        lambda p: F.when((p["num"] % f == 0) & (p["den"] % f == 0), F.struct(by("num", p), by("den", p))).otherwise(p),
+    )
+
+
 def _cancelled(num: Column, den: Column) -> Column:
     """Divide out the common factors a single step can bring in."""
     pair = F.struct(num.alias("num"), den.alias("den"))
     for f in (2, 2, 3, 5):
-        pair = let(
-            pair,
-            lambda p, f=f: F.when(
-                (p["num"] % f == 0) & (p["den"] % f == 0),
-                F.struct((p["num"] / f).cast("bigint").alias("num"), (p["den"] / f).cast("bigint").alias("den")),
-            ).otherwise(p),
-        )
+        pair = _divided(pair, f)
     return pair
 
 

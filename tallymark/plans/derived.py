@@ -148,7 +148,7 @@ scored AS (
 def with_views(*parts: str) -> str:
     """WITH clause of the given views and a final SELECT."""
     *views, body = parts
-    return "WITH " + ",".join(views) + "\n" + body
+    return "WITH RECURSIVE " + ",".join(views) + "\n" + body
 
 
 def scored_sql(body: str) -> str:

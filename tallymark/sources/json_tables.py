@@ -43,19 +43,14 @@ def read_templates_with_pool(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pick_distractor(df: DataFrame, seed: int = 42, pool: str = "dynamic_distractor_pool", key: str = "source_file") -> DataFrame:
-    """Adds distractor and distractor_type: one reproducible element of each row's pool.
-
-    An element is an object with text and type (default UNKNOWN) or a bare text.
-    """
+    """Adds distractor and distractor_type: one reproducible element of each row's pool."""
     chosen = F.get(F.col(pool), draw(F.size(pool), F.lit(str(seed)), F.col(key)))
-    parsed = F.from_json("_chosen", "STRUCT<type: STRING, text: STRING>")
-    is_object = F.startswith(F.col("_chosen"), F.lit("{"))
     return (
         df.withColumn("_chosen", chosen)
-        .withColumn("_parsed", F.when(is_object, parsed))
-        .withColumn("distractor", F.when(is_object, F.coalesce("_parsed.text", F.lit(""))).otherwise(F.col("_chosen")))
-        .withColumn("distractor_type", F.coalesce("_parsed.type", F.lit("UNKNOWN")))
-        .drop("_chosen", "_parsed")
+        .withColumn("_element", C.pool_element(F.col("_chosen")))
+        .withColumn("distractor", F.col("_element.text"))
+        .withColumn("distractor_type", F.col("_element.type"))
+        .drop("_chosen", "_element")
     )
 
 
@@ -190,24 +185,17 @@ def require_blocks(df: DataFrame, blocks: Sequence[str]) -> DataFrame:
 
 
 def explode_payload(df: DataFrame, blocks: Sequence[str]) -> DataFrame:
-    rows = F.explode(
-        F.concat(
-            *[
-                F.transform(
-                    F.map_entries(b),
-                    lambda e, b=b: F.struct(
-                        F.lit(b).alias("variant"),
-                        e["key"].alias("model"),
-                        e["value"]["accuracy"].alias("accuracy"),
-                        e["value"]["n_correct"].alias("n_correct"),
-                        e["value"]["n_evaluated"].alias("n_evaluated"),
-                    ),
-                )
-                for b in blocks
-            ]
+    def entries(block: str) -> Column:
+        return F.transform(
+            F.map_entries(block),
+            lambda e: F.struct(
+                F.lit(block).alias("variant"),
+                e["key"].alias("model"),
+                *[e["value"][c].alias(c) for c in ("accuracy", "n_correct", "n_evaluated", "n_skipped_no_gold")],
+            ),
         )
-    )
-    return df.select(rows.alias("_r")).select("_r.*")
+
+    return df.select(F.inline(F.concat(*[entries(b) for b in blocks])))
 
 
 def prepare_qa(df: DataFrame, idx: str = "idx", min_steps: int | None = V.MIN_STEPS) -> DataFrame:

@@ -234,8 +234,9 @@ def test_filter_lines_and_detection(values):
 
 
 def test_pool_names_context(values):
-    got = values(lambda: F.size(C.parse_pool("x")), ['[{"type":"TYPE_A","text":"t"}]', '{"a":1}', "oops", None])
-    assert got[0] == 1 and got[2:] == [0, 0]
+    got = values(lambda: C.parse_pool("x"), ['[{"type":"TYPE_A","text":"t"},"bare",{"text":"u"}]', '{"a":1}', "oops", None, "[1"])
+    assert [(e.type, e.text) for e in got[0]] == [("TYPE_A", "t"), ("UNKNOWN", "bare"), ("UNKNOWN", "u")]
+    assert got[1:] == [[], [], [], []]
     assert values(lambda: C.variable_name("x", F.lit(1)), ["Bob has 3 apples", "Eve pays", "no name", "ten DOLLARS"]) == [
         "bob_apples", "eve_value", "step_2_result", "step_2_result"]
     ctx = F.create_map(F.lit("__last__"), F.lit(1.0), F.lit("12.0"), F.lit(2.0), F.lit("current_total"), F.lit(3.0))
