@@ -39,10 +39,14 @@ _QUESTION_TAIL = "'. How many items are there in the end?'"
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, problem_id, seed, depth, qs (added per step), vals (running totals), gold, question."""
-    quantity = _QUANTITY.format(price="cast(floor(o_totalprice) as bigint)", div="div")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return problems_of(spread(orders, "o_orderkey"))
+
+
+def problems_of(orders: DataFrame) -> DataFrame:
+    quantity = _QUANTITY.format(price="cast(floor(o_totalprice) as bigint)", div="div")
     return (
-        spread(orders, "o_orderkey")
+        orders
         .withColumn("depth", F.expr("cast(1 + o_custkey % 8 as int)"))
         .withColumn("qs", F.expr(f"transform(sequence(1, depth), i -> {quantity})"))
         .withColumn(
@@ -82,14 +86,17 @@ problems AS (
 
 def responses(spark: SparkSession, sf_dir: str, regimes: list[str] | None = None) -> DataFrame:
     """problems × models × regimes with the recorded response text."""
+    return responses_of(problems(spark, sf_dir), regimes)
+
+
+def responses_of(problem_table: DataFrame, regimes: list[str] | None = None) -> DataFrame:
     pairs = ", ".join(
         f"named_struct('model', '{m}', 'model_idx', {i}, 'regime', '{r}', 'regime_idx', {REGIMES.index(r)})"
         for i, m in enumerate(MODELS)
         for r in (regimes or REGIMES)
     )
     return (
-        problems(spark, sf_dir)
-        .selectExpr("*", f"inline(array({pairs}))")
+        problem_table.selectExpr("*", f"inline(array({pairs}))")
         .withColumn("h", F.expr(_HASH))
         .withColumn("wrong_from", F.expr("CASE WHEN h < depth + 4 * (1 - regime_idx) THEN 1 + h % depth END"))
         .withColumn("shown", F.expr("transform(vals, (v, j) -> if(j + 1 >= wrong_from, 2 * v + 1, v))"))

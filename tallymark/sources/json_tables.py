@@ -111,13 +111,12 @@ def read_method_log(spark: SparkSession, path: str, check: bool = True) -> DataF
 
 
 def read_qa_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """`<model>_cot.jsonl` logs; the model is the one in the file name."""
+    """`<model>_cot.jsonl` logs (files or folders); the model is the one in the name."""
     df = (
         spark.read.schema(S.QA_RESULT)
         .option("mode", "DROPMALFORMED")
-        .option("pathGlobFilter", "*_cot.jsonl")
-        .json(path)
-        .withColumn("model", F.regexp_replace(F.regexp_replace(_file_name(), r"\.jsonl$", ""), "_cot", ""))
+        .json(f"{path}/*_cot.jsonl")
+        .withColumn("model", first_match(_file_path(), r"/([^/]+?)_cot\.jsonl"))
         .dropna(subset=["problem_id", "is_correct"])
     )
     df = _require_rows(df, path) if check else df
@@ -130,27 +129,30 @@ def read_qa_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame
     )
 
 
-CHUNK_FILE = r"exp4_chunked_(.+?)(?:_ckpt_\d+)?(?:\.json.*)?$"
+CHUNK_FILE = r"exp4_chunked_([^/]+?)(?:_ckpt_\d+)?\.json"
+
 
+def model_of_file(path: Column) -> Column:
+    """Model in the name of a chunk-result file or folder, without a snapshot suffix."""
+    return first_match(path, CHUNK_FILE)
 
-def model_of_file(name: Column) -> Column:
-    return first_match(name, CHUNK_FILE)
 
+def read_chunk_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Chunk results (files or folders); model and seed from the path, missing counters 0.
 
-def read_chunk_results(
-    spark: SparkSession, path: str, multi_line: bool = True, glob: str = "exp4_chunked_*.json"
-) -> DataFrame:
-    """Chunk results; model from the file name, missing counters 0, intermediate snapshots not counted twice."""
+    Intermediate snapshots repeat rows of the final file and are not read.
+    """
     df = (
-        spark.read.schema(S.CHUNK_RESULT).option("multiLine", multi_line).option("pathGlobFilter", glob).json(path)
-        .withColumn("_file", _file_name())
-        .withColumn("seed", seed_of_path(_file_path()))
-        .filter(~F.col("_file").contains("_ckpt_"))
+        spark.read.schema(S.CHUNK_RESULT)
+        .option("multiLine", multi_line)
+        .json(f"{path}/exp4_chunked_*.json")
+        .withColumn("_path", _file_path())
+        .filter(~F.col("_path").contains("_ckpt_"))
     )
     counters = ["corrections_applied", "unverified_fallbacks", "extraction_failures", "num_chunks"]
     return df.select(
-        "seed",
-        model_of_file(F.col("_file")).alias("model"),
+        seed_of_path(F.col("_path")).alias("seed"),
+        model_of_file(F.col("_path")).alias("model"),
         F.lit("chunked").alias("method"),
         F.col("id").cast("string").alias("problem_id"),
         step_count(df, "depth", "estimated_steps").alias("depth"),
