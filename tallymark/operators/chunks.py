@@ -47,16 +47,31 @@ def explode_chunks(planned: DataFrame) -> DataFrame:
 
 
 def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """Recorded attempts (one row each) to one row per problem with an ordered list of chunks.
+    """Recorded attempts (one row each) to one row per problem with a list of chunks; one shuffle.
 
     Expects chunk_idx, attempt, clause_text and response; `carry` columns are constant per problem.
     """
-    attempts = df.groupBy(*keys, *carry, "chunk_idx", "clause_text").agg(
-        F.array_sort(F.collect_list(F.struct("attempt", "response"))).alias("attempts")
+    rows = df.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in carry],
+        F.array_sort(F.collect_list(F.struct("chunk_idx", "attempt", "clause_text", "response"))).alias("_rows"),
     )
-    return attempts.groupBy(*keys, *carry).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_idx", "clause_text", "attempts"))).alias("chunks")
+
+    def chunk(head: Column) -> Column:
+        mine = F.filter("_rows", lambda r: r["chunk_idx"] == head["chunk_idx"])
+        return F.struct(
+            head["chunk_idx"].alias("chunk_idx"),
+            head["clause_text"].alias("clause_text"),
+            F.transform(mine, lambda r: F.struct(r["attempt"].alias("attempt"), r["response"].alias("response"))).alias(
+                "attempts"
+            ),
+        )
+
+    heads = F.array_distinct(
+        F.transform(
+            "_rows", lambda r: F.struct(r["chunk_idx"].alias("chunk_idx"), r["clause_text"].alias("clause_text"))
+        )
     )
+    return rows.select(*keys, *carry, F.transform(heads, chunk).alias("chunks"))
 
 
 def choose_attempt(attempts: str | Column, names: Column) -> Column:
