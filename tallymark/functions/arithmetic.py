@@ -10,6 +10,7 @@ from .base import col, find_all, let, plain_text, rewrite_matches, strip
 
 # One matched chain is held between these brackets, so that a second pass meets it as a unit.
 _OPEN, _CLOSE = "⟦", "⟧"
+EXPRESSIONS = "ARRAY<STRUCT<left: DOUBLE, op: STRING, right: DOUBLE, claimed: DOUBLE, full_match: STRING>>"
 _BINARY = rf"{V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*=\s*{V.OPERAND}"
 _NONZERO_DIVISION = r"(?!\d+(?:\.\d+)?\s*[/÷]\s*0+(?:\.0+)?\s*[+\-*/×÷])"
 _CHAIN = (
@@ -32,12 +33,22 @@ def plain_arithmetic(text: str | Column) -> Column:
         inner = strip(F.regexp_extract(m, V.LATEX_TEXT, 1))
         return F.when(inner.rlike(r"^[\d.]+$"), inner).otherwise(" ")
 
-    t = rewrite_matches(col(text), V.LATEX_FRACTION, fraction)
-    t = rewrite_matches(t, V.LATEX_TEXT, unwrapped)
-    t = F.regexp_replace(t, r"\\?\$", "")
-    t = F.regexp_replace(t, r"\\times|\\cdot", "×")
-    t = F.regexp_replace(t, r"\\div", "÷")
-    t = F.regexp_replace(F.regexp_replace(t, V.THOUSANDS, "$1$2"), V.THOUSANDS, "$1$2")
+    def latex(t: Column) -> Column:
+        t = rewrite_matches(t, V.LATEX_FRACTION, fraction)
+        t = rewrite_matches(t, V.LATEX_TEXT, unwrapped)
+        t = F.regexp_replace(t, r"\\?\$", "")
+        t = F.regexp_replace(t, r"\\times|\\cdot", "×")
+        return F.regexp_replace(t, r"\\div", "÷")
+
+    # a text without a backslash has no LaTeX, one without a comma no thousands
+    t = let(col(text), lambda x: F.when(x.contains("\\"), latex(x)).otherwise(x))
+    t = F.translate(t, "$", "")
+    t = let(
+        t,
+        lambda x: F.when(
+            x.contains(","), F.regexp_replace(F.regexp_replace(x, V.THOUSANDS, "$1$2"), V.THOUSANDS, "$1$2")
+        ).otherwise(x),
+    )
     return F.regexp_replace(t, V.UNIT_AFTER_DIGIT, "")
 
 
@@ -49,13 +60,15 @@ def expand_fractions(text: str | Column) -> Column:
         den = F.regexp_extract(m, V.PAREN_FRACTION, 2).try_cast("double")
         return F.coalesce(plain_text(F.try_divide(num, den)), m)
 
-    return rewrite_matches(col(text), V.PAREN_FRACTION, value)
+    return let(
+        col(text), lambda t: F.when(t.contains("("), rewrite_matches(t, V.PAREN_FRACTION, value)).otherwise(t)
+    )
 
 
 def substitute_names(text: str | Column, names: str | Column) -> Column:
     """Replace known names by their values, longest name first. `names`: ARRAY<STRUCT<name, value>>."""
     longest_first = F.transform(
-        F.array_sort(F.transform(col(names), lambda n: F.struct(-F.length(n["name"]), n["name"], n["value"]))),
+        F.sort_array(F.transform(col(names), lambda n: F.struct(-F.length(n["name"]), n["name"], n["value"]))),
         lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value")),
     )
     return F.aggregate(
@@ -118,16 +131,22 @@ def _chain_expressions(token: Column) -> Column:
 
 def expressions_in(text: str | Column, names: str | Column | None = None) -> Column:
     """All `a op b = c` and `a op b op c = d` of a text, in order. ARRAY<STRUCT<left,op,right,claimed,full_match>>."""
-    plain = expand_fractions(plain_arithmetic(F.translate(col(text), _OPEN + _CLOSE, "")))
-    if names is not None:
-        plain = substitute_names(plain, names)
-    marked = F.regexp_replace(plain, _CHAIN, f"{_OPEN}$1|$2|$3|$4|$5|$6|$0{_CLOSE}")
-    return F.flatten(
-        F.transform(
-            find_all(marked, _CHAIN_OR_BINARY),
-            lambda m: F.when(F.startswith(m, F.lit(_OPEN)), _chain_expressions(m)).otherwise(_binary_expressions(m)),
+    def found(t: Column) -> Column:
+        plain = expand_fractions(plain_arithmetic(F.translate(t, _OPEN + _CLOSE, "")))
+        if names is not None:
+            plain = substitute_names(plain, names)
+        marked = F.regexp_replace(plain, _CHAIN, f"{_OPEN}$1|$2|$3|$4|$5|$6|$0{_CLOSE}")
+        return F.flatten(
+            F.transform(
+                find_all(marked, _CHAIN_OR_BINARY),
+                lambda m: F.when(F.startswith(m, F.lit(_OPEN)), _chain_expressions(m)).otherwise(
+                    _binary_expressions(m)
+                ),
+            )
         )
-    )
+
+    nothing = F.array().cast(EXPRESSIONS)
+    return let(col(text), lambda t: F.when(t.contains("="), found(t)).otherwise(nothing))
 
 
 def verify(expressions: str | Column, tolerance: float = V.VERIFY_TOLERANCE) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import POOL
 from . import fixed as V
-from .base import col, find_all, let, strip, to_double
+from .base import col, let, strip, to_double
 
 
 def split_clauses(text: str | Column) -> Column:
@@ -158,12 +158,16 @@ def parse_pool(response: str | Column) -> Column:
 def variable_name(text: str | Column, chunk_index: str | Column) -> Column:
     """First capitalised word and first unit noun, else `step_N_result`."""
     text = col(text)
-    name = F.lower(F.get(find_all(text, V.PROPER_NAME, 1), F.lit(0)))
-    unit = F.lower(F.get(find_all(text, V.UNIT_NOUN, 1), F.lit(0)))
-    return (
-        F.when(name.isNotNull() & unit.isNotNull(), F.concat_ws("_", name, unit))
-        .when(name.isNotNull(), F.concat(name, F.lit("_value")))
-        .otherwise(F.concat(F.lit("step_"), (col(chunk_index) + 1).cast("string"), F.lit("_result")))
+    parts = F.struct(
+        F.lower(F.regexp_extract(text, V.PROPER_NAME, 1)).alias("name"),
+        F.lower(F.regexp_extract(text, V.UNIT_NOUN, 1)).alias("unit"),
+    )
+    fallback = F.concat(F.lit("step_"), (col(chunk_index) + 1).cast("string"), F.lit("_result"))
+    return let(
+        parts,
+        lambda p: F.when(p["name"] == "", fallback)
+        .when(p["unit"] == "", F.concat(p["name"], F.lit("_value")))
+        .otherwise(F.concat_ws("_", p["name"], p["unit"])),
     )
 
 

@@ -69,7 +69,7 @@ def bootstrap_ci(
                 / n,
             )
 
-        means = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), resample))
+        means = F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), resample))
         several = let(
             means,
             lambda m: F.struct(

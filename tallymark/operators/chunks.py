@@ -53,7 +53,7 @@ def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ())
     """
     rows = df.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
-        F.array_sort(F.collect_list(F.struct("chunk_idx", "attempt", "clause_text", "response"))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct("chunk_idx", "attempt", "clause_text", "response"))).alias("_rows"),
     )
 
     def chunk(head: Column) -> Column:
@@ -112,7 +112,7 @@ def chunk_value(chosen: Column, verified: Column, total: Column) -> Column:
     lone tag, then the last number of the response.
     """
     final = last(verified)
-    tag, fallback = chosen["tag"], A.last_number(chosen["response"])
+    tag = chosen["tag"]
     repeated = F.coalesce(final["status"] == "double_count", F.lit(False))
     from_log = (
         F.when(repeated, final["corrected_value"])
@@ -120,10 +120,13 @@ def chunk_value(chosen: Column, verified: Column, total: Column) -> Column:
         .otherwise(F.get(verified, M.chain_terminal(verified, total))["corrected_value"])
     )
 
-    def settle(pair: Column) -> Column:
-        value, number = pair["value"], pair["number"]
+    def with_fallback(value: Column) -> Column:
+        number = F.when(value.isNull(), A.last_number(chosen["response"]))
+        return let(number, lambda n: settle(value, n))
+
+    def settle(value: Column, number: Column) -> Column:
         method = (
-            F.when(chosen["usable"] & value.isNull() & number.isNotNull(), "emergency_fallback")
+            F.when(chosen["usable"] & number.isNotNull(), "emergency_fallback")
             .when(chosen["usable"], "arithmetic")
             .when(number.isNotNull(), "last_number")
             .otherwise("failed")
@@ -131,7 +134,7 @@ def chunk_value(chosen: Column, verified: Column, total: Column) -> Column:
         return F.struct(F.coalesce(value, number).alias("value"), method.alias("method"))
 
     value = F.when(F.size(verified) > 0, from_log).otherwise(tag)
-    return let(F.struct(value.alias("value"), fallback.alias("number")), settle)
+    return let(value, with_fallback)
 
 
 def _remember(names: Column, name: Column, value: Column) -> Column:
@@ -178,12 +181,12 @@ def fold_chunks(chunks: str | Column) -> Column:
             return F.struct(
                 F.coalesce(v["value"], acc["total"]).alias("total"),
                 names.alias("names"),
-                F.concat(acc["logs"], F.array(entry)).cast(f"ARRAY<{LOG}>").alias("logs"),
+                F.concat(acc["logs"], F.array(entry)).alias("logs"),
             )
 
         return let(choose_attempt(chunk["attempts"], acc["names"]), verified)
 
-    return F.aggregate(F.array_sort(col(chunks)), start, step)
+    return F.aggregate(F.sort_array(col(chunks)), start, step)
 
 
 def count_logs(logs: Column) -> dict[str, Column]:

@@ -22,7 +22,7 @@ def shuffled(key: Column, tag: str, count: Column) -> Column:
         F.sequence(F.lit(1), count),
         lambda j: F.struct(F.md5(F.concat_ws("|", key, F.lit(tag), j).cast("binary")).alias("h"), j.alias("j")),
     )
-    return F.transform(F.array_sort(order), lambda s: s["j"])
+    return F.transform(F.sort_array(order), lambda s: s["j"])
 
 
 def choose(words: list, key: Column, tag: str, step: Column) -> Column:

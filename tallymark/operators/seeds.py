@@ -24,7 +24,7 @@ def sample_std(c: str) -> Column:
 
 def by_seed(value: str) -> Column:
     """Values of a cell in seed order (one per run)."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("seed", value))), lambda s: s[value])
+    return F.transform(F.sort_array(F.collect_list(F.struct("seed", value))), lambda s: s[value])
 
 
 def seed_accuracy(df: DataFrame, by: Sequence[str] = MODEL_METHOD_DEPTH, correct: str = "correct") -> DataFrame:

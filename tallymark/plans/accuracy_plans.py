@@ -537,7 +537,7 @@ def label_recode(spark, d):
 def sorted_metrics(spark, d):
     acc = A.depth_accuracy(scored(spark, d)).orderBy("model", "regime", "depth")
     # the metric table is sorted as a whole: one row per model, regime and depth
-    cells = F.array_sort(F.collect_list(F.struct("model", "regime", "depth", "n_correct")))
+    cells = F.sort_array(F.collect_list(F.struct("model", "regime", "depth", "n_correct")))
     ranked = acc.agg(cells.alias("c")).select(F.posexplode("c").alias("p", "r"))
     return ranked.select("r.*", (F.col("p") + 1).cast("bigint").alias("position"))
 
@@ -550,7 +550,7 @@ def sorted_metrics(spark, d):
 def sorted_by_label(spark, d):
     counts = responses(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     labelled = A.labelled(counts, "model", {"m2": "Alpha"}).withColumnRenamed("model", "label")
-    cells = F.array_sort(F.collect_list(F.struct("label", "n")))
+    cells = F.sort_array(F.collect_list(F.struct("label", "n")))
     return labelled.agg(cells.alias("c")).select(F.posexplode("c").alias("p", "r")).select(
         "r.*", (F.col("p") + 1).cast("bigint").alias("position")
     )

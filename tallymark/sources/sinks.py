@@ -46,7 +46,7 @@ def report(metric: DataFrame, meta: dict[str, Column] | None = None) -> DataFram
     """
     block = metric.groupBy("variant").agg(
         F.map_from_entries(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("model", F.struct("accuracy", "n_correct", "n_evaluated", "n_skipped_no_gold").alias("m"))
                 )
