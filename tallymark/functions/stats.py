@@ -28,9 +28,12 @@ def step_bin(steps: str | Column, width: int = 2) -> Column:
 
 
 def draw(size: Column, *parts: Column) -> Column:
-    """Reproducible 0-based draw below `size` from a key; independent of row order and partitioning."""
+    """Reproducible 0-based draw below `size` from a key; independent of row order and partitioning.
+
+    NULL for size 0.
+    """
     digest = F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8)
-    return (F.conv(digest, 16, 10).cast("bigint") % size).cast("int")
+    return F.try_mod(F.conv(digest, 16, 10).cast("bigint"), size).cast("int")
 
 
 def bootstrap_ci(

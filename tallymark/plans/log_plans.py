@@ -134,7 +134,9 @@ def _stream(spark, d, name: str, *columns: str) -> DataFrame:
 
 
 def _recorded(spark, d) -> DataFrame:
-    return responses_of(problems_of(_stream(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")))
+    # a thin stream whose rows are costly to process: use all cores
+    orders = _stream(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    return responses_of(problems_of(orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")))
 
 
 def _score(df: DataFrame) -> DataFrame:
