@@ -41,7 +41,8 @@ def plan_chunks(df: DataFrame, problem: str = "question", size: int | Column = 2
 def explode_chunks(planned: DataFrame) -> DataFrame:
     """One row per chunk with its numbered text."""
     rest = [c for c in planned.columns if c != "chunks"]
-    return planned.select(*rest, F.posexplode("chunks").alias("chunk_idx", "clauses")).withColumn(
+    # every problem has a chunk; a plain explode would add a filter that evaluates the routing a second time
+    return planned.select(*rest, F.posexplode_outer("chunks").alias("chunk_idx", "clauses")).withColumn(
         "chunk_text", C.numbered_lines("clauses")
     )
 
@@ -189,6 +190,13 @@ def fold_chunks(chunks: str | Column) -> Column:
     return F.aggregate(F.sort_array(col(chunks)), start, step)
 
 
+def explode_logs(results: DataFrame) -> DataFrame:
+    """One row per chunk log."""
+    rest = [c for c in results.columns if c != "chunk_logs"]
+    # as above: a plain inline would add a filter that evaluates the fold a second time
+    return results.select(*rest, F.inline_outer("chunk_logs"))
+
+
 def count_logs(logs: Column) -> dict[str, Column]:
     """Counters of a problem's nested logs, without exploding them."""
     verified = F.flatten(F.transform(logs, lambda g: g["verification_log"]))

@@ -339,7 +339,7 @@ def results(spark, d) -> DataFrame:
 
 
 def chunk_rows(spark, d) -> DataFrame:
-    return results(spark, d).select("model", "problem_id", "seed", "depth", F.inline("chunk_logs"))
+    return K.explode_logs(results(spark, d).select("model", "problem_id", "seed", "depth", "chunk_logs"))
 
 
 @query(
@@ -390,8 +390,8 @@ def retry_selection(spark, d):
     fold_sql("""SELECT model, s AS status, count(*) AS n FROM (SELECT model, unnest(status) AS s FROM chunk_rows) GROUP BY ALL"""),
 )
 def double_count(spark, d):
-    statuses = chunk_rows(spark, d).select("model", F.explode("verification_log.status").alias("status"))
-    return statuses.groupBy("model", "status").agg(F.count(F.lit(1)).alias("n"))
+    statuses = chunk_rows(spark, d).select("model", F.explode_outer("verification_log.status").alias("status"))
+    return statuses.filter(F.col("status").isNotNull()).groupBy("model", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -94,7 +94,7 @@ ASKED = f"asked AS (SELECT * REPLACE ({_ASKED} AS question) FROM problems)"
         FROM (SELECT k, depth, unnest({clauses_sql("question")}) AS c FROM asked) GROUP BY ALL"""),
 )
 def goal_clauses(spark, d):
-    rows = asked(spark, d).select("k", "depth", F.explode(X.split_clauses("question")).alias("c"))
+    rows = asked(spark, d).select("k", "depth", F.explode_outer(X.split_clauses("question")).alias("c"))
     return rows.groupBy("depth", (F.col("k") % 6).alias("kind")).agg(
         F.count(F.lit(1)).alias("n_clauses"), F.count_if(X.is_goal_clause("c")).alias("n_goals")
     )
