@@ -62,33 +62,33 @@ def answer_phrase(text: str | Column) -> Column:
 
 def _balanced_prefix(text: Column) -> Column:
     """Text up to the brace that closes an already opened one; NULL if it is never closed."""
-    start = F.struct(F.lit(1).alias("open"), F.lit("").alias("body"))
+    start = F.struct(F.lit(1).alias("open"), F.lit(0).alias("end"))
 
     def step(acc: Column, piece: Column) -> Column:
         depth = acc["open"] + F.when(F.endswith(piece, F.lit("{")), 1).otherwise(-1)
         return F.when(acc["open"] == 0, acc).otherwise(
-            F.struct(depth.alias("open"), F.concat(acc["body"], piece).alias("body"))
+            F.struct(depth.alias("open"), (acc["end"] + F.length(piece)).alias("end"))
         )
 
     def finish(acc: Column) -> Column:
-        return F.when(acc["open"] == 0, F.substring(acc["body"], F.lit(1), F.length(acc["body"]) - 1))
+        return F.when(acc["open"] == 0, F.substring(text, F.lit(1), acc["end"] - 1))
 
     return F.aggregate(find_all(text, r"[^{}]*[{}]"), start, step, finish)
 
 
 def last_boxed(text: str | Column) -> Column:
-    """Content of the last `\\boxed{…}` whose braces balance."""
+    """Content of the last `\\boxed{…}` whose braces balance; tried from the last one backwards."""
     text = col(text)
-    parts = F.split(text, V.BOXED_OPEN, -1)
-    suffixes = let(
-        parts,
-        lambda p: F.transform(
-            F.sequence(F.lit(2), F.size(p)),
-            lambda k: F.array_join(F.slice(p, k, F.size(p)), "\\boxed{"),
-        ),
-    )
-    contents = F.filter(F.transform(suffixes, _balanced_prefix), lambda c: c.isNotNull())
-    return F.when(text.contains("\\boxed{"), last(contents))
+
+    def search(parts: Column) -> Column:
+        def attempt(found: Column, k: Column) -> Column:
+            suffix = F.array_join(F.slice(parts, k, F.size(parts)), "\\boxed{")
+            return F.when(found.isNotNull(), found).otherwise(let(suffix, _balanced_prefix))
+
+        backwards = F.sequence(F.size(parts), F.lit(2), F.lit(-1))
+        return F.aggregate(backwards, F.lit(None).cast("string"), attempt)
+
+    return F.when(text.contains("\\boxed{"), let(F.split(text, V.BOXED_OPEN, -1), search))
 
 
 def text_tail(text: str | Column) -> Column:

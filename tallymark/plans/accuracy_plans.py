@@ -535,7 +535,7 @@ def label_recode(spark, d):
     acc_sql("SELECT model, regime, depth, n_correct, row_number() OVER (ORDER BY model, regime, depth) AS position FROM acc"),
 )
 def sorted_metrics(spark, d):
-    acc = A.depth_accuracy(scored(spark, d)).orderBy("model", "regime", "depth")
+    acc = A.depth_accuracy(scored(spark, d))
     # the metric table is sorted as a whole: one row per model, regime and depth
     cells = F.sort_array(F.collect_list(F.struct("model", "regime", "depth", "n_correct")))
     ranked = acc.agg(cells.alias("c")).select(F.posexplode("c").alias("p", "r"))
@@ -638,3 +638,53 @@ def member_filter(spark, d):
     rows = P.select_members(P.select_members(responses(spark, d), "model", ["m0", MODELS[2]]), "regime", ["cot"])
     rows = P.select_members(rows, "depth", [1, 3, 5])
     return rows.groupBy("model", "regime").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "w5_first_violation",
+    """WITH daily AS (SELECT event_type AS model, 'all' AS regime, CAST(date_part('day', ts) AS INT) AS depth,
+                     count(*) FILTER (value >= 60) / count(*) AS acc FROM events GROUP BY ALL)
+       SELECT model, round(any_value(b), 4) AS baseline_acc, min(depth) FILTER (depth > 1 AND acc < b * 0.7) AS k_star
+       FROM (SELECT d.*, one.acc AS b FROM daily d JOIN (SELECT model, acc FROM daily WHERE depth = 1) one USING (model))
+       GROUP BY model""",
+)
+def first_violation(spark, d):
+    daily = (
+        table(spark, d, "events")
+        .groupBy(F.col("event_type").alias("model"), F.lit("all").alias("regime"), F.dayofmonth("ts").alias("depth"))
+        .agg(F.avg((F.col("value") >= 60).cast("int")).alias("acc"))
+    )
+    return A.depth_ceiling(daily).select("model", "baseline_acc", "k_star")
+
+
+@query(
+    "f4_method_labels",
+    """WITH daily AS (SELECT event_type, CAST(date_part('day', ts) AS INT) AS day, count(*) FILTER (value >= 60) / count(*) AS acc
+                      FROM events GROUP BY ALL)
+       SELECT day, round(c.acc, 6) AS acc_base, round(v.acc, 6) AS acc_method, round(v.acc - c.acc, 6) AS delta
+       FROM daily c JOIN daily v USING (day) WHERE c.event_type = 'click' AND v.event_type = 'view'""",
+)
+def method_labels(spark, d):
+    log = table(spark, d, "events").select(
+        F.col("event_type").alias("method"), F.dayofmonth("ts").alias("day"), (F.col("value") >= 60).alias("correct")
+    )
+    out = J.method_delta(A.accuracy(log, ("method", "day")), ("day",), "click", "view")
+    return rounded(out, "acc_base", "acc_method", "delta")
+
+
+@query(
+    "p7_default_fill",
+    """SELECT depth, corrections_applied, count(*) AS n FROM (
+        SELECT CASE WHEN l_partkey % 3 = 0 THEN l_linenumber WHEN l_partkey % 3 = 1 THEN CAST(l_quantity AS INT) ELSE 0 END AS depth,
+               CASE WHEN l_partkey % 2 = 0 THEN l_linenumber ELSE 0 END AS corrections_applied FROM lineitem) GROUP BY ALL""",
+)
+def default_fill(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr(
+        "CASE WHEN l_partkey % 3 = 0 THEN l_linenumber END AS depth",
+        "CASE WHEN l_partkey % 3 < 2 THEN cast(l_quantity AS int) END AS estimated_steps",
+        "CASE WHEN l_partkey % 2 = 0 THEN l_linenumber END AS corrections_applied",
+    )
+    filled = P.with_defaults(rows, {"corrections_applied": 0, "unverified_fallbacks": 0})
+    return filled.groupBy(P.step_count(filled, "depth", "estimated_steps").alias("depth"), "corrections_applied").agg(
+        F.count(F.lit(1)).alias("n")
+    )

@@ -176,6 +176,21 @@ def context_snapshot(spark, d):
     )
 
 
+_DOCUMENT_PARTS = f"""
+parts AS (SELECT doc_id, cs, len(list_filter(cs, lambda c: NOT {_GOAL_SQL})) AS n_facts
+          FROM (SELECT doc_id, {clauses_sql("text")} AS cs FROM documents))"""
+
+
+@query(
+    "f2_field_names",
+    with_views(_DOCUMENT_PARTS, """SELECT doc_id, CAST(len(cs) AS INT) AS num_clauses,
+        CAST(greatest(1, ceil(n_facts / 3)) AS INT) AS num_chunks FROM parts"""),
+)
+def field_names(spark, d):
+    planned = K.plan_chunks(documents(spark, d), problem="text", size=3)
+    return planned.select("doc_id", "num_clauses", F.size("chunks").alias("num_chunks"))
+
+
 # --- distractors ------------------------------------------------------------------------------------------
 
 _POOL_ITEM = (
