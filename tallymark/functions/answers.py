@@ -128,7 +128,7 @@ def final_answer(text: str | Column) -> Column:
 
 def _flat_boxed(text: Column) -> Column:
     inner = F.translate(F.regexp_extract(text, V.BOXED_FLAT, 1), ",", "")
-    number = to_double(strip(F.regexp_replace(strip(inner), r"^\$+|\$+$", "")))
+    number = to_double(strip(F.regexp_replace(inner, r"^\$+|\$+$", "")))
     return F.when(text.contains("\\boxed{"), number)
 
 

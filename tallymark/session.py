@@ -40,9 +40,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for rows that arrive in few, compact splits but are costly to process.
+    """Use all cores for a table scan whose rows come in few, compact splits but are costly to process.
 
-    A large table has more splits than cores and is left as it is, without a shuffle.
+    A large table has more splits than cores and is left as it is, without a shuffle. For scans only: asking a
+    plan with a shuffle for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
