@@ -124,6 +124,27 @@ BUY_VERBS = ["buys", "purchases"]
 USE_VERBS = ["uses", "spends", "donates", "gives away"]
 FEES = [10, 20, 25]
 MONEY = "$"
+EARN_SENTENCE = "%s %s $%d per hour and works %d hours."
+HALF_SENTENCE = "%s spends half of %s's remaining $ on %s."
+THIRD_SENTENCE = "%s spends a third of %s's remaining $ on %s."
+QUARTER_SENTENCE = "%s spends a quarter of %s's remaining $ on %s."
+BUY_SENTENCE = "%s then %s %d %s at $%d each."
+BONUS_SENTENCE = "%s also receives a $%d bonus."
+FEE_SENTENCE = "A %d%% fee is deducted from %s's total."
+DOUBLE_SENTENCE = "%s doubles %s's current $ total."
+USE_SENTENCE = "%s %s $%d on %s."
+GOAL_SENTENCE = " How much $ does %s have in the end?"
+
+# --- fixed values: ids and file names ----------------------------------------------------------------
+GENERATED_ID = "depth%02d_prob%04d"
+PREPARED_ID = "gsm8k_%04d"
+SEQUENCE_ID = "prob_%04d"
+CHUNK_FILES = "exp4_chunked_*.json"
+CHUNK_FILE_MODEL = r"exp4_chunked_([^/]+?)(?:_ckpt_\d+)?\.json"
+SNAPSHOT_MARK = "_ckpt_"
+QA_FILES = "*_cot.jsonl"
+QA_FILE_MODEL = r"/([^/]+?)_cot\.jsonl"
+SEED_DIR = r"/(seed_[^/]+)/"
 
 # --- fixed values: labels ----------------------------------------------------------------------------
 MODEL_LABELS = {

@@ -53,7 +53,6 @@ def _cancelled(num: Column, den: Column) -> Column:
 
 def _step(actor: Column, key: Column, items: Column, op: Column, acc: Column, i: Column) -> Column:
     """STRUCT<mul, div, less, text, used>: value * mul / div - less."""
-    m = V.MONEY
     item = F.get(items, acc["used"])
     whole = F.greatest(F.lit(1), F.floor(acc["num"] / acc["den"]).cast("int") - 1)
     n = between(2, 5, key, "count", i)
@@ -74,24 +73,18 @@ def _step(actor: Column, key: Column, items: Column, op: Column, acc: Column, i:
             F.lit(used).alias("used"),
         )
 
-    def spends(part: str) -> Column:
-        return F.format_string(f"%s spends {part} of %s's remaining {m} on %s.", actor, actor, item)
+    def say(sentence: str, *words: Column) -> Column:
+        return F.format_string(sentence, *words)
 
     return (
-        F.when(op == 1, row(1, 2, 0, spends("half"), 1))
-        .when(op == 2, row(2, 3, 0, spends("a third"), 1))
-        .when(op == 3, row(3, 4, 0, spends("a quarter"), 1))
-        .when(
-            op == 4,
-            row(1, 1, n * afforded, F.format_string(f"%s then %s %d %s at {m}%d each.", actor, buys, n, item, afforded), 1),
-        )
-        .when(op == 5, row(1, 1, -bonus, F.format_string(f"%s also receives a {m}%d bonus.", actor, bonus), 0))
-        .when(
-            op == 6,
-            row(F.lit(100) - fee, 100, 0, F.format_string("A %d%% fee is deducted from %s's total.", fee, actor), 0),
-        )
-        .when(op == 7, row(2, 1, 0, F.format_string(f"%s doubles %s's current {m} total.", actor, actor), 0))
-        .otherwise(row(1, 1, amount, F.format_string(f"%s %s {m}%d on %s.", actor, uses, amount, item), 1))
+        F.when(op == 1, row(1, 2, 0, say(V.HALF_SENTENCE, actor, actor, item), 1))
+        .when(op == 2, row(2, 3, 0, say(V.THIRD_SENTENCE, actor, actor, item), 1))
+        .when(op == 3, row(3, 4, 0, say(V.QUARTER_SENTENCE, actor, actor, item), 1))
+        .when(op == 4, row(1, 1, n * afforded, say(V.BUY_SENTENCE, actor, buys, n, item, afforded), 1))
+        .when(op == 5, row(1, 1, -bonus, say(V.BONUS_SENTENCE, actor, bonus), 0))
+        .when(op == 6, row(F.lit(100) - fee, 100, 0, say(V.FEE_SENTENCE, fee, actor), 0))
+        .when(op == 7, row(2, 1, 0, say(V.DOUBLE_SENTENCE, actor, actor), 0))
+        .otherwise(row(1, 1, amount, say(V.USE_SENTENCE, actor, uses, amount, item), 1))
     )
 
 
@@ -107,7 +100,7 @@ def generate_problems(df: DataFrame, seed: int | None = None, depth: str = "dept
         hours = between(5, 15, key, "hours", F.lit(0))
         earned = (rate * hours).cast("bigint")
         job = choose(V.JOBS, key, "job", F.lit(0))
-        opening = F.format_string(f"%s %s {V.MONEY}%d per hour and works %d hours.", actor, job, rate, hours)
+        opening = F.format_string(V.EARN_SENTENCE, actor, job, rate, hours)
         start = F.struct(
             earned.alias("num"),
             F.lit(1).cast("bigint").alias("den"),
@@ -149,11 +142,11 @@ def generate_problems(df: DataFrame, seed: int | None = None, depth: str = "dept
     )
     built = df.withColumn("_head", head).withColumn("_built", build(F.col("_head")))
     return built.select(
-        F.format_string("depth%02d_prob%04d", depth, idx).alias("problem_id"),
+        F.format_string(V.GENERATED_ID, depth, idx).alias("problem_id"),
         depth.alias("depth"),
         F.concat(
             F.array_join("_built.sentences", " "),
-            F.format_string(f" How much {V.MONEY} does %s have in the end?", F.col("_head.actor")),
+            F.format_string(V.GOAL_SENTENCE, F.col("_head.actor")),
         ).alias("question"),
         F.element_at("_built.steps", -1).alias("ground_truth"),
         F.col("_built.steps").alias("intermediate_values"),

@@ -92,7 +92,7 @@ def step_count(df: DataFrame, *candidates: str) -> Column:
 def stable_id(df: DataFrame, sequence: str, *candidates: str) -> Column:
     """First non-NULL candidate, else `prob_%04d` of a sequence column."""
     present = [F.col(c) for c in candidates if c in df.columns]
-    return F.coalesce(*present, F.format_string("prob_%04d", F.col(sequence)))
+    return F.coalesce(*present, F.format_string(V.SEQUENCE_ID, F.col(sequence)))
 
 
 def select_members(df: DataFrame, column: str, names: list[str] | None) -> DataFrame:

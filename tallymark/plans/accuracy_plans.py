@@ -576,9 +576,9 @@ def formats(spark, d):
 
 
 def _cells(spark, d, regime: str) -> DataFrame:
-    return scored(spark, d).filter(
-        (F.col("regime") == regime) & F.col("is_correct") & (F.col("depth") > (2 if regime == "cot" else 0))
-    ).select("model", "depth")
+    """Cells of the metric table with a correct answer."""
+    acc = A.depth_accuracy(scored(spark, d).filter(F.col("regime") == regime))
+    return acc.filter((F.col("n_correct") > 0) & (F.col("depth") > (2 if regime == "cot" else 0)))
 
 
 _CELLS = """

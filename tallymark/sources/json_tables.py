@@ -115,8 +115,8 @@ def read_qa_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame
     df = (
         spark.read.schema(S.QA_RESULT)
         .option("mode", "DROPMALFORMED")
-        .json(f"{path}/*_cot.jsonl")
-        .withColumn("model", first_match(_file_path(), r"/([^/]+?)_cot\.jsonl"))
+        .json(f"{path}/{V.QA_FILES}")
+        .withColumn("model", first_match(_file_path(), V.QA_FILE_MODEL))
         .dropna(subset=["problem_id", "is_correct"])
     )
     df = _require_rows(df, path) if check else df
@@ -129,12 +129,9 @@ def read_qa_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame
     )
 
 
-CHUNK_FILE = r"exp4_chunked_([^/]+?)(?:_ckpt_\d+)?\.json"
-
-
 def model_of_file(path: Column) -> Column:
     """Model in the name of a chunk-result file or folder, without a snapshot suffix."""
-    return first_match(path, CHUNK_FILE)
+    return first_match(path, V.CHUNK_FILE_MODEL)
 
 
 def read_chunk_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -145,9 +142,9 @@ def read_chunk_results(spark: SparkSession, path: str, multi_line: bool = True)
     df = (
         spark.read.schema(S.CHUNK_RESULT)
         .option("multiLine", multi_line)
-        .json(f"{path}/exp4_chunked_*.json")
+        .json(f"{path}/{V.CHUNK_FILES}")
         .withColumn("_path", _file_path())
-        .filter(~F.col("_path").contains("_ckpt_"))
+        .filter(~F.col("_path").contains(V.SNAPSHOT_MARK))
     )
     counters = ["corrections_applied", "unverified_fallbacks", "extraction_failures", "num_chunks"]
     return df.select(
@@ -163,7 +160,7 @@ def read_chunk_results(spark: SparkSession, path: str, multi_line: bool = True)
 
 def seed_of_path(path: Column) -> Column:
     """`seed_…` directory a file lies in, else NULL."""
-    return first_match(path, r"/(seed_[^/]+)/")
+    return first_match(path, V.SEED_DIR)
 
 
 def read_seed_logs(spark: SparkSession, base: str, glob: str = "*", schema: str = S.DEPTH_RESULT) -> DataFrame:
@@ -205,11 +202,14 @@ def prepare_qa(df: DataFrame, idx: str = "idx", min_steps: int | None = V.MIN_ST
 
     The row number is an input column: ids have to name the same problem on every run.
     """
-    out = df.select(
-        F.format_string("gsm8k_%04d", F.col(idx)).alias("problem_id"),
+    # one generated row per row: a filter on a plain column would be pushed below and parse each answer twice
+    parsed = F.struct(A.gold_number("answer").alias("ground_truth"), A.count_steps("answer").alias("estimated_steps"))
+    out = df.select(idx, "question", "answer", F.inline_outer(F.array(parsed))).select(
+        F.format_string(V.PREPARED_ID, F.col(idx)).alias("problem_id"),
         "question",
         "answer",
-        A.gold_number("answer").alias("ground_truth"),
-        A.count_steps("answer").alias("estimated_steps"),
-    ).filter(F.col("ground_truth").isNotNull())
+        "ground_truth",
+        "estimated_steps",
+    )
+    out = out.filter(F.col("ground_truth").isNotNull())
     return out if min_steps is None else out.filter(F.col("estimated_steps") >= min_steps)
