@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 
 
+def _laid_out(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Few files per directory: rows of a directory meet in few tasks, AQE splits a directory that is too large."""
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Whole result set as JSON lines."""
-    df.write.mode("overwrite").partitionBy(*partition_by).json(path)
+    _laid_out(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).json(path)
     return path
 
 
 def append_log(df: DataFrame, path: str, partition_by: Sequence[str] = ("model", "regime")) -> str:
     """Append rows to a result log laid out by model and regime."""
-    df.write.mode("append").partitionBy(*partition_by).json(path)
+    _laid_out(df, partition_by).write.mode("append").partitionBy(*partition_by).json(path)
     return path
 
 
