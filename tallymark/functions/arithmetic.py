@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from . import fixed as V
 from .base import col, find_all, let, plain_text, rewrite_matches, strip
 
-# One matched chain is held between these brackets, so that a second pass meets it as a unit.
-_OPEN, _CLOSE = "⟦", "⟧"
+# A match is rewritten to a token of its parts between these brackets; a chain keeps its text with the equals sign
+# replaced, so that the second pass finds nothing inside it.
+_OPEN, _CLOSE, _EQUALS = "⟦", "⟧", "⟨"
 EXPRESSIONS = "ARRAY<STRUCT<left: DOUBLE, op: STRING, right: DOUBLE, claimed: DOUBLE, full_match: STRING>>"
-_BINARY = rf"{V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*=\s*{V.OPERAND}"
+_BINARY = rf"(?<![\d/]){V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*=\s*{V.OPERAND}"
+_BINARY_TOKEN = f"{_OPEN}$1|$2|$3|$4|$0{_CLOSE}"
 _NONZERO_DIVISION = r"(?!\d+(?:\.\d+)?\s*[/÷]\s*0+(?:\.0+)?\s*[+\-*/×÷])"
 _CHAIN = (
     rf"(?<![\d/]){_NONZERO_DIVISION}"
-    rf"{V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*=\s*{V.OPERAND}"
+    rf"({V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*)=(\s*{V.OPERAND})"
 )
-_CHAIN_OR_BINARY = rf"{_OPEN}[^{_CLOSE}]*{_CLOSE}|(?<![\d/]){_BINARY}"
+_CHAIN_TOKEN = f"{_OPEN}$2|$3|$4|$5|$6|$8|$1{_EQUALS}$7{_CLOSE}"
 
 
 def plain_arithmetic(text: str | Column) -> Column:
@@ -100,50 +102,31 @@ def _expression(left: Column, op: Column, right: Column, claimed: Column, full:
     )
 
 
-def _binary_expressions(match: Column) -> Column:
-    part = lambda i: F.regexp_extract(match, _BINARY, i)
-    return F.array(
-        _expression(
-            part(1).cast("double"), _operator(part(2)), part(3).cast("double"), part(4).cast("double"), match
-        )
+def _expressions_of(parts: Column) -> Column:
+    """Expressions of a token; a chain `a op b op c = d` is `a op b = x` and `x op c = d`, from left to right."""
+    part = lambda i: F.get(parts, F.lit(i))
+    number = lambda i: part(i).cast("double")
+    binary = F.array(_expression(number(0), _operator(part(1)), number(2), number(3), part(4)))
+    chain = let(
+        F.round(evaluate(number(0), _operator(part(1)), number(2)), 10),
+        lambda x: F.array(
+            _expression(number(0), _operator(part(1)), number(2), x, F.concat_ws(" ", part(0), part(1), part(2))),
+            _expression(x, _operator(part(3)), number(4), number(5), F.translate(part(6), _EQUALS, "=")),
+        ),
     )
-
-
-def _chain_expressions(token: Column) -> Column:
-    """`a op b op c = d` becomes `a op b = x` and `x op c = d`, strictly from left to right."""
-
-    def split_up(p: Column) -> Column:
-        a, op1, b, op2, c, d, full = (F.get(p, F.lit(i)) for i in range(7))
-        x = F.round(evaluate(a.cast("double"), _operator(op1), b.cast("double")), 10)
-        return let(
-            x,
-            lambda mid: F.array(
-                _expression(
-                    a.cast("double"), _operator(op1), b.cast("double"), mid, F.concat_ws(" ", a, op1, b)
-                ),
-                _expression(mid, _operator(op2), c.cast("double"), d.cast("double"), full),
-            ),
-        )
-
-    inner = F.translate(token, _OPEN + _CLOSE, "")
-    return let(F.split(inner, r"\|", 7), split_up)
+    return F.when(F.size(parts) == 7, chain).otherwise(binary)
 
 
 def expressions_in(text: str | Column, names: str | Column | None = None) -> Column:
     """All `a op b = c` and `a op b op c = d` of a text, in order. ARRAY<STRUCT<left,op,right,claimed,full_match>>."""
+
     def found(t: Column) -> Column:
-        plain = expand_fractions(plain_arithmetic(F.translate(t, _OPEN + _CLOSE, "")))
+        plain = expand_fractions(plain_arithmetic(F.translate(t, _OPEN + _CLOSE + _EQUALS, "")))
         if names is not None:
             plain = substitute_names(plain, names)
-        marked = F.regexp_replace(plain, _CHAIN, f"{_OPEN}$1|$2|$3|$4|$5|$6|$0{_CLOSE}")
-        return F.flatten(
-            F.transform(
-                find_all(marked, _CHAIN_OR_BINARY),
-                lambda m: F.when(F.startswith(m, F.lit(_OPEN)), _chain_expressions(m)).otherwise(
-                    _binary_expressions(m)
-                ),
-            )
-        )
+        marked = F.regexp_replace(F.regexp_replace(plain, _CHAIN, _CHAIN_TOKEN), _BINARY, _BINARY_TOKEN)
+        tokens = find_all(marked, f"{_OPEN}([^{_CLOSE}]*){_CLOSE}", 1)
+        return F.flatten(F.transform(tokens, lambda k: let(F.split(k, r"\|"), _expressions_of)))
 
     nothing = F.array().cast(EXPRESSIONS)
     return let(col(text), lambda t: F.when(t.contains("="), found(t)).otherwise(nothing))
