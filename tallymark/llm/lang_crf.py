@@ -23,7 +23,7 @@ from tallymark.llm.common import held_out, map_arrow
 #: Most documents per language, and words of each, that the field learns from; documents are picked by a hash of the id.
 TRAIN_DOCS, TRAIN_WORDS = 200, 150
 LEXICON, BITS, MAX_LANGS, CACHE = 400, 16, 500, 400_000
-UNKNOWN, KEEP_FROM = "und", 0.5
+UNKNOWN, KEEP_FROM = "und", 0.4
 _TOKEN = re.compile(r"[^\W\d_]+|\n")
 _FIRST, _LAST = "\x02", "\x03"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -98,6 +98,8 @@ class Labeller:
 
     def posteriors(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         """Tokens (words and line ends) of each text with the label posteriors of each; rows of line ends are zero."""
+        if not texts:
+            return
         tokens = [_TOKEN.findall(t) for t in texts]
         if len(self.known) > CACHE:
             self._clear()
