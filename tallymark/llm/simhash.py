@@ -161,3 +161,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(known.join(named, "root").select("fp", "component_id"), "components")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that name their component, one row for each id, with all their columns.
+
+    Rows with a NULL doc_id cannot be told apart and stay.
+    """
+    found = near_duplicates(docs, **options)
+    named = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, docs["doc_id"] == named["doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id IS NULL"))
