@@ -25,7 +25,7 @@ CHUNK, OVERLAP = 16384, 512
 #: Boundaries this close to a chunk's cut may look different with the text that follows: the longest fixed alternative
 #: of the pattern has three characters, and one more is looked at.
 MARGIN = 4
-CACHE = 400_000
+CACHE = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -22,7 +22,7 @@ from tallymark.llm.common import held_out, map_arrow
 
 #: Most documents per language, and words of each, that the field learns from; documents are picked by a hash of the id.
 TRAIN_DOCS, TRAIN_WORDS = 200, 150
-LEXICON, BITS, MAX_LANGS, CACHE = 400, 16, 500, 400_000
+LEXICON, BITS, MAX_LANGS, CACHE = 400, 16, 500, 200_000
 UNKNOWN, KEEP_FROM = "und", 0.4
 _TOKEN = re.compile(r"[^\W\d_]+|\n")
 _FIRST, _LAST = "\x02", "\x03"

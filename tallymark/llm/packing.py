@@ -6,13 +6,15 @@ not from documents: it says which ranks of which length go to which sequences. S
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -22,27 +24,151 @@ from tallymark.llm.common import cut, map_arrow
 CAPACITY, END_ID, CACHE, BUCKETS = 4096, 1, 400_000, 64
 
 
+class Merges:
+    """Byte-pair merges of many words at once: every round merges the pair of least rank, the leftmost, in all words.
+
+    For words of letters that the tokenizer treats as one pre-token; ids are those of its vocabulary.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids = model["vocab"]
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        rest = [b for b in range(256) if b not in own]
+        shown = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}  # byte-level alphabet
+        self.inner = np.array([ids[shown[b]] for b in range(256)], np.int64)
+        self.final = np.array([ids[shown[b] + model["end_of_word_suffix"]] for b in range(256)], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        keys = np.array([(ids[x] << 16) | ids[y] for x, y in pairs], np.int64)
+        made = np.array([ids[x + y] for x, y in pairs], np.int64)
+        self.slots = np.full(1 << 19, -1, np.int64)
+        self.rank, self.made = np.zeros(1 << 19, np.int64), np.zeros(1 << 19, np.int64)
+        left = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(left):  # pairs take the next free slot, one pair per slot and round
+            free = self.slots[at] < 0
+            _, first = np.unique(at, return_index=True)
+            placed = np.zeros(len(left), bool)
+            placed[first] = free[first]
+            self.slots[at[placed]] = keys[left[placed]]
+            self.rank[at[placed]], self.made[at[placed]] = left[placed], made[left[placed]]
+            left, at = left[~placed], (at[~placed] + 1) & (len(self.slots) - 1)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Slots of pairs, -1 where they do not merge."""
+        keys = (a << 16) | b
+        at = self._slot(keys)
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.flatnonzero((a >= 0) & (b >= 0))
+        while len(todo):
+            there = self.slots[at[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit & (there >= 0)]
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+        return out
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        for k in range(0, len(order), 4096):
+            self._some(words, order[k : k + 4096], size, out)
+        return out
+
+    def _some(self, words: list[bytes], rows: np.ndarray, size: np.ndarray, out: list[bytes]) -> None:
+        n, width = size[rows], int(size[rows].max()) + 1
+        owner = np.repeat(np.arange(len(rows)), n)
+        column = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        byte = np.frombuffer(b"".join(words[r] for r in rows.tolist()), np.uint8)
+        symbols = np.full((len(rows), width), -1, np.int64)
+        symbols[owner, column] = np.where(column == n[owner] - 1, self.final[byte], self.inner[byte])
+        slots = self._find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(rows), width - 1)
+        none = np.iinfo(np.int64).max
+        rank = np.where(slots >= 0, self.rank[slots], none)
+        live = np.arange(len(rows))
+        columns = np.arange(width)
+        while True:
+            best = rank[live].argmin(axis=1)
+            going = rank[live, best] < none
+            live, best = live[going], best[going]
+            if not len(live):
+                break
+            made = self.made[slots[live, best]]
+            moved = np.minimum(columns[None, :] + (columns[None, :] > best[:, None]), width - 1)
+            s = np.take_along_axis(symbols[live], moved, axis=1)
+            s[np.arange(len(live)), best] = made
+            symbols[live] = s
+            moved = moved[:, :-1]
+            moved = np.minimum(moved, width - 2)
+            slots[live] = np.take_along_axis(slots[live], moved, axis=1)
+            for place in (best - 1, best):  # the pairs beside the new symbol
+                ok = place >= 0
+                r, p = live[ok], place[ok]
+                slots[r, p] = self._find(symbols[r, p], symbols[r, p + 1])
+            rank[live] = np.where(slots[live] >= 0, self.rank[slots[live]], none)
+        real = symbols >= 0
+        ids, end = symbols[real].astype("<u4").tobytes(), 0
+        for r, count in zip(rows.tolist(), (4 * real.sum(axis=1)).tolist(), strict=True):
+            out[r] = ids[end : end + count]
+            end += count
+
+
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,4})")  # letters, then marks without an apostrophe
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space: words between ASCII white space are encoded once and kept."""
+    """Ids of texts by a tokenizer that lower-cases and drops white space: words are encoded once and kept, up to a bound.
+
+    Pre-tokens never cross white space, and letters and marks are pre-tokens of their own. Words of Latin letters, with
+    marks behind, take their letters' ids from the merges directly and the marks' from the tokenizer; all other words go
+    to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
         self._known: dict[bytes, bytes] = {}
+        self._marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        known = self._known
+        if len(known) > CACHE:
+            known.clear()
+        plain: list[tuple[bytes, bytes, str]] = []
+        others = []
+        match = _PLAIN.fullmatch
+        for w in words.difference(known):
+            if m := match(w.decode()):
+                letters, marks = m.groups()
+                if marks not in self._marks:
+                    self._marks[marks] = self._whole([marks])[0]
+                plain.append((w, letters.lower().encode(), marks))
+            else:
+                others.append(w)
+        cores = list({core for _, core, _ in plain}.difference(known))
+        known.update(zip(cores, self.merges.ids(cores), strict=True))
+        known.update([(w, known[core] + self._marks[marks]) for w, core, marks in plain])
+        for k in range(0, len(others), 4096):
+            part = others[k : k + 4096]
+            known.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts."""
+        words = [t.encode().split() for t in texts]
+        self.learn(set().union(*words))
+        for w in words:
+            yield b"".join(map(self._known.__getitem__, w))
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text."""
-        words, known = text.encode().split(), self._known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = list(set(words).difference(known))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        return next(self.batch([text]))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -54,8 +180,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(text.as_py() or "") + end
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.batch(texts), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -176,8 +303,6 @@ def _ranked(found: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Pieces with their rank among equals of length inside a bucket, and the counts of (length, bucket)."""
     by_bucket = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     counts = by_bucket.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")
     return by_bucket.withColumn("rank", F.row_number().over(w) - 1), counts
 

@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.llm import induced
 from tallymark.llm.common import cut, map_arrow, shuffle_width
@@ -184,8 +186,9 @@ def _with_pieces(texts: DataFrame, flagged: DataFrame) -> tuple[DataFrame, DataF
     joined = texts.join(flagged, ["d", "t"]).select("d", "t", "text", "runs.first", "runs.n", "runs.h", "row")
 
     def cut_out(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for d, t, text, first, n, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(k) for k in (2, 3, 4, 5)), strict=True):
-            raw = text.as_py().encode()
+            raw = unpack(text.as_py())
             for f, m, x in zip(first.as_py(), n.as_py(), h.as_py(), strict=True):
                 yield d, t, x, f, m, raw[f : f + m + LENGTH - 1]
 
@@ -243,7 +246,16 @@ def repeated_starts(docs: DataFrame, carried: list[str]) -> tuple[DataFrame, Dat
     """Texts with their keys, dealt by key, and per key the runs of starts (begin, end) that repeat."""
     spark = docs.sparkSession
     keyed = _keyed(docs, carried)
-    texts = keyed.repartition(shuffle_width(spark), "d", "t")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            small = pa.array([pack(text.as_py().encode()) for text in batch.column(2)], pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), small, batch.column(3)], ["d", "t", "text", "row"])
+
+    # texts are most of what is dealt out, so they travel compressed
+    kinds = T.StructType([keyed.schema["d"], keyed.schema["t"], T.StructField("text", T.BinaryType()), keyed.schema["row"]])
+    texts = map_arrow(keyed, squeeze, kinds).repartition(shuffle_width(spark), "d", "t")
     pieces, places = _with_pieces(texts, _flagged_runs(keyed))
     spans = _place_spans(pieces)
     pairs = F.transform(
@@ -260,8 +272,8 @@ def repeated_starts(docs: DataFrame, carried: list[str]) -> tuple[DataFrame, Dat
     return texts, starts
 
 
-def _kept(text: str, begins, ends) -> tuple[int, list[tuple[int, int]], bytes]:
-    raw = text.encode()
+def _kept(packed: bytes, begins, ends) -> tuple[int, list[tuple[int, int]], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
     spans = removed_spans(len(raw), list(zip(begins or (), ends or (), strict=True)))
     out, at = [], 0
     for a, b in spans:
@@ -311,8 +323,7 @@ def strip_texts(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(kept, pa.string())], ["row", "text"])
 
     joined = texts.join(starts, ["d", "t"], "left").select("row", "text", "begins", "ends")
-    kind = texts.schema["row"].dataType.simpleString()
-    done = map_arrow(joined, run, f"row {kind}, text string")
+    done = map_arrow(joined, run, T.StructType([texts.schema["row"], T.StructField("text", T.StringType())]))
     columns = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
