@@ -101,6 +101,9 @@ class Labeller:
         if not texts:
             return
         tokens = [_TOKEN.findall(t) for t in texts]
+        if not self.field.langs:
+            yield from ((t, np.zeros((len(t), 0))) for t in tokens)
+            return
         if len(self.known) > CACHE:
             self._clear()
         self._learn(set().union(*tokens))
