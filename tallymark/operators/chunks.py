@@ -50,7 +50,8 @@ def explode_chunks(planned: DataFrame) -> DataFrame:
 def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Recorded attempts (one row each) to one row per problem with a list of chunks; one shuffle.
 
-    Expects chunk_idx, attempt, clause_text and response; `carry` columns are constant per problem.
+    Expects chunk_idx, attempt, clause_text and response; `carry` columns are constant per problem. A chunk is what has
+    one chunk_idx; its text is that of its first attempt.
     """
     rows = df.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
@@ -58,20 +59,16 @@ def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ())
     )
 
     def chunk(head: Column) -> Column:
-        mine = F.filter("_rows", lambda r: r["chunk_idx"] == head["chunk_idx"])
+        mine = F.filter("_rows", lambda r: r["chunk_idx"].eqNullSafe(head))
         return F.struct(
-            head["chunk_idx"].alias("chunk_idx"),
-            head["clause_text"].alias("clause_text"),
+            head.alias("chunk_idx"),
+            F.get(mine, F.lit(0))["clause_text"].alias("clause_text"),
             F.transform(mine, lambda r: F.struct(r["attempt"].alias("attempt"), r["response"].alias("response"))).alias(
                 "attempts"
             ),
         )
 
-    heads = F.array_distinct(
-        F.transform(
-            "_rows", lambda r: F.struct(r["chunk_idx"].alias("chunk_idx"), r["clause_text"].alias("clause_text"))
-        )
-    )
+    heads = F.array_distinct(F.transform("_rows", lambda r: r["chunk_idx"]))
     return rows.select(*keys, *carry, F.transform(heads, chunk).alias("chunks"))
 
 

@@ -55,19 +55,20 @@ def running_totals(
     sums = list(totals)
     rows = log.select(key, *order, bucket.alias("_bucket"), *[c.alias(n) for n, c in totals.items()])
     per_bucket = rows.groupBy(key, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(f"_{n}") for n in sums]
+        F.count(F.lit(1)).alias("_row_count"), *[F.sum(n).alias(f"_{n}") for n in sums]
     )
     before = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        key,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_before") for n in ("n", *sums)],
+        F.col(key).alias("_key"),
+        F.col("_bucket").alias("_of"),
+        *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}_before") for n in ("row_count", *sums)],
     )
     inside = W.partitionBy(key, "_bucket").orderBy(*order)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = (
-        rows.join(offsets, [key, "_bucket"])
-        .withColumn("row_no", F.col("_n_before") + F.row_number().over(inside))
+        # NULL keys and order values are rows like others
+        rows.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of")))
+        .withColumn("row_no", F.col("_row_count_before") + F.row_number().over(inside))
         .select(
             key,
             *order,

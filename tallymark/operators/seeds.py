@@ -98,14 +98,21 @@ def delta_across_depths(ms_acc: DataFrame, base: str = "cot", method: str = "chu
 def delta_across_seeds(
     per_seed: DataFrame, base: str = "cot", method: str = "chunked", draws: int = V.BOOTSTRAP_DRAWS
 ) -> DataFrame:
-    """Mean per-seed difference at each depth with a bootstrap interval."""
-    deltas = method_delta(per_seed, ("seed", "model", "depth"), base, method)
-    grouped = deltas.groupBy("model", "depth").agg(
-        F.count(F.lit(1)).alias("n_seeds"),
-        F.avg("delta").alias("mean_delta"),
-        by_seed("delta").alias("_values"),
+    """Difference of the two methods' means over all seeds at each depth.
+
+    The bootstrap interval is of the differences in seeds that have both methods; without such a seed it is the mean.
+    """
+    means = method_delta(
+        per_seed.groupBy("model", "method", "depth").agg(F.avg("acc").alias("acc")), ("model", "depth"), base, method
+    ).select("model", "depth", F.col("delta").alias("mean_delta"))
+    paired = method_delta(per_seed, ("seed", "model", "depth"), base, method)
+    paired = paired.groupBy("model", "depth").agg(F.count(F.lit(1)).alias("n_seeds"), by_seed("delta").alias("_values"))
+    grouped = means.join(paired, ["model", "depth"], "left").select(
+        "model", "depth", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), "mean_delta",
+        F.coalesce("_values", F.array().cast("array<double>")).alias("_values"),
     )
-    return with_bootstrap(grouped, "_values", ("model", "depth"), draws)
+    out = with_bootstrap(grouped, "_values", ("model", "depth"), draws)
+    return out.withColumns({c: F.coalesce(c, "mean_delta") for c in ("ci_lo", "ci_hi")})
 
 
 def first_seed(df: DataFrame) -> DataFrame:

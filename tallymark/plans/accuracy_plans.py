@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed as V
 from ..operators import compare as J
 from ..operators import metrics as A
 from ..operators import scoring as P
@@ -242,14 +243,14 @@ cells AS (
          list(acc ORDER BY seed) AS vs, {", ".join(f"max(acc) FILTER (seed = '{s}') AS acc_{s}" for s in SEEDS)}
   FROM per_seed GROUP BY model, method, depth
 )""",
-        bootstrap_sql("vs", "model || '|' || method || '|' || depth", 1000),
+        bootstrap_sql("vs", "model || '|' || method || '|' || depth", V.BOOTSTRAP_DRAWS),
         f"""SELECT model, method, depth, n_seeds, round(acc, 6) AS acc, round(std_acc, 6) AS std_acc,
             {", ".join(f"round(acc_{s}, 6) AS acc_{s}" for s in SEEDS)}, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi
         FROM cells JOIN bounds ON key = model || '|' || method || '|' || depth""",
     ),
 )
 def multi_seed_accuracy(spark, d):
-    out = S.across_seeds(S.seed_accuracy(methods(spark, d)), SEEDS, draws=1000)
+    out = S.across_seeds(S.seed_accuracy(methods(spark, d)), SEEDS)
     return rounded(out, "acc", "std_acc", "ci_lo", "ci_hi", *[f"acc_{s}" for s in SEEDS])
 
 
@@ -260,7 +261,7 @@ def multi_seed_accuracy(spark, d):
   SELECT event_type, list(v ORDER BY day) AS vs FROM (
     SELECT event_type, date_trunc('day', ts) AS day, round(sum(value), 2) / count(*) AS v FROM events GROUP BY ALL) GROUP BY 1
 )""",
-        bootstrap_sql("vs", "event_type", 1000),
+        bootstrap_sql("vs", "event_type", V.BOOTSTRAP_DRAWS),
         "SELECT key AS event_type, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi FROM bounds",
     ),
 )
@@ -271,7 +272,7 @@ def bootstrap_interval(spark, d):
         .agg((F.round(F.sum("value"), 2) / F.count(F.lit(1))).alias("v"))
     )
     cells = daily.groupBy("event_type").agg(S.by_seed("v").alias("vs"))
-    return rounded(S.with_bootstrap(cells, "vs", ["event_type"], 1000), "ci_lo", "ci_hi")
+    return rounded(S.with_bootstrap(cells, "vs", ["event_type"]), "ci_lo", "ci_hi")
 
 
 @query(
@@ -289,18 +290,21 @@ def macro_multi_seed(spark, d):
     per_seed_sql(
         """
 cells AS (
-  SELECT model, depth, count(*) AS n_seeds, avg(delta) AS mean_delta, list(delta ORDER BY seed) AS vs
-  FROM (SELECT c.seed, c.model, c.depth, c.acc - x.acc AS delta FROM per_seed c
-        JOIN per_seed x USING (seed, model, depth) WHERE c.method = 'cot' AND x.method = 'direct')
-  GROUP BY model, depth
+  SELECT m.model, m.depth, count(p.delta) AS n_seeds, any_value(m.mean_delta) AS mean_delta,
+         list(p.delta ORDER BY p.seed) FILTER (p.delta IS NOT NULL) AS vs
+  FROM (SELECT model, depth, avg(acc) FILTER (method = 'cot') - avg(acc) FILTER (method = 'direct') AS mean_delta
+        FROM per_seed GROUP BY ALL HAVING mean_delta IS NOT NULL) m
+  LEFT JOIN (SELECT c.seed, c.model, c.depth, c.acc - x.acc AS delta FROM per_seed c
+        JOIN per_seed x USING (seed, model, depth) WHERE c.method = 'cot' AND x.method = 'direct') p USING (model, depth)
+  GROUP BY m.model, m.depth
 )""",
-        bootstrap_sql("vs", "model || '|' || depth", 1000),
+        bootstrap_sql("vs", "model || '|' || depth", V.BOOTSTRAP_DRAWS),
         """SELECT model, depth, n_seeds, round(mean_delta, 6) AS mean_delta, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi
         FROM cells JOIN bounds ON key = model || '|' || depth""",
     ),
 )
 def delta_across_seeds(spark, d):
-    out = S.delta_across_seeds(S.seed_accuracy(methods(spark, d)), "direct", "cot", draws=1000)
+    out = S.delta_across_seeds(S.seed_accuracy(methods(spark, d)), "direct", "cot")
     return rounded(out, "mean_delta", "ci_lo", "ci_hi")
 
 

@@ -64,7 +64,7 @@ def problems_of(orders: DataFrame) -> DataFrame:
             F.expr("element_at(vals, -1)").alias("gold"),
             F.expr(
                 "'Store ' || k || ' opens with ' || qs[0] || ' items. ' || "
-                "array_join(transform(slice(qs, 2, 8), q -> 'It then gets ' || q || ' items'), '. ') || "
+                "array_join(transform(slice(qs, 2, size(qs)), q -> 'It then gets ' || q || ' items'), '. ') || "
                 f"{_QUESTION_TAIL}"
             ).alias("question"),
         )

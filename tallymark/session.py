@@ -30,10 +30,12 @@ def local_session(cpus: int = 8, app: str = "tallymark") -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder the cluster names in `spark.checkpoint.dir`.
 
-    Only where that setting is absent (local tests) a temporary folder is set for the session.
+    Only in a local session without that setting (tests) a temporary folder is set; on a cluster its lack is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, "tallymark", f"{name}-{uuid.uuid4().hex}")

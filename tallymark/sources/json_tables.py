@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import answers as A
@@ -93,9 +94,45 @@ def _require_rows(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
+_CORRUPT = "_not_json"
+_NUMBERS = (T.IntegerType, T.LongType, T.DoubleType)
+
+
+def _as_texts(schema: str) -> T.StructType:
+    """The schema with numbers and flags as texts, which any JSON value can be read into."""
+    texts = (*_NUMBERS, T.BooleanType)
+    fields = T.StructType.fromDDL(schema).fields
+    return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, texts) else f.dataType) for f in fields])
+
+
+def _typed(schema: str, column: Callable[[str], Column] = F.col) -> list[Column]:
+    """Columns of texts cast as a reader would: 3, 3.0 and "3" are numbers, 1 and 0 flags; anything else is NULL."""
+    out = []
+    for f in T.StructType.fromDDL(schema).fields:
+        c = column(f.name)
+        if isinstance(f.dataType, T.BooleanType):
+            c = F.when(F.lower(c).isin("true", "false"), F.lower(c) == "true").otherwise(c.try_cast("double") != 0)
+        elif isinstance(f.dataType, T.DoubleType):
+            c = c.try_cast("double")
+        elif isinstance(f.dataType, _NUMBERS):
+            c = F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint")).try_cast(f.dataType)
+        out.append(c.alias(f.name))
+    return out
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON lines, with the file they are from. A line is parsed once and whole: whether it is a record does
+    not depend on the columns that are asked for, nor on the types of its values."""
+    parsed = T.StructType([*_as_texts(schema).fields, T.StructField(_CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    lines = spark.read.text(path).select(F.from_json("value", parsed, options).alias("r"), F.trim("value").alias("line"), _file_path().alias("_path"))
+    records = lines.filter((F.col("line") != "") & F.col("r").isNotNull() & F.col(f"r.{_CORRUPT}").isNull() & F.col("line").startswith("{"))
+    return records.select(*_typed(schema, lambda c: F.col("r")[c]), "_path")
+
+
 def read_log(spark: SparkSession, path: str, schema: str = S.DEPTH_RESULT, check: bool = True) -> DataFrame:
-    """JSON lines; blank and malformed lines are skipped, a log without any record is an error."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines; blank lines and lines that are not JSON are skipped, a log without any record is an error."""
+    df = _json_lines(spark, path, schema).drop("_path")
     return _require_rows(df, path) if check else df
 
 
@@ -113,10 +150,8 @@ def read_method_log(spark: SparkSession, path: str, check: bool = True) -> DataF
 def read_qa_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """`<model>_cot.jsonl` logs (files or folders); the model is the one in the name."""
     df = (
-        spark.read.schema(S.QA_RESULT)
-        .option("mode", "DROPMALFORMED")
-        .json(f"{path}/{V.QA_FILES}")
-        .withColumn("model", first_match(_file_path(), V.QA_FILE_MODEL))
+        _json_lines(spark, f"{path}/{V.QA_FILES}", S.QA_RESULT)
+        .withColumn("model", first_match(F.col("_path"), V.QA_FILE_MODEL))
         .dropna(subset=["problem_id", "is_correct"])
     )
     df = _require_rows(df, path) if check else df
@@ -140,10 +175,10 @@ def read_chunk_results(spark: SparkSession, path: str, multi_line: bool = True)
     Intermediate snapshots repeat rows of the final file and are not read.
     """
     df = (
-        spark.read.schema(S.CHUNK_RESULT)
+        spark.read.schema(_as_texts(S.CHUNK_RESULT))
         .option("multiLine", multi_line)
         .json(f"{path}/{V.CHUNK_FILES}")
-        .withColumn("_path", _file_path())
+        .select(*_typed(S.CHUNK_RESULT), _file_path().alias("_path"))
         .filter(~F.col("_path").contains(V.SNAPSHOT_MARK))
     )
     counters = ["corrections_applied", "unverified_fallbacks", "extraction_failures", "num_chunks"]
@@ -163,10 +198,11 @@ def seed_of_path(path: Column) -> Column:
     return first_match(path, V.SEED_DIR)
 
 
-def read_seed_logs(spark: SparkSession, base: str, glob: str = "*", schema: str = S.DEPTH_RESULT) -> DataFrame:
-    """Logs of all `seed_*` directories as one table with a seed column."""
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{base}/seed_*/{glob}")
-    return df.withColumn("seed", seed_of_path(_file_path()))
+def read_seed_logs(spark: SparkSession, base: str, glob: str = "*", schema: str = S.DEPTH_RESULT, check: bool = True) -> DataFrame:
+    """Logs of all `seed_*` directories as one table with a seed column; no record at all is an error."""
+    df = _json_lines(spark, f"{base}/seed_*/{glob}", schema)
+    df = df.withColumn("seed", seed_of_path(F.col("_path"))).drop("_path")
+    return _require_rows(df, base) if check else df
 
 
 def read_payload(spark: SparkSession, path: str, blocks: Sequence[str] = ("original", "enhanced")) -> DataFrame:

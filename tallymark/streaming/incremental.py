@@ -31,27 +31,30 @@ def score_incrementally(
     path: str,
     checkpoint: str,
     event_time: str | None = None,
-    delay: str = "1 hour",
 ) -> StreamingQuery:
-    """Score new log rows, each key once, into a parquet table.
+    """Score new log rows, each key once, into a parquet table; late keys are new keys like others.
 
-    With an event time, duplicates are remembered for `delay` only and the state stays bounded. Without one the
-    sink itself is the memory: each batch keeps its first row per key and drops keys already written, so there
-    is no state to grow; a batch replayed after a failure rewrites its own directory.
+    The sink itself is the memory: each batch drops keys already written, so there is no state to grow and no row is
+    lost to a watermark. Of a batch's rows with one key the earliest by `event_time`, then the least by all columns, stays, so a batch
+    replayed after a failure rewrites its own directory with the same rows.
     """
-    if event_time is not None:
-        unique = log.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
-        return _start(
-            score(unique).writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint
-        )
-
     spark = log.sparkSession
     batch_dir = f"{path}/batch_id="
     schema = score(log).schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
         done = _table(spark, path, schema).filter(F.col("batch_id") < batch_id)
-        fresh = pending(batch.dropDuplicates(list(keys)), done, keys)
+        order = [event_time] if event_time else []
+        rest = [c for c in batch.columns if c not in keys and c not in order]
+        least = F.min(F.struct(*order, *rest)).alias("_row")
+        # a map has no order: batches with one keep any of equal keys
+        sortable = not any(isinstance(batch.schema[c].dataType, T.MapType) for c in rest)
+        first = (
+            batch.groupBy(*keys).agg(least).select(*keys, "_row.*").select(*batch.columns)
+            if sortable and (rest or order)
+            else batch.dropDuplicates(list(keys))
+        )
+        fresh = pending(first, done, keys)
         score(fresh).write.mode("overwrite").parquet(f"{batch_dir}{batch_id}")
 
     return _start(log.writeStream.foreachBatch(write), checkpoint)
@@ -62,7 +65,9 @@ def _table(spark: SparkSession, path: str, schema) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
     try:
         return spark.read.schema(full).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
 
 

@@ -168,3 +168,36 @@ def test_optional_fields(spark):
     df = spark.createDataFrame([(None, 3), (2, 5)], "depth INT, estimated_steps INT")
     assert [r.s for r in df.select(P.step_count(df, "depth", "estimated_steps").alias("s")).collect()] == [3, 2]
     assert [tuple(r) for r in P.with_defaults(df, {"depth": 0, "note": "x"}).collect()] == [(0, 3, "x"), (2, 5, "x")]
+
+
+def test_delta_is_of_means_over_all_seeds(spark):
+    rows = [("s1", "m", "cot", 4, 0.5), ("s1", "m", "chunked", 4, 0.6), ("s2", "m", "chunked", 4, 0.9), ("s1", "m", "cot", 5, 0.25), ("s2", "m", "chunked", 5, 0.75)]
+    from tallymark.operators import seeds
+
+    df = spark.createDataFrame(rows, "seed string, model string, method string, depth int, acc double")
+    got = {r.depth: r for r in seeds.delta_across_seeds(df, draws=20).collect()}
+    assert round(got[4].mean_delta, 9) == 0.25 and round(got[4].ci_lo, 9) == round(got[4].ci_hi, 9) == 0.1
+    assert (got[5].mean_delta, got[5].ci_lo, got[5].ci_hi) == (0.5, 0.5, 0.5)
+
+
+def test_running_totals_keep_null_rows(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.operators import logs
+
+    df = spark.createDataFrame([("a", 1), ("a", None), (None, 2), ("a", 3)], "k string, t int")
+    got = logs.running_totals(df, "k", ["t"], {"n": F.lit(1)}, F.col("t") % 2).collect()
+    assert sorted(r.row_no for r in got) == [1, 1, 2, 3]
+
+
+def test_failed_prompts_fail_alone(spark):
+    from tallymark.operators.respond import respond
+
+    def fn(prompts, systems, temperature):
+        if "bad" in prompts:
+            raise RuntimeError("503")
+        return prompts[:1] if len(prompts) > 1 and "short" in prompts else list(prompts)
+
+    df = spark.createDataFrame([(p, "") for p in ("a", "bad", "short", "b")], "user_prompt string, system_prompt string").coalesce(1)
+    got = {r.user_prompt: r.response for r in respond(df, fn).collect()}
+    assert got == {"a": "a", "bad": "[ERROR: 503]", "short": "short", "b": "b"}

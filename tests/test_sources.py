@@ -183,3 +183,28 @@ def test_metric_csv(spark, tmp_path):
     path = O.write_csv(acc.orderBy("depth"), str(tmp_path / "csv"))
     back = spark.read.option("header", True).schema("model STRING, depth INT, acc DOUBLE").csv(path)
     assert sorted(tuple(r) for r in back.collect()) == [("m", 1, 0.5), ("m", 2, 0.0)]
+
+
+def test_late_keys_are_scored(spark, tmp_path):
+    log, out, ckpt = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    for name, rows in (("1.json", [("a", "1", "2024-01-09")]), ("2.json", [("c", "3", "2024-02-01"), ("a", "1", "2024-01-09")]), ("3.json", [("b", "2", "2024-01-01")])):
+        add_batch(log, name, rows)
+        R.score_incrementally(R.stream_files(spark, str(log), LOG_SCHEMA), as_answer, ["problem_id"], out, ckpt, "ts").awaitTermination()
+    assert sorted(r.problem_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_log_values_are_cast_and_rows_do_not_depend_on_columns(spark, tmp_path):
+    lines = [
+        '{"model": "m", "regime": "cot", "depth": 3, "is_correct": true}',
+        '{"model": "m", "regime": "cot", "depth": 3.0, "is_correct": 1}',
+        '{"model": "m", "regime": "cot", "depth": "3", "is_correct": 0}',
+        '{"model": "m", "regime": "cot", "depth": "x", "is_correct": false}',
+        '{"model": "m", "regime": "co',
+        "",
+        "[]",
+    ]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    log = I.read_log(spark, str(tmp_path / "log.jsonl"))
+    assert log.count() == len(log.collect()) == log.select("model").count() == 4
+    got = I.read_method_log(spark, str(tmp_path / "log.jsonl"))
+    assert sorted((r.depth, r.correct) for r in got.collect()) == [(3, False), (3, True), (3, True)]
