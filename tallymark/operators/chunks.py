@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import arithmetic as M
 from ..functions import clauses as C
+from ..functions import fixed as V
 from ..functions.base import col, last, let, plain_text
 from ..schemas import VERIFICATION
 
@@ -29,6 +30,12 @@ LOG = (
 )
 
 
+def chunk_size(model: str | Column, sizes: dict[str, int] | None = None, default: int = 2) -> Column:
+    """Facts per chunk for a model; unknown and NULL models get the default."""
+    found = [F.when(col(model) == m, n) for m, n in (V.CHUNK_SIZES if sizes is None else sizes).items()]
+    return F.coalesce(*found, F.lit(default))
+
+
 def plan_chunks(df: DataFrame, problem: str = "question", size: int | Column = 2) -> DataFrame:
     """Adds num_clauses and chunks (list of clause lists) to a problem table."""
     return df.withColumn("_clauses", C.split_clauses(problem)).select(

@@ -16,13 +16,15 @@ from .scoring import gold_text
 
 
 def filter_records(df: DataFrame, response: str = "filter_response", question: str = "question") -> DataFrame:
-    """Adds relevant_clauses, irrelevant_clauses, filter_failed and clean_problem."""
+    """Adds relevant_clauses, irrelevant_clauses, their numbers, filter_failed and clean_problem."""
     return (
         df.withColumn("_lines", C.parse_filter_lines(response))
         .withColumn("relevant_clauses", F.col("_lines.relevant"))
         .withColumn("irrelevant_clauses", F.col("_lines.irrelevant"))
         .drop("_lines")
-        .withColumn("filter_failed", F.size("relevant_clauses") == 0)
+        .withColumn("n_relevant", F.size("relevant_clauses"))
+        .withColumn("n_irrelevant", F.size("irrelevant_clauses"))
+        .withColumn("filter_failed", F.col("n_relevant") == 0)
         .withColumn(
             "clean_problem",
             F.when(F.col("filter_failed"), F.col(question)).otherwise(F.array_join("relevant_clauses", " ")),
@@ -49,9 +51,17 @@ def _share(condition: Column) -> Column:
 
 
 def filter_summary(df: DataFrame, by: Sequence[str] = ("solver_model",)) -> DataFrame:
-    """Accuracy overall and by filter outcome, failure rate, clauses kept and removed."""
+    """Accuracy overall and by filter outcome, failure rate, clauses kept and removed.
+
+    Needs the numbers of clauses only, so that no clause text has to go through a join; the lists serve where they lack.
+    """
     failed = F.coalesce(F.col("filter_failed"), F.lit(False))
-    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>")))
+
+    def number(kind: str) -> Column:
+        if f"n_{kind}" in df.columns:
+            return F.coalesce(F.col(f"n_{kind}"), F.lit(0))
+        return F.size(F.coalesce(F.col(f"{kind}_clauses"), F.array().cast("array<string>")))
+
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         ratio(F.count_if("is_correct"), F.count(F.lit(1))).alias("accuracy"),
@@ -60,8 +70,8 @@ def filter_summary(df: DataFrame, by: Sequence[str] = ("solver_model",)) -> Data
         F.count_if(failed).alias("n_filter_failed"),
         _share(failed).alias("acc_filter_failed"),
         ratio(F.count_if(failed), F.count(F.lit(1))).alias("fail_rate"),
-        F.avg(size("relevant_clauses")).alias("avg_relevant"),
-        F.avg(size("irrelevant_clauses")).alias("avg_irrelevant"),
+        F.avg(number("relevant")).alias("avg_relevant"),
+        F.avg(number("irrelevant")).alias("avg_irrelevant"),
     )
 
 

@@ -273,7 +273,7 @@ def metrics_csv(spark, d):
     acc = A.depth_accuracy(scored(spark, d)).select(
         "model", "regime", "depth", "n_total", "n_correct", "n_collapse", r6("acc").alias("acc"), "collapse_rate", "step_acc"
     )
-    path = O.write_csv(acc, shared_dir(spark, "k3"))
+    path = O.write_csv(acc, shared_dir(spark, "k3"), ["model", "regime", "depth"])
     back = spark.read.schema(S.ACCURACY_METRIC).option("header", True).csv(path)
     return back.select("model", "regime", "depth", "n_total", "n_correct", "acc")
 

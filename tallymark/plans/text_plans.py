@@ -100,8 +100,9 @@ def goal_clauses(spark, d):
     )
 
 
-_CHUNKED = f"""
-parts AS (SELECT problem_id, 2 + k % 3 AS size, cs, list_filter(cs, lambda c: NOT {_GOAL_SQL}) AS facts,
+def _chunked(size: str) -> str:
+    return f"""
+parts AS (SELECT problem_id, {size} AS size, cs, list_filter(cs, lambda c: NOT {_GOAL_SQL}) AS facts,
                  list_filter(cs, lambda c: {_GOAL_SQL}) AS goals
           FROM (SELECT *, {clauses_sql("question")} AS cs FROM asked)),
 asks AS (SELECT *, CASE WHEN len(goals) > 0 THEN goals ELSE [{quoted(V.GOAL_FALLBACK)}] END AS gs FROM parts),
@@ -113,6 +114,11 @@ routed AS (
 )"""
 
 
+_CHUNKED = _chunked("2 + k % 3")
+#: Two models with a chunk size of their own and one without, dealt to the problems by their key.
+_SIZED_MODELS = ["qwen25_math_1.5b", "gemma4_e2b", "another_model"]
+
+
 def routed(spark, d) -> DataFrame:
     rows = asked(spark, d).withColumn("size", F.expr("cast(2 + k % 3 as int)"))
     return K.plan_chunks(rows, "question", F.col("size")).select("problem_id", "num_clauses", "chunks")
@@ -130,6 +136,18 @@ def route_chunks(spark, d):
     )
 
 
+@query(
+    "x26_chunk_size_by_model",
+    with_views(PROBLEMS, ASKED, _chunked("CASE WHEN k % 3 = 1 THEN 4 ELSE 2 END"),
+               "SELECT problem_id, num_clauses, CAST(len(chunks) AS INT) AS num_chunks FROM routed"),
+)
+def chunk_size_by_model(spark, d):
+    names = F.array(*[F.lit(m) for m in _SIZED_MODELS])
+    rows = asked(spark, d).withColumn("model", F.get(names, (F.col("k") % 3).cast("int")))
+    planned = K.plan_chunks(rows, "question", K.chunk_size("model"))
+    return planned.select("problem_id", "num_clauses", F.size("chunks").alias("num_chunks"))
+
+
 @query(
     "w2_numbered_clauses",
     with_views(PROBLEMS, ASKED, _CHUNKED, f"""SELECT problem_id, CAST(i - 1 AS INT) AS chunk_idx,
@@ -402,7 +420,7 @@ def solved(spark, d) -> DataFrame:
     """Filter records joined to their examples and three recorded solver answers each."""
     examples = labelled_documents(spark, d)
     records = Z.filter_records(examples.select("problem_id", "question", "filter_response")).select(
-        "problem_id", "filter_failed", "clean_problem", "relevant_clauses", "irrelevant_clauses"
+        "problem_id", "filter_failed", "clean_problem", "n_relevant", "n_irrelevant"
     )
     joined = Z.attach_filter(examples.select("problem_id", "doc_id", "answer", "distractor", "distractor_type"), records)
     solvers = ", ".join(f"named_struct('solver_model', '{m}', 'model_idx', {i})" for i, m in enumerate(MODELS))

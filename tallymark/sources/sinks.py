@@ -27,9 +27,13 @@ def append_log(df: DataFrame, path: str, partition_by: Sequence[str] = ("model",
     return path
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """Metric table as CSV with a header; metric tables are small, so one file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> str:
+    """Metric table as one CSV file with a header, sorted by `order`.
+
+    Metric tables are small; the shuffle into one partition keeps the stages before it parallel.
+    """
+    one = df.repartition(1)
+    (one.sortWithinPartitions(*order) if order else one).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
