@@ -55,6 +55,21 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def one_each(df: DataFrame, key: str) -> DataFrame:
+    """The least row of every key, by all columns: rows repeated any number of times count once."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*").select(*df.columns)
+
+
+def sample_runs(n: int, most: int, run: int) -> list[range]:
+    """Runs of neighbours, `run` long and spread evenly over 0 .. n - 1, with `most` places in all; everything if n is no more."""
+    if n <= most:
+        return [range(n)]
+    run = min(run, most)
+    count = most // run
+    return [range(at, at + run) for at in ((n - run) * k // max(1, count - 1) for k in range(count))]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition of costly rows, which adaptive execution must not merge."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

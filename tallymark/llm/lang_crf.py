@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm import crf
-from tallymark.llm.common import held_out, map_arrow
+from tallymark.llm.common import held_out, map_arrow, one_each, sample_runs
 
 #: Most documents per language, and words of each, that the field learns from; documents are picked by a hash of the id.
-TRAIN_DOCS, TRAIN_WORDS = 200, 150
+TRAIN_DOCS, TRAIN_WORDS, TRAIN_RUN = 200, 150, 25
 LEXICON, BITS, MAX_LANGS, CACHE = 400, 16, 500, 200_000
 UNKNOWN, KEEP_FROM = "und", 0.4
 _TOKEN = re.compile(r"[^\W\d_]+|\n")
@@ -204,6 +204,7 @@ def fit(samples: list[tuple[str, list[str]]], rounds: int = 25, rate: float = 0.
 def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS) -> Field:
     """Field from about `n_docs` documents of every language outside the held-out fold, `n_words` tokens of each.
 
+    The tokens of a longer text are runs spread over all of it. A document that is there several times teaches once.
     Only text and lang teach; rows without either, or with a NULL id, do not. More than MAX_LANGS languages are an error.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
@@ -218,10 +219,13 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [_TOKEN.findall(t.as_py() or "")[:n_words] for t in batch.column(1)]
+            tokens = []
+            for words in (_TOKEN.findall(t.as_py() or "") for t in batch.column(1)):
+                runs = [words[r.start : r.stop] for r in sample_runs(len(words), n_words, TRAIN_RUN)]
+                tokens.append([w for k, r in enumerate(runs) for w in (["\n", *r] if k else r)])
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "lang", "tokens"])
 
-    got = sorted(map_arrow(rows.where(draw < share), run, "doc_id long, lang string, tokens array<string>").collect())
+    got = sorted(one_each(map_arrow(rows.where(draw < share), run, "doc_id long, lang string, tokens array<string>"), "doc_id").collect())
     return fit([(r.lang, r.tokens) for r in got])
 
 

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm import crf
-from tallymark.llm.common import held_out, map_arrow
+from tallymark.llm.common import held_out, map_arrow, one_each, sample_runs
 
 #: Most labelled documents, and lines of each, that the field learns from; documents are picked by a hash of the id.
-TRAIN_DOCS, TRAIN_LINES = 3000, 200
+TRAIN_DOCS, TRAIN_LINES, TRAIN_RUN = 3000, 200, 50
 KEEP_SHARE, MIN_WORDS, MAX_REPEAT = 0.5, 50, 50
 _SYMBOLS = b"#*$%&|<>"
 _CLASS = np.zeros((256, 5))  # symbols, digits, capitals, other marks, sentence ends
@@ -162,8 +162,9 @@ def fit(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, l2:
 def train(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, n_lines: int = TRAIN_LINES) -> Field:
     """Field from a bounded sample of labelled documents outside the held-out fold (see `fit`).
 
-    Half of the sample is of either class where there are enough. The first `n_lines` lines of a sampled document
-    teach; the limit is for learning only. Ids labelled both ways and NULL ids or labels teach nothing.
+    Half of the sample is of either class where there are enough. At most `n_lines` lines of a sampled document teach,
+    in runs spread over the whole text; the limit is for learning only. A document that is there several times teaches
+    once. Ids labelled both ways and NULL ids or labels teach nothing.
     """
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
@@ -178,12 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, n_docs: int = TRAIN_DOCS, n_lines:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [line_features((t.as_py() or "").encode())[0][:n_lines].ravel().tolist() for t in batch.column(2)]
+            found = (line_features((t.as_py() or "").encode())[0] for t in batch.column(2))
+            rows = [np.concatenate([x[r.start : r.stop] for r in sample_runs(len(x), n_lines, TRAIN_RUN)]).ravel().tolist() for x in found]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "quality", "lines"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "quality", "text")
-    got = sorted(map_arrow(sample, run, "doc_id long, quality int, lines array<double>").collect())
+    got = sorted(one_each(map_arrow(sample, run, "doc_id long, quality int, lines array<double>"), "doc_id").collect())
     return fit([np.array(r.lines).reshape(-1, FEATURES) for r in got], np.array([r.quality for r in got], np.int64))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm import boost
-from tallymark.llm.common import held_out, map_arrow
+from tallymark.llm.common import held_out, map_arrow, one_each
 
 #: Most labelled rows the trees learn from; they are picked by a hash of the id.
 TRAIN_ROWS, KEEP_FROM = 8000, 0.7
@@ -84,7 +84,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> boost.T
     """Trees from at most about `rows` labelled documents outside the held-out fold, the ids of least hash.
 
     Rows of `labels` with a NULL id or quality, and ids labelled both ways, teach nothing. The sample is joined by a
-    broadcast of ids, whose number `rows` bounds; its statistics, not its texts, reach the driver.
+    broadcast of ids, whose number `rows` bounds; its statistics, not its texts, reach the driver, one row for each id.
     """
     known = (
         labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> boost.T
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sample = texts.join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
-    got = sorted(map_arrow(sample, run, "doc_id long, quality int, stats array<double>").collect())[: 2 * rows]
+    got = sorted(one_each(map_arrow(sample, run, "doc_id long, quality int, stats array<double>"), "doc_id").collect())
     x = np.array([r.stats for r in got], np.float64).reshape(len(got), len(NAMES))
     return boost.train(x, np.array([r.quality for r in got], np.float64))
 

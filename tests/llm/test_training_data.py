@@ -13,6 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tallymark.llm import bpe, chat_tree, induced, int8_tiles, lang_crf, line_crf, packing, passages, quality_trees, simhash, url_filter
+from tallymark.llm.common import one_each, sample_runs
 from tallymark.llm.queries import QUERIES, RANKS, WORD_TOKENIZER, oracles
 from tests.oracle import connect, spark_rows, sql_rows
 
@@ -352,3 +353,19 @@ def test_pipeline_stages(spark, sf_dir):
         if name.startswith("suffix"):
             assert set(after) == set(before) and all(r.n_chars == len(r.text) for r in after.values())
     assert sum(r.piece == 0 for r in p.STAGES[-1][1](spark, done, sf_dir).collect()) == done.count()
+
+
+def test_sample_runs_cover_the_whole():
+    assert sample_runs(0, 200, 50) == [range(0)]
+    assert sample_runs(200, 200, 50) == [range(200)]
+    runs = sample_runs(1001, 200, 50)
+    assert [len(r) for r in runs] == [50] * 4
+    assert runs[0].start == 0 and runs[-1].stop == 1001
+    assert all(a.stop <= b.start for a, b in zip(runs, runs[1:], strict=False))
+    assert sample_runs(10, 4, 25) == [range(4)]
+
+
+def test_repeated_rows_teach_once(spark):
+    rows = [(1, [2.0, 3.0])] * 5 + [(2, [1.0])] + [(1, [2.0, 1.0])]
+    got = one_each(spark.createDataFrame(rows, "doc_id long, x array<double>"), "doc_id").collect()
+    assert sorted((r.doc_id, r.x) for r in got) == [(1, [2.0, 1.0]), (2, [1.0])]
