@@ -301,19 +301,17 @@ def payload_explode(spark, d):
     return rows.select("model", "variant", "n_correct", "n_evaluated", r6("accuracy").alias("accuracy"))
 
 
-@query(
-    "k6_report",
-    scored_sql(f"""SELECT count(*) AS n_documents, TRUE AS has_prompt, max(a) - min(a) AS spread FROM (
-        SELECT 1 AS one, round(max(accuracy) FILTER (variant = 'original' AND model = 'm0'), 6) AS a FROM ({_VARIANT_SQL}))"""),
-)
+_REPORT_SCHEMA = "original map<string, struct<accuracy: double, n_correct: long, n_evaluated: long>>"
+_REPORT_SCHEMA += ", " + _REPORT_SCHEMA.replace("original", "enhanced")
+
+
+@query("k6_report", scored_sql(_VARIANT_SQL))
 def report(spark, d):
-    out = O.report(_variants(spark, d))
-    accuracy = F.get_json_object("value", "$.original.m0.accuracy").cast("double")
-    return out.agg(
-        F.count(F.lit(1)).alias("n_documents"),
-        F.bool_and(F.get_json_object("value", "$.meta.system_prompt").isNotNull()).alias("has_prompt"),
-        (F.max(accuracy) - F.min(accuracy)).alias("spread"),
-    )
+    """Every model's figures, read back from the one document of the report."""
+    back = O.report(_variants(spark, d)).select(F.from_json("value", _REPORT_SCHEMA).alias("r"))
+    variants = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"r.{v}").alias("models")) for v in ("original", "enhanced")])
+    models = back.select(F.explode(variants).alias("v")).select("v.variant", F.explode("v.models").alias("model", "m"))
+    return models.select("model", "variant", "m.n_correct", "m.n_evaluated", r6("m.accuracy").alias("accuracy"))
 
 
 @query(

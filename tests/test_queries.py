@@ -10,7 +10,7 @@ from tallymark.plans import ORACLES, QUERIES
 
 FAMILIES = [
     "flagship_depth_metrics", "a8_multi_seed_accuracy", "a16_filter_summary", "a18_detection_table", "a19_depth_ceiling",
-    "a25_preparation_profile", "j1_resume", "j3_filter_cache", "j7_gap_to_best", "j10_dense_grid", "k7_distracted_export",
+    "a25_preparation_profile", "j1_resume", "j3_filter_cache", "j7_gap_to_best", "j10_dense_grid", "k6_report", "k7_distracted_export",
     "p10_prompt_table", "p11_error_capture", "r1_incremental_scoring", "r3_cache_upsert", "s5_lenient_log",
     "s8_model_from_path", "s10_payload_explode", "s12_generate_problems", "t2_first_per_depth", "u1_stack_methods",
     "w1_running_accuracy", "w6_chunk_fold", "x26_chunk_size_by_model", "x1_inject_distractor", "x9_final_answer", "x20_expressions", "x33_filter_lines",
