@@ -8,7 +8,7 @@ counts of the four quarters. What is left is compared in full with exclusive-or
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +42,16 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, seed: int = SEED)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): a narrow map over whole texts; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, seed: int = SEED, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp, *also): a narrow map over whole texts; fp is the fingerprint as a signed long, `also` are long columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *also])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
+    return map_arrow(texts, run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -146,6 +147,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return map_arrow(met, run, "a long, b long")
 
 
+def rooted(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
+    """`distinct` fingerprints with `root`, the fingerprint that stands for their component."""
+    found = components(links(distinct, radius, tile))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS, seed: int = SEED, tile: int = TILE) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
@@ -156,19 +163,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_
     """
     marked = cut(fingerprints(docs, width, seed), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = components(links(distinct, radius, tile))
-    known = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = rooted(distinct, radius, tile)
     named = known.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = cut(known.join(named, "root").select("fp", "component_id"), "components")
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that name their component, one row for each id, with all their columns.
+def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS, seed: int = SEED, tile: int = TILE) -> DataFrame:
+    """One row of `docs` for each component (see `near_duplicates`), with all its columns: the least by doc_id, NULL
+    last, then by hashes of the text and of the whole row.
 
-    Rows with a NULL doc_id cannot be told apart and stay.
+    Ids need not be unique: texts that are no near-duplicates all stay, whatever their ids, and rows with a NULL doc_id
+    are deduplicated like others. Rows are told apart by two 64-bit hashes.
     """
-    found = near_duplicates(docs, **options)
-    named = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, docs["doc_id"] == named["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.xxhash64(*every, *[c.isNull() for c in every])})
+    marked = cut(fingerprints(keyed, width, seed, ("_text", "_row")), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text", "_row")
+    distinct = marked.groupBy("fp").agg(F.min(rank).alias("least"))
+    least = rooted(distinct, radius, tile).groupBy("root").agg(F.min("least").alias("least"))
+    # repeated rows are merged before the shuffle already
+    return keyed.dropDuplicates(["_text", "_row"]).join(least.select("least._text", "least._row"), ["_text", "_row"], "left_semi").drop("_text", "_row")

@@ -369,3 +369,15 @@ def test_repeated_rows_teach_once(spark):
     rows = [(1, [2.0, 3.0])] * 5 + [(2, [1.0])] + [(1, [2.0, 1.0])]
     got = one_each(spark.createDataFrame(rows, "doc_id long, x array<double>"), "doc_id").collect()
     assert sorted((r.doc_id, r.x) for r in got) == [(1, [2.0, 1.0]), (2, [1.0])]
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    # two texts with one id; a group named by a clashing id; copies without ids, alone and beside one with an id
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, c), (None, c), (None, None), (3, d), (None, d), (4, "")]
+    for k in (1, 5):
+        kept = simhash.keep_one(docs(spark, rows).repartition(k)).collect()
+        assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, a), (1, b), (None, c), (3, d), (4, "")], key=str)
+    other = spark.createDataFrame([(1, a, "en", s, "x", 1) for s in "tsu"], DOCS)
+    assert len({tuple(simhash.keep_one(other.repartition(k, "source")).first()) for k in (1, 2, 3)}) == 1
+    assert simhash.keep_one(docs(spark, [])).count() == 0
