@@ -55,10 +55,10 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def one_each(df: DataFrame, key: str) -> DataFrame:
+def one_each(df: DataFrame, *keys: str) -> DataFrame:
     """The least row of every key, by all columns: rows repeated any number of times count once."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*").select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
 def sample_runs(n: int, most: int, run: int) -> list[range]:

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.llm import crf
@@ -202,20 +203,22 @@ def fit(samples: list[tuple[str, list[str]]], rounds: int = 25, rate: float = 0.
 
 
 def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS) -> Field:
-    """Field from about `n_docs` documents of every language outside the held-out fold, `n_words` tokens of each.
+    """Field from `n_docs` documents of every language outside the held-out fold (all if there are fewer), `n_words`
+    tokens of each.
 
-    The tokens of a longer text are runs spread over all of it. A document that is there several times teaches once.
-    Only text and lang teach; rows without either, or with a NULL id, do not. More than MAX_LANGS languages are an error.
+    The tokens of a longer text are runs spread over all of it. A document that is there several times teaches once, an
+    id with several languages once in each. Only text and lang teach; rows without a letter, a language or an id do not.
+    More than MAX_LANGS languages are an error.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
+    if rows.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages in lang")
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, n_docs / r["count"]))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    # distinct ids, so that repeated rows take no one's place; each task drops all but a language's first before the shuffle
+    drawn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = rows.select("lang", "doc_id").distinct().withColumn("n", drawn).where(F.col("n") <= n_docs).drop("n")
+    sample = rows.join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +228,7 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS)
                 tokens.append([w for k, r in enumerate(runs) for w in (["\n", *r] if k else r)])
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "lang", "tokens"])
 
-    got = sorted(one_each(map_arrow(rows.where(draw < share), run, "doc_id long, lang string, tokens array<string>"), "doc_id").collect())
+    got = sorted(one_each(map_arrow(sample, run, "doc_id long, lang string, tokens array<string>"), "doc_id", "lang").collect())
     return fit([(r.lang, r.tokens) for r in got])
 
 

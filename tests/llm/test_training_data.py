@@ -381,3 +381,13 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     other = spark.createDataFrame([(1, a, "en", s, "x", 1) for s in "tsu"], DOCS)
     assert len({tuple(simhash.keep_one(other.repartition(k, "source")).first()) for k in (1, 2, 3)}) == 1
     assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_every_language_with_a_usable_document_teaches(spark):
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"the house of number {'abcdef'[i % 6]}", "en") for i in ids[:40]]
+    rows += [(i, "das ist ein haus", "de") for i in ids[40:45]] * 60  # five ids, repeated
+    rows += [(i, "une maison", "fr") for i in ids[:2]]  # ids that English has too
+    rows += [(i, t, "es") for i in ids[50:80] for t in (None, "", "12 !")] + [(ids[80], "la casa", "es")]  # one usable text
+    table = spark.createDataFrame([(i, t, lang, "s", "x", 1) for i, t, lang in rows], DOCS)
+    assert lang_crf.train(table, n_docs=2).langs == ["de", "en", "es", "fr"]
