@@ -4,8 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from tallymark.llm import bpe, chat_tree, int8_tiles, lang_crf, line_crf, packing, passages, quality_trees, simhash, url_filter
+from pyspark.sql import functions as F
+
+from tallymark.llm import (
+    bpe,
+    chat_tree,
+    hard_negatives,
+    int8_tiles,
+    lang_crf,
+    line_crf,
+    packing,
+    passages,
+    periodic_runs,
+    quality_trees,
+    secret_scan,
+    simhash,
+    url_filter,
+)
 from tallymark.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,6 +74,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train())
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,10 +100,17 @@ QUERIES = {
         op8_chat_tree,
         op9_repeated_passages,
         op10_packing,
+        op11_secret_scan,
+        op12_hard_negatives,
+        op13_periodic_runs,
     )
 }
 
 
 def oracles() -> dict[str, str]:
     """SQL where DuckDB can express a query; the others are tested against brute force and held-out rows."""
-    return {"op3_url_filter": url_filter.oracle(url_filter.train())}
+    return {
+        "op3_url_filter": url_filter.oracle(url_filter.train()),
+        "op11_secret_scan": secret_scan.oracle(secret_scan.train()),
+        "op12_hard_negatives": hard_negatives.ORACLE,
+    }
