@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import cut, map_arrow, shuffle_width
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256.0
-BLOCK, LEAST_BLOCK = 1 << 16, 1 << 10  # rows of a block: at most, and down to this few so that all tasks have some
+BLOCK, LEAST_BLOCK = 1 << 16, 1 << 12  # rows of a block: at most, and down to this few so that all tasks have some
 SEGMENTS = (4, 16)  # of a vector, coarse and fine
 _EXACT = 1 << 53  # doubles hold whole numbers up to here
 _CELLS = 1 << 21
@@ -55,32 +55,40 @@ class Vectors:
     def some(self, at) -> Vectors:
         return Vectors(self.ids[at], self.labels[at], self.x[at], [(m[at], d[at]) for m, d in self.levels])
 
+    def norms(self) -> np.ndarray:
+        mean, rest = self.levels[-1]
+        return np.sqrt((mean**2).sum(axis=1) + (rest**2).sum(axis=1))
+
     def top(self) -> float:
         return float(np.abs(self.x).max(initial=0))
 
 
-def products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
-    """Inner products of paired rows; `exact` says that doubles hold every sum."""
-    if exact:
-        return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    whole = [sum(int(u) * int(v) for u, v in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)]
-    return np.array([min(max(s, _LONG.min), _LONG.max) for s in whole], np.int64)
+def products(a: Vectors, b: Vectors) -> np.ndarray:
+    """Whole-number inner products of all rows of a with all rows of b."""
+    if a.top() * b.top() * max(1, a.x.shape[1]) < _EXACT:
+        return a.x @ b.x.T  # every partial sum is a whole number that a double holds
+    left, right = ([[int(v) for v in row] for row in x] for x in (a.x, b.x))
+    return np.array([[min(max(sum(map(int.__mul__, u, v)), _LONG.min), _LONG.max) for v in right] for u in left], np.int64)
 
 
 def open_pairs(a: Vectors, b: Vectors, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (of a, of b) whose score may lie in [low, high] of the row of a, after all levels of bounds."""
-    i = j = None
+    """Rows of b, and which of their pairs with the rows of a, whose score may lie in [low, high] of the row of a.
+
+    Each level of segments works on what the one before leaves open.
+    """
+    rows, still = np.arange(len(b)), None
+    # far above the rounding of the sums, which is relative to the norms
+    slack = (1e-6 + 1e-9 * a.norms() * b.norms().max(initial=0))[:, None]
+    low, high = low[:, None] - slack, high[:, None] + slack
     for (ma, da), (mb, db) in zip(a.levels, b.levels, strict=True):
-        if i is None:
-            middle, radius = ma @ mb.T, da @ db.T
-            lo, hi = low[:, None], high[:, None]
-        else:
-            middle, radius = np.einsum("ij,ij->i", ma[i], mb[j]), np.einsum("ij,ij->i", da[i], db[j])
-            lo, hi = low[i], high[i]
-        slack = 1e-9 * (np.abs(middle) + radius) + 1e-6  # far above the rounding of the sums
-        fits = (middle + radius + slack >= lo) & (middle - radius - slack <= hi)
-        i, j = np.nonzero(fits) if i is None else (i[fits], j[fits])
-    return i, j
+        middle, radius = ma @ mb[rows].T, da @ db[rows].T
+        fits = middle + radius >= low
+        fits &= middle - radius <= high
+        if still is not None:
+            fits &= still
+        some = fits.any(axis=0)
+        rows, still = rows[some], fits[:, some]
+    return rows, still
 
 
 def _first(owner: np.ndarray, scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -93,27 +101,41 @@ def _first(owner: np.ndarray, scores: np.ndarray, ids: np.ndarray, n: int) -> np
 
 
 def nearest(a: Vectors, b: Vectors, n: int, same: bool, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row of a, row of b, score): for each row of a its first n rows of b with the same (or a different) label, another
-    id and a score in [low, high]; a row of b scored later is opened only where its bound reaches the n-th score so far."""
-    exact = a.top() * b.top() * max(1, a.x.shape[1]) < _EXACT
+    """(row of a, window, row of b, score): the first n rows of b for each row of a and each of its windows.
+
+    low and high have a column for each window; a row of b counts where its label is the same (or differs), its id differs
+    and its score is within. Once a window has n rows, bounds below the last of their scores close a pair.
+    """
+    windows = low.shape[1]
     owner, other, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    floor = low.astype(np.float64)
+    floor = low.copy()
     step = max(64, _CELLS // max(1, len(a)))
     for k in range(0, len(b), step):
         part = b.some(slice(k, k + step))
-        i, j = open_pairs(a, part, floor, high.astype(np.float64))
-        fits = ((a.labels[i] == part.labels[j]) == same) & (a.ids[i] != part.ids[j])
-        i, j = i[fits], j[fits]
-        s = np.concatenate([products(a.x[i[p : p + _CELLS // 16]], part.x[j[p : p + _CELLS // 16]], exact) for p in range(0, len(i), _CELLS // 16)] or [score[:0]])
-        fits = (s >= low[i]) & (s <= high[i])
-        owner, other, score = np.concatenate([owner, i[fits]]), np.concatenate([other, j[fits] + k]), np.concatenate([score, s[fits]])
+        rows, still = open_pairs(a, part, floor.min(axis=1).astype(np.float64), high.max(axis=1).astype(np.float64))
+        if not len(rows):
+            continue
+        part = part.some(rows)
+        s = products(a, part)
+        still &= (a.labels[:, None] == part.labels) == same
+        still &= a.ids[:, None] != part.ids
+        found = [(owner, other, score)]
+        for w in range(windows):
+            fits = still & (s >= floor[:, w, None]) & (s <= high[:, w, None])
+            many = np.flatnonzero(np.count_nonzero(fits, axis=1) > n)
+            if len(many):  # only scores from the n-th on
+                held = np.where(fits[many], s[many], _LONG.min)
+                fits[many] &= s[many] >= np.partition(held, -n, axis=1)[:, -n, None]
+            i, j = np.nonzero(fits)
+            found.append((i * windows + w, rows[j] + k, s[i, j].astype(np.int64)))
+        owner, other, score = (np.concatenate(c) for c in zip(*found, strict=True))
         best = _first(owner, score, b.ids[other], n)
         owner, other, score = owner[best], other[best], score[best]
-        count = np.bincount(owner, minlength=len(a))
+        count = np.bincount(owner, minlength=windows * len(a))
         full = np.flatnonzero(count >= n)
-        last = np.cumsum(count) - 1
-        floor[full] = np.maximum(floor[full], score[last[full]].astype(np.float64))
-    return owner, other, score
+        last = score[np.cumsum(count)[full] - 1]
+        floor.flat[full] = np.maximum(floor.flat[full], last)
+    return owner // windows, owner % windows, other, score
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -148,7 +170,7 @@ def _meet(rows: DataFrame, anchors: DataFrame, by: Sequence[str], work: Callable
     width = shuffle_width(spark)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     few = F.ceil(F.col("_n") / LEAST_BLOCK)
-    sizes = sizes.withColumn("_parts", F.greatest(F.ceil(F.col("_n") / BLOCK), F.least(few, F.lit(4 * width))).cast("int")).drop("_n")
+    sizes = sizes.withColumn("_parts", F.greatest(F.ceil(F.col("_n") / BLOCK), F.least(few, F.lit(2 * width))).cast("int")).drop("_n")
     key = F.concat_ws(",", *by, "_part").alias("key")
     held = rows.join(sizes, list(by)).withColumn("_part", F.pmod(F.xxhash64("vec_id"), "_parts").cast("int"))
     past = anchors.join(sizes, list(by)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
@@ -195,30 +217,26 @@ def _meet(rows: DataFrame, anchors: DataFrame, by: Sequence[str], work: Callable
 
 def _positives(n: int) -> Callable:
     def work(a: Vectors, b: Vectors, anchors: list, _: list) -> Iterator[tuple]:
-        low, high = np.full(len(a), _LONG.min), np.full(len(a), _LONG.max)
-        for i, j, s in zip(*nearest(a, b, n, True, low, high), strict=True):
-            yield anchors[i], int(a.ids[i]), None, None, None, int(b.ids[j]), int(s)
+        low, high = np.full((len(a), 1), _LONG.min), np.full((len(a), 1), _LONG.max)
+        for i, _, j, s in zip(*(c.tolist() for c in nearest(a, b, n, True, low, high)), strict=True):
+            yield anchors[i], int(a.ids[i]), None, None, None, int(b.ids[j]), s
 
     return work
 
 
 def _negatives(n: int, low: int, high: int) -> Callable:
     def work(a: Vectors, b: Vectors, anchors: list, positives: list) -> Iterator[tuple]:
-        # one window for each anchor and positive; Python's whole numbers do not overflow
-        of, windows = [], []
+        # one window for each positive; Python's whole numbers do not overflow
+        windows = max(map(len, positives))
+        lo, hi = np.full((len(a), windows), _LONG.max), np.full((len(a), windows), _LONG.min)
         for i, listed in enumerate(positives):
             for p, one in enumerate(listed):
-                s = one["score"]
-                if (lo := -(-low * s // 100)) <= (hi := high * s // 100):
-                    of.append((i, p, one["id"], s))
-                    windows.append((lo, hi))
-        if not of:
-            return
-        each = a.some(np.array([i for i, *_ in of]))
-        lo, hi = np.array(windows, np.int64).T
-        for k, j, s in zip(*nearest(each, b, n, False, lo, hi), strict=True):
-            i, p, positive_id, positive_score = of[k]
-            yield anchors[i], int(a.ids[i]), p, positive_id, positive_score, int(b.ids[j]), int(s)
+                least, most = -(-low * one["score"] // 100), high * one["score"] // 100
+                if least <= most:
+                    lo[i, p], hi[i, p] = least, most
+        for i, p, j, s in zip(*(c.tolist() for c in nearest(a, b, n, False, lo, hi)), strict=True):
+            one = positives[i][p]
+            yield anchors[i], int(a.ids[i]), p, one["id"], one["score"], int(b.ids[j]), s
 
     return work
 

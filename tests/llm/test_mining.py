@@ -146,15 +146,25 @@ def test_hard_negatives_match_sql(spark, sf_dir):
     assert spark_rows(QUERIES["op12_hard_negatives"](spark, sf_dir)) == sql_rows(connect(sf_dir), oracles()["op12_hard_negatives"])
 
 
+def test_scores_beyond_doubles_are_exact():
+    x = np.floor(256 * np.array([[1e10, 1.0, 3.0], [1e9, -1.0, 2.0], [3e5, 7.0, 1.0], [4e38, 1.0, 1.0]]))
+    v = hard_negatives.Vectors.of(np.arange(4), np.array([0, 0, 0, 1]), x)
+    exact = [[min(max(sum(int(p) * int(q) for p, q in zip(a, b, strict=True)), -(2**63)), 2**63 - 1) for b in x] for a in x]
+    assert hard_negatives.products(v, v).tolist() == exact
+    low, high = np.full((4, 1), -(2**63)), np.full((4, 1), 2**63 - 1)
+    got = hard_negatives.nearest(v, v, 2, True, low, high)
+    assert [c.tolist() for c in got[2:]] == [[1, 2, 0, 2, 0, 1], [exact[0][1], exact[0][2], exact[1][0], exact[1][2], exact[2][0], exact[2][1]]]
+
+
 def test_segment_bounds_exclude_no_pair():
     rng = np.random.default_rng(2)
     x = np.floor(256 * (rng.normal(size=(80, 10)) + 0.5))
     v = hard_negatives.Vectors.of(np.arange(80), np.zeros(80, np.int64), x)
     exact = x @ x.T
     low, high = np.full(80, 60_000.0), np.full(80, 200_000.0)
-    i, j = hard_negatives.open_pairs(v, v, low, high)
+    rows, still = hard_negatives.open_pairs(v, v, low, high)
     left = np.zeros((80, 80), bool)
-    left[i, j] = True
+    left[:, rows] = still
     inside = (exact >= 60_000) & (exact <= 200_000)
     assert left[inside].all() and not left.all()
 
