@@ -139,12 +139,13 @@ GOAL_SENTENCE = " How much $ does %s have in the end?"
 GENERATED_ID = "depth%02d_prob%04d"
 PREPARED_ID = "gsm8k_%04d"
 SEQUENCE_ID = "prob_%04d"
-CHUNK_FILES = "exp4_chunked_*.json"
+CHUNK_FILES = "*exp4_chunked_*.json"
 CHUNK_FILE_MODEL = r"exp4_chunked_([^/]+?)(?:_ckpt_\d+)?\.json"
 SNAPSHOT_MARK = "_ckpt_"
 QA_FILES = "*_cot.jsonl"
-QA_FILE_MODEL = r"/([^/]+?)_cot\.jsonl"
-SEED_DIR = r"/(seed_[^/]+)/"
+# folders that a partitioned write names (`column=value`) count like plain ones
+QA_FILE_MODEL = r"/(?:[^/=]+=)?([^/=]+?)_cot\.jsonl"
+SEED_DIR = r"/(?:[^/=]+=)?(seed_[^/=]+)/"
 
 # --- fixed values: labels ----------------------------------------------------------------------------
 MODEL_LABELS = {

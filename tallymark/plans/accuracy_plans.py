@@ -580,14 +580,16 @@ def formats(spark, d):
 
 
 def _cells(spark, d, regime: str) -> DataFrame:
-    """Cells of the metric table with a correct answer."""
+    """Cells of the metric table in which at least six of ten answers are correct."""
     acc = A.depth_accuracy(scored(spark, d).filter(F.col("regime") == regime))
-    return acc.filter((F.col("n_correct") > 0) & (F.col("depth") > (2 if regime == "cot" else 0)))
+    return acc.filter(F.col("n_correct") * 10 >= F.col("n_total") * 6)
 
 
-_CELLS = """
-cot AS (SELECT model, depth FROM scored WHERE regime = 'cot' AND is_correct AND depth > 2),
-direct AS (SELECT model, depth FROM scored WHERE regime = 'direct' AND is_correct AND depth > 0)"""
+_CELLS = "".join(
+    f"""{", " if regime == "direct" else ""}
+{regime} AS (SELECT model, depth FROM scored WHERE regime = '{regime}' GROUP BY ALL HAVING count(*) FILTER (is_correct) * 10 >= count(*) * 6)"""
+    for regime in ("cot", "direct")
+)
 
 
 @query(

@@ -16,7 +16,7 @@ from ..session import shared_dir
 from ..sources import json_tables as I
 from ..sources import sinks as O
 from .accuracy_plans import r6, scored
-from .derived import MODELS, PROBLEMS, SEEDS, problems, scored_sql, with_views
+from .derived import PROBLEMS, problems, scored_sql, with_views
 from .registry import query, table
 from .text_plans import DISTRACTED, POOLS, draw_sql, pools
 
@@ -36,11 +36,6 @@ def _templates(spark, d) -> DataFrame:
     return rows
 
 
-def _one_per_file(df: DataFrame, path: str) -> str:
-    df.write.option("maxRecordsPerFile", 1).json(path)
-    return path
-
-
 _VALID = "s_suppkey % 9 <> 0 AND s_suppkey % 11 <> 0"
 
 
@@ -50,9 +45,9 @@ _VALID = "s_suppkey % 9 <> 0 AND s_suppkey % 11 <> 0"
         FROM supplier WHERE {_VALID}""",
 )
 def template_scan(spark, d):
-    path = _one_per_file(_templates(spark, d).drop("dynamic_distractor_pool"), shared_dir(spark, "s1"))
-    return I.read_templates(spark, path).select(
-        "id_orig", "question", "answer", F.endswith("source_file", F.lit(".json")).alias("is_file")
+    path = O.write_documents(_templates(spark, d).drop("dynamic_distractor_pool"), shared_dir(spark, "s1"))
+    return I.read_templates(spark, path, "*.txt").select(
+        "id_orig", "question", "answer", F.endswith("source_file", F.lit(".txt")).alias("is_file")
     )
 
 
@@ -65,8 +60,8 @@ def template_scan(spark, d):
               FROM supplier WHERE {_VALID} AND s_suppkey % 4 > 0)""",
 )
 def pool_scan(spark, d):
-    path = _one_per_file(_templates(spark, d), shared_dir(spark, "s2"))
-    rows = P.keep_complete(I.read_templates_with_pool(spark, path), "question", "answer")
+    path = O.write_documents(_templates(spark, d), shared_dir(spark, "s2"))
+    rows = P.keep_complete(I.read_templates_with_pool(spark, path, "*.txt"), "question", "answer")
     picked = I.pick_distractor(rows, key="id_orig")
     return picked.select(
         "id_orig", F.regexp_extract("distractor", r"Fact (\d+)", 1).cast("int").alias("picked"), "distractor", "distractor_type",
@@ -93,13 +88,8 @@ def _math_problems(spark, d) -> DataFrame:
 def dataset_by_suffix(spark, d):
     path = shared_dir(spark, "s3")
     lines, arrays = f"{path}/set.jsonl", f"{path}/set.json"
-    rows = _math_problems(spark, d)
-    O.write_json(rows, lines)
-    # one document per thousand problem numbers, each a JSON array over several lines
-    number = F.substring("problem_id", 2, 20).cast("bigint")
-    buckets = rows.select(F.to_json(F.struct("*")).alias("j"), F.floor(number / 1000).alias("b"))
-    document = F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]"))
-    buckets.groupBy("b").agg(document.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(arrays)
+    O.write_json(_math_problems(spark, d), lines)
+    O.write_documents(I.read_dataset(spark, lines, S.MATH_PROBLEM), arrays)
     both = [
         I.read_dataset(spark, p, S.MATH_PROBLEM).withColumn("layout", F.lit(n)) for p, n in ((lines, "lines"), (arrays, "arrays"))
     ]
@@ -185,8 +175,7 @@ def required_fields(spark, d):
 def model_of_log_name(spark, d):
     path = shared_dir(spark, "s6b")
     rows = _results(spark, d).filter(F.col("regime") == "cot").withColumn("estimated_steps", F.col("depth"))
-    for m in MODELS:
-        O.write_json(rows.filter(F.col("model") == m).drop("model"), f"{path}/{m}_cot.jsonl")
+    O.write_json(rows.withColumn("log", F.concat("model", F.lit("_cot.jsonl"))).drop("model"), path, ["log"])
     log = I.read_qa_log(spark, path)
     return A.accuracy(log, ("model", "method", "estimated_steps")).select("model", "method", "estimated_steps", "n", "k")
 
@@ -215,11 +204,10 @@ def _chunk_rows(spark, d) -> DataFrame:
 )
 def model_from_path(spark, d):
     path = shared_dir(spark, "s8")
-    rows = _chunk_rows(spark, d).drop("seed")
-    for m in MODELS:
-        mine = rows.filter(F.col("model") == m).drop("model")
-        O.write_json(mine, f"{path}/exp4_chunked_{m}.json")
-        O.write_json(mine.filter(F.col("id") % 2 == 0), f"{path}/exp4_chunked_{m}_ckpt_50.json")
+    # half of the rows stand in a snapshot as well
+    suffixes = F.when(F.col("id") % 2 == 0, F.array(F.lit(""), F.lit("_ckpt_50"))).otherwise(F.array(F.lit("")))
+    rows = _chunk_rows(spark, d).drop("seed").withColumn("suffix", F.explode(suffixes))
+    O.write_json(rows.withColumn("file", F.concat(F.lit("exp4_chunked_"), "model", "suffix", F.lit(".json"))).drop("model", "suffix"), path, ["file"])
     out = I.read_chunk_results(spark, path, multi_line=False)
     return out.groupBy("model", "depth").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"), F.sum("corrections_applied").alias("corrections"),
@@ -233,9 +221,7 @@ def model_from_path(spark, d):
 )
 def seed_directories(spark, d):
     base = shared_dir(spark, "s9")
-    rows = _results(spark, d)
-    for seed in SEEDS:
-        O.write_json(rows.filter(F.col("seed") == seed).drop("seed"), f"{base}/{seed}/all.jsonl")
+    O.write_json(_results(spark, d).withColumnRenamed("seed", "seed_run"), base, ["seed_run"])
     return I.read_seed_logs(spark, base).groupBy("seed", "model", "regime").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("n_correct")
     )
@@ -244,10 +230,11 @@ def seed_directories(spark, d):
 @query("k2_append_log", scored_sql(f"SELECT {_LOG_COUNTS} FROM scored GROUP BY model, regime"))
 def append_log(spark, d):
     path = shared_dir(spark, "k2")
-    rows = _results(spark, d)
-    for part in (F.col("k") % 2 == 0, F.col("k") % 2 == 1):
-        O.append_log(rows.filter(part), path)
-    return _log_counts(I.read_log(spark, path))
+    # scored once; both appends read the scored rows, and the first is tried again, which adds nothing
+    rows = spark.read.parquet(O.write_table(_results(spark, d).withColumn("half", F.col("k") % 2), f"{path}/scored", ["half"]))
+    for half in (0, 1, 0):
+        O.append_log(rows.filter(F.col("half") == half).drop("half"), f"{path}/log", f"run/{half}")
+    return _log_counts(I.read_log(spark, f"{path}/log"))
 
 
 @query(
@@ -256,7 +243,7 @@ def append_log(spark, d):
         round(count(*) FILTER (is_correct) / count(*), 6) AS accuracy FROM scored"""),
 )
 def all_models(spark, d):
-    path = O.append_log(_results(spark, d), shared_dir(spark, "u6"), ("model",))
+    path = O.append_log(_results(spark, d), shared_dir(spark, "u6"), "all", ("model",))
     log = I.read_log(spark, path)
     return log.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("model").alias("n_models"), F.count_if("is_correct").alias("n_correct"),

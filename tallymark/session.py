@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -27,17 +28,22 @@ def local_session(cpus: int = 8, app: str = "tallymark") -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_root() -> str:
+    """The folder of a local session without the setting, one for the process."""
+    return tempfile.mkdtemp(prefix="run-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder the cluster names in `spark.checkpoint.dir`.
 
-    Only in a local session without that setting (tests) a temporary folder is set; on a cluster its lack is an error.
+    Only a local session without that setting (tests) gets a temporary folder; on a cluster its lack is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return os.path.join(root, "tallymark", f"{name}-{uuid.uuid4().hex}")
 
 

@@ -12,10 +12,11 @@ from .. import schemas as S
 from ..functions import answers as A
 from ..functions import clauses as C
 from ..functions import fixed as V
-from ..functions.base import first_match
+from ..functions.base import first_match, let
 from ..functions.stats import draw
 from ..operators.logs import first_per_group
 from ..operators.scoring import keep_complete, step_count
+from .manifest import committed
 
 
 def _file_name() -> Column:
@@ -26,18 +27,18 @@ def _file_path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """One record per file; records without a question or an answer are left out."""
-    df = spark.read.schema(S.TEMPLATE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def read_templates(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
+    """A record, or an array of records, per file; records without a question or an answer are left out."""
+    df = spark.read.schema(S.TEMPLATE).option("multiLine", True).option("pathGlobFilter", files).json(path)
     return keep_complete(df.withColumn("source_file", _file_name()), "question", "answer")
 
 
-def read_templates_with_pool(spark: SparkSession, path: str) -> DataFrame:
+def read_templates_with_pool(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
     """Templates with a non-empty distractor pool; pool elements are kept as JSON text or bare text."""
     df = (
         spark.read.schema(S.TEMPLATE_WITH_RAW_POOL)
         .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
+        .option("pathGlobFilter", files)
         .json(path)
     )
     return df.withColumn("source_file", _file_name()).filter(F.size("dynamic_distractor_pool") > 0)
@@ -120,14 +121,42 @@ def _typed(schema: str, column: Callable[[str], Column] = F.col) -> list[Column]
     return out
 
 
+def folder_value(path: Column, name: str) -> Column:
+    """What a `name=value` folder of a file's path says, as text; NULL without one.
+
+    The path is a URI of folder names in which a writer has already escaped special characters.
+    """
+
+    def plain(c: Column) -> Column:
+        return F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+    value = let(first_match(path, f"/{name}=([^/]*)/"), lambda v: F.coalesce(plain(plain(v)), plain(v), v))
+    return F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__"))
+
+
 def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON lines, with the file they are from. A line is parsed once and whole: whether it is a record does
-    not depend on the columns that are asked for, nor on the types of its values."""
+    not depend on the columns that are asked for, nor on the types of its values.
+
+    Fields that the record lacks come from `name=value` folders, as text: a log laid out by columns keeps them only there,
+    and a model whose name looks like a number stays the model it is. Of a folder with a manifest, committed batches count.
+    """
     parsed = T.StructType([*_as_texts(schema).fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    lines = spark.read.text(path).select(F.from_json("value", parsed, options).alias("r"), F.trim("value").alias("line"), _file_path().alias("_path"))
+    # a recursive listing infers no partition columns, whose types would depend on the values
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = text.select(F.from_json("value", parsed, options).alias("r"), F.trim("value").alias("line"), _file_path().alias("_path"))
+    done = None if any(c in path for c in "*?[{") else committed(spark, path)
+    if done is not None:
+        lines = lines.withColumn("batch", folder_value(F.col("_path"), "batch")).join(done, "batch", "left_semi")
     records = lines.filter((F.col("line") != "") & F.col("r").isNotNull() & F.col(f"r.{_CORRUPT}").isNull() & F.col("line").startswith("{"))
-    return records.select(*_typed(schema, lambda c: F.col("r")[c]), "_path")
+    texts = [f.name for f in T.StructType.fromDDL(schema).fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+
+    def field(name: str) -> Column:
+        value = F.col("r")[name]
+        return F.coalesce(value, folder_value(F.col("_path"), name)) if name in texts else value
+
+    return records.select(*_typed(schema, field), "_path")
 
 
 def read_log(spark: SparkSession, path: str, schema: str = S.DEPTH_RESULT, check: bool = True) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from .manifest import commit, is_committed
 
 
 def _laid_out(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
@@ -21,9 +23,38 @@ def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> st
     return path
 
 
-def append_log(df: DataFrame, path: str, partition_by: Sequence[str] = ("model", "regime")) -> str:
-    """Append rows to a result log laid out by model and regime."""
-    _laid_out(df, partition_by).write.mode("append").partitionBy(*partition_by).json(path)
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
+    """An intermediate table in Parquet, for rows that several writes or reads need."""
+    _laid_out(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return path
+
+
+def write_documents(df: DataFrame, path: str, per_file: int = 1000) -> str:
+    """JSON documents: each file is one array of at most `per_file` records, over several lines.
+
+    The files are those of Spark's text writer, `*.txt`. Records that a task holds next to each other share a file, so the number of files is that of the records divided by
+    `per_file`, and one more for the last ones of each task.
+    """
+    place = F.monotonically_increasing_id()  # the task's number in the upper bits, the row's in the lower 33
+    records = df.select(F.to_json(F.struct("*")).alias("_json"), place.alias("_place"))
+    group = F.concat_ws(",", F.shiftright("_place", 33), F.floor(F.col("_place").bitwiseAND((1 << 33) - 1) / per_file))
+    records = records.withColumn("_group", group)
+    document = F.concat(F.lit("[\n"), F.array_join(F.collect_list("_json"), ",\n"), F.lit("\n]"))
+    documents = records.groupBy("_group").agg(document.alias("value")).select("value")
+    documents.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def append_log(df: DataFrame, path: str, batch: str, partition_by: Sequence[str] = ("model", "regime")) -> str:
+    """Append the rows of one named batch to a result log laid out by model and regime.
+
+    The batch is written to a folder of its own and counts once it stands in the manifest of the log: an append that is
+    tried again after a failure replaces what the first try left, and one that had succeeded adds nothing.
+    """
+    spark = df.sparkSession
+    if not is_committed(spark, path, batch):
+        _laid_out(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).json(f"{path}/batch={quote(batch, safe='')}")
+        commit(spark, path, batch)
     return path
 
 

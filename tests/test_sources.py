@@ -171,7 +171,7 @@ def test_response_hook_records_failures(spark):
 def test_shared_dir_and_spread(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = shared_dir(spark, "x")
-    assert path.startswith(root or spark.conf.get("spark.checkpoint.dir"))
+    assert path.startswith(root or "/tmp/run-")
     assert path != shared_dir(spark, "x")
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
@@ -208,3 +208,43 @@ def test_log_values_are_cast_and_rows_do_not_depend_on_columns(spark, tmp_path):
     assert log.count() == len(log.collect()) == log.select("model").count() == 4
     got = I.read_method_log(spark, str(tmp_path / "log.jsonl"))
     assert sorted((r.depth, r.correct) for r in got.collect()) == [(3, False), (3, True), (3, True)]
+
+
+def test_log_laid_out_by_columns_keeps_them(spark, tmp_path):
+    rows = [("7", "cot", "p1", 2, True), ("a b/c%+é", "direct", "p2", 3, False), (None, "cot", "p3", 1, True)]
+    df = spark.createDataFrame(rows, "model STRING, regime STRING, problem_id STRING, depth INT, is_correct BOOLEAN")
+    path = str(tmp_path / "log")
+    for _ in range(2):  # the same append twice adds nothing
+        O.append_log(df, path, "first/1")
+    got = I.read_log(spark, path).select("model", "regime", "problem_id", "depth", "is_correct").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(rows, key=str)
+    assert sorted(tuple(r) for r in I.read_method_log(spark, path).collect()) == [("7", "cot", 2, True), ("a b/c%+é", "direct", 3, False)]
+    O.append_log(df.limit(1), path, "second")
+    assert I.read_log(spark, path).count() == 4
+
+
+def test_append_that_failed_halfway_is_not_read_and_is_replaced(spark, tmp_path):
+    df = spark.createDataFrame([("m", "cot", "p1"), ("m", "cot", "p2")], "model STRING, regime STRING, problem_id STRING")
+    path = str(tmp_path / "log")
+    O.append_log(df.limit(1), path, "a")
+    # rows of a batch that never came to its commit
+    df.write.partitionBy("model", "regime").json(f"{path}/batch=b")
+    assert I.read_log(spark, path).count() == 1
+    O.append_log(df, path, "b")
+    assert I.read_log(spark, path).count() == 3
+
+
+def test_partitioned_runs_keep_model_and_seed(spark, tmp_path):
+    df = spark.createDataFrame([("m_1", "seed_4", "p1", True), ("x", "seed_5", "p2", False)], "model STRING, seed STRING, problem_id STRING, is_correct BOOLEAN")
+    O.write_json(df.withColumn("log", F.concat("model", F.lit("_cot.jsonl"))).drop("model", "seed"), str(tmp_path / "q"), ["log"])
+    assert sorted(r.model for r in I.read_qa_log(spark, str(tmp_path / "q")).collect()) == ["m_1", "x"]
+    O.write_json(df.withColumnRenamed("seed", "seed_run"), str(tmp_path / "s"), ["seed_run", "model"])
+    assert sorted((r.seed, r.model) for r in I.read_seed_logs(spark, str(tmp_path / "s")).collect()) == [("seed_4", "m_1"), ("seed_5", "x")]
+
+
+def test_documents_hold_bounded_arrays(spark, tmp_path):
+    df = spark.range(25, numPartitions=2).selectExpr("concat('q', id) AS question", "concat('#### ', id) AS answer")
+    path = O.write_documents(df, str(tmp_path / "docs"), per_file=5)
+    files = list((tmp_path / "docs").glob("*.txt"))
+    assert len(files) == 6 and all(len(json.loads(f.read_text())) <= 5 for f in files)
+    assert sorted(r.answer for r in I.read_templates(spark, path, "*.txt").collect()) == sorted(f"#### {k}" for k in range(25))
