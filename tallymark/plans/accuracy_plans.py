@@ -10,6 +10,7 @@ from ..operators import compare as J
 from ..operators import metrics as A
 from ..operators import scoring as P
 from ..operators import seeds as S
+from ..operators.logs import number_rows
 from .derived import MODELS, PROBLEMS, RESPONSES, SCORED, SEEDS, problems, responses, scored_sql, with_views
 from .registry import query, table
 
@@ -539,11 +540,8 @@ def label_recode(spark, d):
     acc_sql("SELECT model, regime, depth, n_correct, row_number() OVER (ORDER BY model, regime, depth) AS position FROM acc"),
 )
 def sorted_metrics(spark, d):
-    acc = A.depth_accuracy(scored(spark, d))
-    # the metric table is sorted as a whole: one row per model, regime and depth
-    cells = F.sort_array(F.collect_list(F.struct("model", "regime", "depth", "n_correct")))
-    ranked = acc.agg(cells.alias("c")).select(F.posexplode("c").alias("p", "r"))
-    return ranked.select("r.*", (F.col("p") + 1).cast("bigint").alias("position"))
+    acc = A.depth_accuracy(scored(spark, d)).select("model", "regime", "depth", "n_correct")
+    return number_rows(acc, ["model", "regime", "depth"])
 
 
 @query(
@@ -554,10 +552,7 @@ def sorted_metrics(spark, d):
 def sorted_by_label(spark, d):
     counts = responses(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     labelled = A.labelled(counts, "model", {"m2": "Alpha"}).withColumnRenamed("model", "label")
-    cells = F.sort_array(F.collect_list(F.struct("label", "n")))
-    return labelled.agg(cells.alias("c")).select(F.posexplode("c").alias("p", "r")).select(
-        "r.*", (F.col("p") + 1).cast("bigint").alias("position")
-    )
+    return number_rows(labelled.select("label", "n"), ["label"])
 
 
 @query(

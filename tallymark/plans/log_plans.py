@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def filter_cache(spark, d):
 def running_accuracy(spark, d):
     log = table(spark, d, "events").select("event_type", "ts", "event_id", "value")
     totals = {"correct": (F.col("value") >= 50).cast("bigint"), "corrections": F.col("event_id") % 3}
-    out = J.running_totals(log, "event_type", ["ts", "event_id"], totals, F.date_trunc("day", "ts"), every=50)
+    out = J.running_totals(log, "event_type", ["ts", "event_id"], totals, every=50)
     return out.drop("ts").withColumn("acc", F.round(F.col("running_correct") / F.col("row_no"), 6))
 
 
@@ -133,9 +134,8 @@ def _stream(spark, d, name: str, *columns: str) -> DataFrame:
     return R.stream_files(spark, d, schema, "parquet", glob=f"{name}.parquet").select(*columns)
 
 
-def _recorded(spark, d) -> DataFrame:
+def _recorded(spark, orders: DataFrame) -> DataFrame:
     # a thin stream whose rows are costly to process: use all cores
-    orders = _stream(spark, d, "orders", "o_orderkey", "o_custkey", "o_totalprice")
     return responses_of(problems_of(orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")))
 
 
@@ -143,30 +143,73 @@ def _score(df: DataFrame) -> DataFrame:
     return P.score_depth_log(df, gold="gold", expected="vals")
 
 
+ORDERS = ("o_orderkey", "o_custkey", "o_totalprice")
+PARTS = 3
+
+
+def _log_part(spark, d, part: int) -> DataFrame:
+    """Orders of one part of the log: every third key, and again every fifth key of the part before."""
+    key = F.col("o_orderkey")
+    again = (key % PARTS == part - 1) & (key % 5 == 0)
+    return table(spark, d, "orders").select(*ORDERS).filter((key % PARTS == part) | again)
+
+
+def _append_part(spark, d, part: int, path: str) -> None:
+    _log_part(spark, d, part).coalesce(1).write.mode("append").parquet(path)
+
+
+def _score_log(spark, d, path: str, files_per_trigger: int | None = None) -> str:
+    schema = table(spark, d, "orders").select(*ORDERS).schema
+    log = R.stream_files(spark, f"{path}/log", schema, "parquet", files_per_trigger=files_per_trigger)
+    R.score_incrementally(_recorded(spark, log), _score, KEYS, f"{path}/scored", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/scored"
+
+
 @query(
     "r1_incremental_scoring",
     scored_sql("""SELECT model, regime, depth, count(*) AS n, CAST(count(*) FILTER (is_correct) AS BIGINT) AS n_correct,
         CAST(sum(first_error_step) AS BIGINT) AS error_steps FROM scored GROUP BY ALL"""),
 )
 def incremental_scoring(spark, d):
-    # every fifth problem is logged twice; each key must be scored once
-    log = _recorded(spark, d).withColumn(
-        "copy", F.explode(F.when(F.col("k") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    ).drop("copy")
+    # a file is a batch; some keys come again in a later one and must be scored once
     path = shared_dir(spark, "r1")
-    R.score_incrementally(log, _score, KEYS, f"{path}/scored", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/scored").groupBy("model", "regime", "depth").agg(
+    for part in range(PARTS):
+        _append_part(spark, d, part, f"{path}/log")
+    return spark.read.parquet(_score_log(spark, d, path, files_per_trigger=1)).groupBy("model", "regime", "depth").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("n_correct"), F.sum("first_error_step").alias("error_steps")
     )
 
 
+@query(
+    "k5_numbered_snapshots",
+    scored_sql("""SELECT *, CAST(sum(n) OVER (PARTITION BY snapshot) AS BIGINT) AS n_rows FROM (
+        SELECT CAST(part AS BIGINT) AS snapshot, model, regime, count(*) AS n, CAST(count(*) FILTER (is_correct) AS BIGINT) AS n_correct
+        FROM scored, (VALUES (0), (1), (2)) v(part) WHERE k % 3 <= part GROUP BY part, model, regime)"""),
+)
+def numbered_snapshots(spark, d):
+    """The scored table as of each snapshot: a run of the job for every part of the log, each going on from the checkpoint."""
+    path = shared_dir(spark, "k5")
+    for part in range(PARTS):
+        _append_part(spark, d, part, f"{path}/log")
+        scored = _score_log(spark, d, path)
+    taken = R.snapshots(spark, scored).select("snapshot", "n_rows")
+    cells = [
+        R.read_snapshot(spark, scored, n)
+        .groupBy("model", "regime")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("is_correct").alias("n_correct"))
+        .withColumn("snapshot", F.lit(n).cast("bigint"))
+        for n in range(PARTS)
+    ]
+    return reduce(DataFrame.unionByName, cells).join(taken, "snapshot")
+
+
 @query(
     "r2_maintained_accuracy",
     scored_sql("SELECT model, regime, depth, count(*) AS n, CAST(count(*) FILTER (is_correct) AS BIGINT) AS k FROM scored GROUP BY ALL"),
 )
 def maintained_accuracy(spark, d):
     path, by = shared_dir(spark, "r2"), ["model", "regime", "depth"]
-    R.maintain_counts(_score(_recorded(spark, d)), by, f"{path}/counts", f"{path}/checkpoint").awaitTermination()
+    R.maintain_counts(_score(_recorded(spark, _stream(spark, d, "orders", *ORDERS))), by, f"{path}/counts", f"{path}/checkpoint").awaitTermination()
     return R.read_counts(spark, f"{path}/counts", by)
 
 

@@ -134,22 +134,17 @@ def folder_value(path: Column, name: str) -> Column:
     return F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__"))
 
 
-def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON lines, with the file they are from. A line is parsed once and whole: whether it is a record does
-    not depend on the columns that are asked for, nor on the types of its values.
+def parse_lines(text: DataFrame, schema: str) -> DataFrame:
+    """Records of JSON lines read as text, batch or stream, with the file they are from. A line is parsed once and whole:
+    whether it is a record does not depend on the columns that are asked for, nor on the types of its values.
 
     Fields that the record lacks come from `name=value` folders, as text: a log laid out by columns keeps them only there,
-    and a model whose name looks like a number stays the model it is. Of a folder with a manifest, committed batches count.
+    and a model whose name looks like a number stays the model it is.
     """
     parsed = T.StructType([*_as_texts(schema).fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    # a recursive listing infers no partition columns, whose types would depend on the values
-    text = spark.read.option("recursiveFileLookup", True).text(path)
     lines = text.select(F.from_json("value", parsed, options).alias("r"), F.trim("value").alias("line"), _file_path().alias("_path"))
-    done = None if any(c in path for c in "*?[{") else committed(spark, path)
-    if done is not None:
-        lines = lines.withColumn("batch", folder_value(F.col("_path"), "batch")).join(done, "batch", "left_semi")
-    records = lines.filter((F.col("line") != "") & F.col("r").isNotNull() & F.col(f"r.{_CORRUPT}").isNull() & F.col("line").startswith("{"))
+    records = lines.filter(_is_record())
     texts = [f.name for f in T.StructType.fromDDL(schema).fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
     def field(name: str) -> Column:
@@ -159,6 +154,20 @@ def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return records.select(*_typed(schema, field), "_path")
 
 
+def _is_record() -> Column:
+    return (F.col("line") != "") & F.col("r").isNotNull() & F.col(f"r.{_CORRUPT}").isNull() & F.col("line").startswith("{")
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON lines below `path`; of a folder with a manifest, those of committed batches."""
+    # a recursive listing infers no partition columns, whose types would depend on the values
+    records = parse_lines(spark.read.option("recursiveFileLookup", True).text(path), schema)
+    done = None if any(c in path for c in "*?[{") else committed(spark, path)
+    if done is None:
+        return records
+    return records.withColumn("batch", folder_value(F.col("_path"), "batch")).join(done, "batch", "left_semi").drop("batch")
+
+
 def read_log(spark: SparkSession, path: str, schema: str = S.DEPTH_RESULT, check: bool = True) -> DataFrame:
     """JSON lines; blank lines and lines that are not JSON are skipped, a log without any record is an error."""
     df = _json_lines(spark, path, schema).drop("_path")

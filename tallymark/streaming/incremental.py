@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.logs import latest, pending
+from .. import schemas as S
+from ..operators.logs import latest
+from ..sources.json_tables import parse_lines
+from ..sources.manifest import read_or_none
+from .runs import Runs
 
 
 def stream_files(
@@ -24,6 +29,23 @@ def stream_files(
     return reader.load(path)
 
 
+def stream_log(spark: SparkSession, path: str, schema: str = S.DEPTH_RESULT, files_per_trigger: int | None = None) -> DataFrame:
+    """A result log as a stream, with the casts, skipped lines and folder values of `json_tables.read_log`."""
+    reader = spark.readStream.format("text").option("recursiveFileLookup", True)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return parse_lines(reader.load(path), schema).drop("_path")
+
+
+def first_of_each(rows: DataFrame, keys: Sequence[str], event_time: str | None = None) -> DataFrame:
+    """The first row of every key by `event_time`, then by a hash of all columns; rows of a hot key drop out before the shuffle."""
+    # a map has no hash: rows that differ in one only are equal here
+    hashed = [c for c in rows.columns if "map<" not in rows.schema[c].dataType.simpleString()]
+    order = [*([event_time] if event_time else []), F.xxhash64(*hashed)]
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
+
+
 def score_incrementally(
     log: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -34,41 +56,61 @@ def score_incrementally(
 ) -> StreamingQuery:
     """Score new log rows, each key once, into a parquet table; late keys are new keys like others.
 
-    The sink itself is the memory: each batch drops keys already written, so there is no state to grow and no row is
-    lost to a watermark. Of a batch's rows with one key the earliest by `event_time`, then the least by all columns, stays, so a batch
-    replayed after a failure rewrites its own directory with the same rows.
+    The keys written so far are the memory: they stand next to the table, in runs by key bucket, and a batch opens the
+    buckets of its own keys only. So there is no state that a watermark would have to bound, and no row is lost to one.
+    Of a batch's rows with one key the first by `event_time`, then by a hash of all columns, stays, so a batch replayed
+    after a failure rewrites its own folder with the same rows. Every batch leaves a numbered snapshot (`snapshots`).
     """
     spark = log.sparkSession
-    batch_dir = f"{path}/batch_id="
-    schema = score(log).schema
+    done = Runs(spark, f"{path}/_keys", tuple(keys), lambda rows: rows)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = _table(spark, path, schema).filter(F.col("batch_id") < batch_id)
-        order = [event_time] if event_time else []
-        rest = [c for c in batch.columns if c not in keys and c not in order]
-        least = F.min(F.struct(*order, *rest)).alias("_row")
-        # a map has no order: batches with one keep any of equal keys
-        sortable = not any(isinstance(batch.schema[c].dataType, T.MapType) for c in rest)
-        first = (
-            batch.groupBy(*keys).agg(least).select(*keys, "_row.*").select(*batch.columns)
-            if sortable and (rest or order)
-            else batch.dropDuplicates(list(keys))
-        )
-        fresh = pending(first, done, keys)
-        score(fresh).write.mode("overwrite").parquet(f"{batch_dir}{batch_id}")
+        first = first_of_each(batch, keys, event_time).persist()
+        try:
+            mine = [r[0] for r in first.select(done.bucket()).distinct().collect()]  # at most the number of buckets
+            seen = done.read(before=batch_id, buckets=mine)
+            fresh = first if seen is None else _unseen(first, seen, keys)
+            target = f"{path}/batch_id={batch_id}"
+            score(fresh).write.mode("overwrite").parquet(target)
+        finally:
+            first.unpersist()
+        written = spark.read.parquet(target).select(*keys)
+        done.add(written, batch_id)
+        _take_snapshot(spark, path, batch_id, written.count())
 
     return _start(log.writeStream.foreachBatch(write), checkpoint)
 
 
-def _table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Rows of earlier batches; empty before the first one."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.IntegerType())])
-    try:
-        return spark.read.schema(full).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], full)
+def _unseen(rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is not among the seen ones; a NULL in a key is a value like others."""
+    other = seen.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
+    return rows.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys]), "left_anti")
+
+
+_SNAPSHOT = "snapshot LONG, n_new LONG, n_rows LONG"
+
+
+def _take_snapshot(spark: SparkSession, path: str, batch_id: int, n_new: int) -> None:
+    before = snapshots(spark, path).filter(F.col("snapshot") < batch_id).agg(F.max_by("n_rows", "snapshot")).first()[0] or 0
+    row = spark.createDataFrame([(batch_id, n_new, before + n_new)], _SNAPSHOT).coalesce(1)
+    row.write.mode("overwrite").json(f"{path}/_snapshots/taken={batch_id}")
+
+
+def snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Numbered snapshots of a table that `score_incrementally` writes: number, rows added, rows so far."""
+    found = read_or_none(spark, f"{path}/_snapshots", "json", _SNAPSHOT)
+    return spark.createDataFrame([], _SNAPSHOT) if found is None else found.drop("taken")
+
+
+def read_snapshot(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The scored table as it was when snapshot `number` was taken (the newest one by default).
+
+    A snapshot is the number of its last batch: rows are never written twice, and no copy stands next to the table.
+    """
+    if number is None:
+        number = snapshots(spark, path).agg(F.max("snapshot")).first()[0]
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("batch_id") <= F.lit(-1 if number is None else number)).drop("batch_id")
 
 
 def _start(writer, checkpoint: str) -> StreamingQuery:
@@ -92,26 +134,29 @@ def read_counts(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
     return latest(spark.read.parquet(path).drop("batch_id"), list(by), ["version"]).drop("version")
 
 
+def _cache(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> Runs:
+    return Runs(spark, path, tuple(keys), lambda rows: latest(rows, keys, order))
+
+
 def upsert_cache(
     updates: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str
 ) -> StreamingQuery:
     """Cache in which the last write per key wins.
 
-    Each batch appends its own last write per key; a reader takes the newest per key, so a batch costs its own
-    rows only and the whole cache is never rewritten.
+    Each batch adds its own last write per key as a run; full levels of runs are merged on the way, so a batch never
+    rewrites the whole cache and a reader finds few runs, with few rows per live key, however many batches there were.
     """
+    spark = updates.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _cache(spark, path, keys, order).add(latest(batch, keys, order), batch_id)
 
     return _start(updates.writeStream.foreachBatch(write), checkpoint)
 
 
 def read_cache(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return latest(spark.read.parquet(path).drop("batch_id"), keys, order)
-
-
-def compact_cache(cache: DataFrame, path: str) -> str:
-    """Write the current state of a cache to a new version path."""
-    cache.write.mode("errorifexists").parquet(path)
-    return path
+    """Current rows: the latest of each key among the live runs."""
+    rows = _cache(spark, path, keys, order).read()
+    if rows is None:
+        raise FileNotFoundError(f"no cache in '{path}'")
+    return latest(rows, keys, order)

@@ -110,12 +110,12 @@ def test_upper_median(spark):
 def test_running_totals_match_one_window_under_skew(spark):
     # one key holds most rows
     log = spark.range(3000).selectExpr("if(id % 10 < 7, 'hot', concat('k', id % 3)) AS key", "id AS seq", "id % 5 AS x")
-    got = L.running_totals(log, "key", ["seq"], {"x": F.col("x")}, F.floor(F.col("seq") / 100))
+    got = L.running_totals(log, "key", ["seq"], {"x": F.col("x")}, parts=7)
     log.createOrReplaceTempView("log")
     want = spark.sql("""SELECT key, seq, row_number() OVER w AS row_no, sum(x) OVER w AS running_x FROM log
         WINDOW w AS (PARTITION BY key ORDER BY seq)""")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
-    every = L.running_totals(log, "key", ["seq"], {"x": F.col("x")}, F.floor(F.col("seq") / 100), every=50)
+    every = L.running_totals(log, "key", ["seq"], {"x": F.col("x")}, every=50, parts=7)
     assert every.count() == want.filter("row_no % 50 = 0").count()
 
 
@@ -186,7 +186,7 @@ def test_running_totals_keep_null_rows(spark):
     from tallymark.operators import logs
 
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 2), ("a", 3)], "k string, t int")
-    got = logs.running_totals(df, "k", ["t"], {"n": F.lit(1)}, F.col("t") % 2).collect()
+    got = logs.running_totals(df, "k", ["t"], {"n": F.lit(1)}, parts=3).collect()
     assert sorted(r.row_no for r in got) == [1, 1, 2, 3]
 
 
@@ -201,3 +201,23 @@ def test_failed_prompts_fail_alone(spark):
     df = spark.createDataFrame([(p, "") for p in ("a", "bad", "short", "b")], "user_prompt string, system_prompt string").coalesce(1)
     got = {r.user_prompt: r.response for r in respond(df, fn).collect()}
     assert got == {"a": "a", "bad": "[ERROR: 503]", "short": "short", "b": "b"}
+
+
+def test_running_totals_split_one_key_without_order_values(spark):
+    # all rows are equal in key and order: parts share them all the same
+    df = spark.range(4000, numPartitions=4).selectExpr("'k' AS k", "CAST(NULL AS TIMESTAMP) AS t", "id % 3 AS x")
+    got = L.running_totals(df, "k", ["t"], {"x": F.col("x")}, parts=8)
+    assert sorted(r.row_no for r in got.collect()) == list(range(1, 4001))
+    assert got.agg(F.max("running_x")).first()[0] == df.agg(F.sum("x")).first()[0]
+    from tallymark.operators.logs import _in_ranges
+
+    sizes = [r.n for r in _in_ranges(df, ["k", "t"], 8).groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+
+
+def test_rows_are_numbered_across_parts(spark):
+    df = spark.range(500, numPartitions=5).selectExpr("pmod(hash(id), 97) AS a", "id AS b").unionByName(spark.createDataFrame([(None, 9000)], "a INT, b LONG"))
+    got = [tuple(r) for r in L.number_rows(df, ["a", "b"], parts=6).orderBy("position").collect()]
+    want = sorted(map(tuple, df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r[:2] for r in got] == want and [r[2] for r in got] == list(range(1, 502))
+    assert L.number_rows(df.filter("false"), ["a"]).count() == 0

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tallymark import schemas as S
 from tallymark.operators import metrics as A
+from tallymark.operators.logs import latest
 from tallymark.operators.respond import respond
 from tallymark.session import shared_dir, spread
 from tallymark.sources import json_tables as I
 from tallymark.sources import sinks as O
 from tallymark.streaming import incremental as R
+from tallymark.streaming.runs import FAN, Runs
 
 
 def put(folder, name, content):
@@ -154,8 +156,6 @@ def test_cache_upsert(spark, tmp_path):
         R.upsert_cache(R.stream_files(spark, str(log), LOG_SCHEMA), ["problem_id"], ["ts"], out, ckpt).awaitTermination()
     cache = R.read_cache(spark, out, ["problem_id"], ["ts"])
     assert sorted((r.problem_id, r.response) for r in cache.collect()) == [("a", "new"), ("b", "x")]
-    path = R.compact_cache(cache, str(tmp_path / "v2"))
-    assert spark.read.parquet(path).count() == 2
 
 
 def test_response_hook_records_failures(spark):
@@ -248,3 +248,55 @@ def test_documents_hold_bounded_arrays(spark, tmp_path):
     files = list((tmp_path / "docs").glob("*.txt"))
     assert len(files) == 6 and all(len(json.loads(f.read_text())) <= 5 for f in files)
     assert sorted(r.answer for r in I.read_templates(spark, path, "*.txt").collect()) == sorted(f"#### {k}" for k in range(25))
+
+
+def test_runs_stay_few_and_hold_the_latest(spark, tmp_path):
+    runs = Runs(spark, str(tmp_path / "runs"), ("k",), lambda rows: latest(rows, ["k"], ["t"]), buckets=2)
+    assert runs.read() is None
+    n = FAN * FAN + 2
+    for batch in range(n):
+        runs.add(spark.createDataFrame([(k, batch, f"v{batch}") for k in (None, 1, 2)], "k INT, t INT, v STRING"), batch)
+    live = runs.live()
+    # sixteen batches are one run of the second level by now, the last two are their own
+    assert sorted(live) == [f"L0-{n - 2}", f"L0-{n - 1}", f"L2-{FAN * FAN - 1}"]
+    assert runs.read().count() == 3 * len(live)
+    assert sorted((str(r.k), r.t, r.v) for r in latest(runs.read(), ["k"], ["t"]).collect()) == [(k, n - 1, f"v{n - 1}") for k in ("1", "2", "None")]
+    # a batch that runs again gives the same version; a reader may ask for the state before it
+    runs.add(spark.createDataFrame([(k, n - 1, "again") for k in (1,)], "k INT, t INT, v STRING"), n - 1)
+    assert sorted(runs.live()) == sorted(live)
+    assert {r.t for r in latest(runs.read(before=n - 1), ["k"], ["t"]).collect()} == {n - 2}
+    mine = runs.read(buckets=[0])
+    assert "PartitionFilters: [isnotnull(_bucket" in mine._jdf.queryExecution().executedPlan().toString()
+    assert mine.count() + runs.read(buckets=[1]).count() == runs.read().count()
+
+
+def test_batches_replay_and_snapshots_are_numbered(spark, tmp_path):
+    log, out, ckpt = tmp_path / "log", str(tmp_path / "out"), tmp_path / "ckpt"
+    parts = ([("a", "Answer: 1", "2024-01-01"), (None, "4", "2024-01-01")], [("a", "Answer: 9", "2024-01-01"), ("b", "Answer: 2", "2024-01-02"), (None, "5", "2024-01-03")],
+             [("c", "3", "2024-01-01"), ("b", "Answer: 7", "2024-01-01")])
+    for k, rows in enumerate(parts):
+        add_batch(log, f"{k}.json", rows)
+
+        def go():
+            stream = R.stream_files(spark, str(log), LOG_SCHEMA)
+            R.score_incrementally(stream, as_answer, ["problem_id"], out, str(ckpt), "ts").awaitTermination()
+
+        go()
+    want = [("None", 4.0), ("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    assert sorted((str(r.problem_id), r.predicted) for r in R.read_snapshot(spark, out).collect()) == want
+    # the last batch fails before its commit and runs again
+    (ckpt / "commits" / "2").unlink()
+    (ckpt / "commits" / ".2.crc").unlink(missing_ok=True)
+    go()
+    assert sorted((str(r.problem_id), r.predicted) for r in R.read_snapshot(spark, out).collect()) == want
+    assert sorted(map(tuple, R.snapshots(spark, out).select("snapshot", "n_new", "n_rows").collect())) == [(0, 2, 2), (1, 1, 3), (2, 1, 4)]
+    assert R.read_snapshot(spark, out, 1).count() == 3 and R.read_snapshot(spark, out, 0).count() == 2
+
+
+def test_streamed_log_has_the_casts_of_the_reader(spark, tmp_path):
+    (tmp_path / "log" / "model=7").mkdir(parents=True)
+    lines = ['{"problem_id": "a", "depth": 3.0, "is_correct": 1}', '{"problem_id": "b", "depth": "3", "is_correct": true}', "{bad", ""]
+    (tmp_path / "log" / "model=7" / "x.json").write_text("\n".join(lines))
+    stream = R.stream_log(spark, str(tmp_path / "log")).select("model", "problem_id", "depth", "is_correct")
+    R.score_incrementally(stream, lambda df: df, ["problem_id"], str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
+    assert sorted(tuple(r) for r in R.read_snapshot(spark, str(tmp_path / "out")).collect()) == [("7", "a", 3, True), ("7", "b", 3, True)]
