@@ -68,18 +68,36 @@ def expand_fractions(text: str | Column) -> Column:
 
 
 def substitute_names(text: str | Column, names: str | Column) -> Column:
-    """Replace known names by their values, longest name first. `names`: ARRAY<STRUCT<name, value>>."""
+    """Replace known names by their values, longest name first. `names`: ARRAY<STRUCT<name, value>>.
+
+    A text without any of the names is left as it is after a plain search. Else names with a word bound inside them (few)
+    are replaced one after another; all others are words: the text is split once at its word bounds and each word looked up.
+    """
     longest_first = F.transform(
         F.sort_array(F.transform(col(names), lambda n: F.struct(-F.length(n["name"]), n["name"], n["value"]))),
         lambda s: F.struct(s["name"].alias("name"), s["value"].alias("value")),
     )
-    return F.aggregate(
-        longest_first,
-        col(text),
-        lambda t, n: F.regexp_replace(
-            t, F.concat(F.lit(r"\b\Q"), n["name"], F.lit(r"\E\b")), plain_text(F.round(n["value"], 10))
-        ),
-    )
+
+    def shown(n: Column) -> Column:
+        return plain_text(F.round(n["value"], 10))
+
+    def looked_up(word: Column, words: Column) -> Column:
+        return let(F.get(F.filter(words, lambda n: n["name"] == word), F.lit(0)), lambda n: F.when(n.isNull(), word).otherwise(shown(n)))
+
+    def replaced(t: Column, found: Column) -> Column:
+        phrases = F.filter(found, lambda n: n["name"].rlike(r"\B\W|\W\B|.\b."))
+        words = F.filter(found, lambda n: ~n["name"].rlike(r"\B\W|\W\B|.\b."))
+        pattern = lambda n: F.concat(F.lit(r"\b\Q"), n["name"], F.lit(r"\E\b"))
+        done = F.aggregate(phrases, t, lambda x, n: F.regexp_replace(x, pattern(n), shown(n)))
+        by_word = lambda ws: F.array_join(F.transform(F.split(done, r"\b"), lambda w: looked_up(w, ws)), "")
+        return F.when(F.size(words) > 0, let(words, by_word)).otherwise(done)
+
+    def in_text(t: Column) -> Column:
+        # names that occur nowhere cost one search each
+        found = F.filter(col(names), lambda n: t.contains(n["name"]))
+        return F.when(F.size(found) > 0, let(F.filter(longest_first, lambda n: t.contains(n["name"])), lambda f: replaced(t, f))).otherwise(t)
+
+    return let(col(text), in_text)
 
 
 def evaluate(left: Column, op: Column, right: Column) -> Column:
@@ -117,16 +135,24 @@ def _expressions_of(parts: Column) -> Column:
     return F.when(F.size(parts) == 7, chain).otherwise(binary)
 
 
+def readable(text: str | Column) -> Column:
+    """The text as the expression patterns want it: plain arithmetic without fractions, names still in it."""
+    return expand_fractions(plain_arithmetic(F.translate(col(text), _OPEN + _CLOSE + _EQUALS, "")))
+
+
+def expressions_of_plain(plain: Column) -> Column:
+    """Expressions of a readable text."""
+    marked = F.regexp_replace(F.regexp_replace(plain, _CHAIN, _CHAIN_TOKEN), _BINARY, _BINARY_TOKEN)
+    tokens = find_all(marked, f"{_OPEN}([^{_CLOSE}]*){_CLOSE}", 1)
+    return F.flatten(F.transform(tokens, lambda k: let(F.split(k, r"\|"), _expressions_of)))
+
+
 def expressions_in(text: str | Column, names: str | Column | None = None) -> Column:
     """All `a op b = c` and `a op b op c = d` of a text, in order. ARRAY<STRUCT<left,op,right,claimed,full_match>>."""
 
     def found(t: Column) -> Column:
-        plain = expand_fractions(plain_arithmetic(F.translate(t, _OPEN + _CLOSE + _EQUALS, "")))
-        if names is not None:
-            plain = substitute_names(plain, names)
-        marked = F.regexp_replace(F.regexp_replace(plain, _CHAIN, _CHAIN_TOKEN), _BINARY, _BINARY_TOKEN)
-        tokens = find_all(marked, f"{_OPEN}([^{_CLOSE}]*){_CLOSE}", 1)
-        return F.flatten(F.transform(tokens, lambda k: let(F.split(k, r"\|"), _expressions_of)))
+        plain = readable(t)
+        return expressions_of_plain(plain if names is None else substitute_names(plain, names))
 
     nothing = F.array().cast(EXPRESSIONS)
     return let(col(text), lambda t: F.when(t.contains("="), found(t)).otherwise(nothing))
@@ -214,19 +240,31 @@ def chain_terminal(
 ) -> Column:
     """0-based index of the last expression that goes on from an earlier result or from the running total."""
 
+    def bucket(x: Column) -> Column:
+        # values within the tolerance lie in one bucket or in two that are neighbours
+        return F.floor(x / (2 * tolerance))
+
     def index(log: Column) -> Column:
         total = col(current_total)
-
-        def continues(e: Column, i: Column) -> Column:
-            earlier = F.slice(log, F.lit(1), i)
-            on_earlier = F.exists(
-                earlier,
+        usable = F.filter(log, lambda e: e["status"] != "double_count")
+        carried = F.flatten(F.transform(usable, lambda e: let(bucket(e["claimed"]), lambda b: F.array(b - 1, b, b + 1))))
+        lefts = F.transform(usable, lambda e: bucket(e["left"]))
+
+        def continues(e: Column, i: Column, near: Column) -> Column:
+            # an earlier result is searched for only where some result is near at all
+            on_earlier = F.array_contains(near, bucket(e["left"])) & F.exists(
+                F.slice(log, F.lit(1), i),
                 lambda x: (x["status"] != "double_count") & (F.abs(e["left"] - x["claimed"]) <= tolerance),
             )
-            on_total = F.coalesce(F.abs(e["left"] - total) <= tolerance, F.lit(False))
-            return (e["status"] != "double_count") & ((i == 0) | on_earlier | on_total)
+            on_total = F.abs(e["left"] - total) <= tolerance
+            return (e["status"] != "double_count") & ((i == 0) | F.coalesce(on_total, F.lit(False)) | F.coalesce(on_earlier, F.lit(False)))
+
+        def latest(near: Column) -> Column:
+            # from the last expression back to the first that continues; nothing is looked at beyond it
+            back = F.sequence(F.size(log) - 1, F.lit(0), F.lit(-1))
+            step = lambda hit, i: F.when(hit >= 0, hit).when(continues(F.get(log, i), i, near), i).otherwise(hit)
+            return F.greatest(F.aggregate(back, F.lit(-1), step), F.lit(0))
 
-        hits = F.transform(log, lambda e, i: F.when(continues(e, i), i))
-        return F.when(F.size(log) <= 1, F.size(log) - 1).otherwise(F.coalesce(F.array_max(hits), F.lit(0)))
+        return F.when(F.size(log) <= 1, F.size(log) - 1).otherwise(let(F.array_intersect(lefts, carried), latest))
 
     return let(col(verified), index)

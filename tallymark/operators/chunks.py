@@ -54,60 +54,70 @@ def explode_chunks(planned: DataFrame) -> DataFrame:
     )
 
 
+def parse_attempts(df: DataFrame) -> DataFrame:
+    """Adds plain (the readable text, NULL where the response is it already or has no equals sign), exprs and tag to
+    recorded attempts, and the name of the chunk's value: all that a response says by itself, found row by row."""
+    parsed = df.select("*", F.when(F.col("response").contains("="), M.readable("response")).alias("_plain"))
+    nothing = F.array().cast(M.EXPRESSIONS)
+    return parsed.select(
+        *df.columns,
+        F.when(F.col("_plain") != F.col("response"), F.col("_plain")).alias("plain"),
+        F.coalesce(M.expressions_of_plain(F.col("_plain")), nothing).alias("exprs"),
+        A.answer_tag("response").alias("tag"),
+        C.variable_name("clause_text", "chunk_idx").alias("value_name"),
+    )
+
+
 def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Recorded attempts (one row each) to one row per problem with a list of chunks; one shuffle.
 
     Expects chunk_idx, attempt, clause_text and response; `carry` columns are constant per problem. A chunk is what has
-    one chunk_idx; its text is that of its first attempt.
+    one chunk_idx; its text is that of its first attempt. Attempts are parsed before the shuffle (`parse_attempts`).
     """
-    rows = df.groupBy(*keys).agg(
+    chunk = ("clause_text", "value_name")
+    fields = ("chunk_idx", "attempt", *chunk, "response", "plain", "exprs", "tag")
+    rows = parse_attempts(df).groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
-        F.sort_array(F.collect_list(F.struct("chunk_idx", "attempt", "clause_text", "response"))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"),
     )
 
-    def chunk(head: Column) -> Column:
+    def nested(head: Column) -> Column:
         mine = F.filter("_rows", lambda r: r["chunk_idx"].eqNullSafe(head))
         return F.struct(
             head.alias("chunk_idx"),
-            F.get(mine, F.lit(0))["clause_text"].alias("clause_text"),
-            F.transform(mine, lambda r: F.struct(r["attempt"].alias("attempt"), r["response"].alias("response"))).alias(
-                "attempts"
-            ),
+            *[F.get(mine, F.lit(0))[c].alias(c) for c in chunk],
+            F.transform(mine, lambda r: F.struct(*[r[c].alias(c) for c in fields if c not in chunk and c != "chunk_idx"])).alias("attempts"),
         )
 
     heads = F.array_distinct(F.transform("_rows", lambda r: r["chunk_idx"]))
-    return rows.select(*keys, *carry, F.transform(heads, chunk).alias("chunks"))
+    return rows.select(*keys, *carry, F.transform(heads, nested).alias("chunks"))
+
+
+CHOSEN = f"STRUCT<response: STRING, exprs: {M.EXPRESSIONS}, tag: DOUBLE, usable: BOOLEAN, retries: INT>"
 
 
 def choose_attempt(attempts: str | Column, names: Column) -> Column:
-    """First attempt with an expression or an answer tag, else the last one.
+    """First attempt with an expression or an answer tag, else the last one; attempts after the first usable one are not
+    looked at. STRUCT<response, exprs, tag, usable, retries>.
 
-    STRUCT<response, exprs, tag, usable, retries>.
+    Attempts are parsed (`parse_attempts`); one is read again only where a known name occurs in it.
     """
+    nothing = F.lit(None)
+    start = F.struct(nothing.alias("response"), nothing.alias("exprs"), nothing.alias("tag"), F.lit(False).alias("usable"), F.lit(0).alias("retries"))
 
-    def read(a: Column) -> Column:
-        return F.struct(
-            a["response"].alias("response"),
-            M.expressions_in(a["response"], names).alias("exprs"),
-            A.answer_tag(a["response"]).alias("tag"),
-        )
+    def read(tried: Column, a: Column) -> Column:
+        text = F.coalesce(a["plain"], a["response"])
+        named = text.contains("=") & F.exists(names, lambda n: text.contains(n["name"]))
+        exprs = F.when(named, M.expressions_of_plain(M.substitute_names(text, names))).otherwise(a["exprs"])
 
-    def usable(r: Column) -> Column:
-        return (F.size(r["exprs"]) > 0) | r["tag"].isNotNull()
+        def judged(es: Column) -> Column:
+            usable = (F.size(es) > 0) | a["tag"].isNotNull()
+            retries = tried["retries"] + F.when(usable, 0).otherwise(1)
+            return F.struct(a["response"].alias("response"), es.alias("exprs"), a["tag"].alias("tag"), usable.alias("usable"), retries.alias("retries"))
 
-    def pick(tried: Column) -> Column:
-        hits = F.filter(F.transform(tried, lambda r, i: F.when(usable(r), i)), lambda i: i.isNotNull())
-        found = F.get(hits, F.lit(0))
-        chosen = F.coalesce(F.get(tried, found), last(tried))
-        return F.struct(
-            chosen["response"].alias("response"),
-            chosen["exprs"].alias("exprs"),
-            chosen["tag"].alias("tag"),
-            found.isNotNull().alias("usable"),
-            F.coalesce(found, F.size(tried)).alias("retries"),
-        )
+        return let(exprs, judged)
 
-    return let(F.transform(col(attempts), read), pick)
+    return F.aggregate(col(attempts), start.cast(CHOSEN), lambda tried, a: F.when(tried["usable"], tried).otherwise(read(tried, a)))
 
 
 def chunk_value(chosen: Column, verified: Column, total: Column) -> Column:
@@ -165,8 +175,7 @@ def fold_chunks(chunks: str | Column) -> Column:
             return let(chunk_value(chosen, log, acc["total"]), lambda v: updated(chosen, log, v))
 
         def updated(chosen: Column, log: Column, v: Column) -> Column:
-            name = C.variable_name(chunk["clause_text"], chunk["chunk_idx"])
-            names = F.when(v["value"].isNull(), acc["names"]).otherwise(_remember(acc["names"], name, v["value"]))
+            names = F.when(v["value"].isNull(), acc["names"]).otherwise(_remember(acc["names"], chunk["value_name"], v["value"]))
             return let(names, lambda ns: recorded(chosen, log, v, ns))
 
         def recorded(chosen: Column, log: Column, v: Column, names: Column) -> Column:

@@ -14,8 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas as S
 from ..operators.logs import latest
 from ..sources.json_tables import parse_lines
-from ..sources.manifest import read_or_none
-from .runs import Runs
+from .runs import BUCKETS, Runs
 
 
 def stream_files(
@@ -53,30 +52,31 @@ def score_incrementally(
     path: str,
     checkpoint: str,
     event_time: str | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Score new log rows, each key once, into a parquet table; late keys are new keys like others.
 
     The keys written so far are the memory: they stand next to the table, in runs by key bucket, and a batch opens the
     buckets of its own keys only. So there is no state that a watermark would have to bound, and no row is lost to one.
     Of a batch's rows with one key the first by `event_time`, then by a hash of all columns, stays, so a batch replayed
-    after a failure rewrites its own folder with the same rows. Every batch leaves a numbered snapshot (`snapshots`).
+    after a failure rewrites its own folder with the same rows. `buckets` is to grow with the keys, and stays for a table. Every batch leaves a numbered snapshot (`snapshots`).
     """
     spark = log.sparkSession
-    done = Runs(spark, f"{path}/_keys", tuple(keys), lambda rows: rows)
+    done = _keys_of(spark, path, keys, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        first = first_of_each(batch, keys, event_time).persist()
-        try:
+        target = f"{path}/batch_id={batch_id}"
+        before = done.newest(before=batch_id)
+        first = first_of_each(batch, keys, event_time)
+        if before.runs:
+            first = first.persist()  # read twice: for its buckets and for its rows
             mine = [r[0] for r in first.select(done.bucket()).distinct().collect()]  # at most the number of buckets
-            seen = done.read(before=batch_id, buckets=mine)
-            fresh = first if seen is None else _unseen(first, seen, keys)
-            target = f"{path}/batch_id={batch_id}"
-            score(fresh).write.mode("overwrite").parquet(target)
-        finally:
-            first.unpersist()
-        written = spark.read.parquet(target).select(*keys)
-        done.add(written, batch_id)
-        _take_snapshot(spark, path, batch_id, written.count())
+            fresh = _unseen(first, done.read(before, mine), keys)
+        else:
+            fresh = first
+        score(fresh).write.mode("overwrite").parquet(target)
+        first.unpersist()
+        done.add(spark.read.parquet(target).select(*keys), batch_id, before)
 
     return _start(log.writeStream.foreachBatch(write), checkpoint)
 
@@ -87,19 +87,17 @@ def _unseen(rows: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys]), "left_anti")
 
 
-_SNAPSHOT = "snapshot LONG, n_new LONG, n_rows LONG"
-
-
-def _take_snapshot(spark: SparkSession, path: str, batch_id: int, n_new: int) -> None:
-    before = snapshots(spark, path).filter(F.col("snapshot") < batch_id).agg(F.max_by("n_rows", "snapshot")).first()[0] or 0
-    row = spark.createDataFrame([(batch_id, n_new, before + n_new)], _SNAPSHOT).coalesce(1)
-    row.write.mode("overwrite").json(f"{path}/_snapshots/taken={batch_id}")
+def _keys_of(spark: SparkSession, path: str, keys: Sequence[str] = (), buckets: int = BUCKETS) -> Runs:
+    """Keys that stand in a scored table, next to it and hidden from its readers."""
+    return Runs(spark, f"{path}/_keys", tuple(keys), lambda rows: rows, buckets)
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Numbered snapshots of a table that `score_incrementally` writes: number, rows added, rows so far."""
-    found = read_or_none(spark, f"{path}/_snapshots", "json", _SNAPSHOT)
-    return spark.createDataFrame([], _SNAPSHOT) if found is None else found.drop("taken")
+    versions = _keys_of(spark, path).versions()
+    if versions is None:
+        return spark.createDataFrame([], "snapshot LONG, n_new LONG, n_rows LONG")
+    return versions.select(F.col("version").alias("snapshot"), "n_new", "n_rows")
 
 
 def read_snapshot(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:

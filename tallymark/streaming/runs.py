@@ -18,10 +18,21 @@ from pyspark.sql import functions as F
 from ..sources.manifest import read_or_none
 
 FAN = 4
-BUCKETS = 16
+BUCKETS = 8
 _RUN, _BUCKET = "_run", "_bucket"
 
 
+_VERSION = "version LONG, runs ARRAY<STRING>, n_new LONG, n_rows LONG"
+
+
+@dataclass(frozen=True)
+class Version:
+    """Names (L<level>-<batch>) of the runs that count, and how many rows their batches have added."""
+
+    runs: tuple[str, ...] = ()
+    n_rows: int = 0
+
+
 @dataclass(frozen=True)
 class Runs:
     """A table of runs at `path`, keyed by `keys`; `latest` keeps one row of each key in a merge."""
@@ -35,15 +46,15 @@ class Runs:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def live(self, before: int | None = None) -> list[str]:
-        """Names (L<level>-<batch>) of the runs of the newest version, or of the newest one below `before`."""
-        versions = read_or_none(self.spark, f"{self.path}/versions", "json", "version LONG, runs ARRAY<STRING>")
+    def newest(self, before: int | None = None) -> Version:
+        """The newest version, or the newest one below `before`."""
+        versions = read_or_none(self.spark, f"{self.path}/versions", "json", _VERSION)
         if versions is None:
-            return []
+            return Version()
         if before is not None:
             versions = versions.filter(F.col("version") < before)
-        newest = versions.agg(F.max_by("runs", "version").alias("runs")).first()
-        return list(newest.runs or [])
+        row = versions.agg(F.max_by(F.struct("runs", "n_rows"), "version").alias("v")).first().v
+        return Version(tuple(row.runs), row.n_rows) if row else Version()
 
     def _read(self, runs: Sequence[str]) -> DataFrame:
         base = f"{self.path}/runs"
@@ -54,26 +65,34 @@ class Runs:
         dealt = rows.withColumn(_BUCKET, self.bucket()).repartition(_BUCKET).sortWithinPartitions(_BUCKET, *self.keys)
         dealt.write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{self.path}/runs/{_RUN}={run}")
 
-    def read(self, before: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    def read(self, version: Version | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
         """Rows of the live runs, one or more of a key (the caller takes its latest); only the named buckets are opened.
 
         None where there is no run yet.
         """
-        live = self.live(before)
-        if not live:
+        version = version or self.newest()
+        if not version.runs:
             return None
-        rows = self._read(live)
+        rows = self._read(version.runs)
         return (rows if buckets is None else rows.filter(F.col(_BUCKET).isin(list(buckets)))).drop(_BUCKET)
 
-    def add(self, rows: DataFrame, batch: int) -> None:
+    def add(self, rows: DataFrame, batch: int, before: Version | None = None) -> None:
         """Write a batch as a run, merge where a level is full, and publish the version of the batch."""
-        live = [*self.live(before=batch), run := f"L0-{batch}"]
+        before = before or self.newest(before=batch)
+        live = [*before.runs, run := f"L0-{batch}"]
         self._write(rows, run)
+        n_new = self._read([run]).count()  # from the footers
         level = 0
         while len(mine := [r for r in live if r.startswith(f"L{level}-")]) >= FAN:
             merged = f"L{level + 1}-{batch}"
             self._write(self.latest(self._read(mine).drop(_BUCKET)), merged)
             live = [r for r in live if r not in mine] + [merged]
             level += 1
-        version = self.spark.createDataFrame([(batch, live)], "version LONG, runs ARRAY<STRING>").coalesce(1)
+        values = [F.lit(batch), F.array(*map(F.lit, live)), F.lit(n_new), F.lit(before.n_rows + n_new)]
+        names = [f.split()[0] for f in _VERSION.split(", ")]
+        version = self.spark.range(1, numPartitions=1).select(*[v.alias(n) for v, n in zip(values, names, strict=True)])
         version.write.mode("overwrite").json(f"{self.path}/versions/batch={batch}")
+
+    def versions(self) -> DataFrame | None:
+        """One row per batch: version, runs, n_new, n_rows (rows added by all batches so far)."""
+        return read_or_none(self.spark, f"{self.path}/versions", "json", _VERSION)

@@ -256,15 +256,15 @@ def test_runs_stay_few_and_hold_the_latest(spark, tmp_path):
     n = FAN * FAN + 2
     for batch in range(n):
         runs.add(spark.createDataFrame([(k, batch, f"v{batch}") for k in (None, 1, 2)], "k INT, t INT, v STRING"), batch)
-    live = runs.live()
+    live = runs.newest().runs
     # sixteen batches are one run of the second level by now, the last two are their own
     assert sorted(live) == [f"L0-{n - 2}", f"L0-{n - 1}", f"L2-{FAN * FAN - 1}"]
     assert runs.read().count() == 3 * len(live)
     assert sorted((str(r.k), r.t, r.v) for r in latest(runs.read(), ["k"], ["t"]).collect()) == [(k, n - 1, f"v{n - 1}") for k in ("1", "2", "None")]
     # a batch that runs again gives the same version; a reader may ask for the state before it
     runs.add(spark.createDataFrame([(k, n - 1, "again") for k in (1,)], "k INT, t INT, v STRING"), n - 1)
-    assert sorted(runs.live()) == sorted(live)
-    assert {r.t for r in latest(runs.read(before=n - 1), ["k"], ["t"]).collect()} == {n - 2}
+    assert sorted(runs.newest().runs) == sorted(live)
+    assert {r.t for r in latest(runs.read(runs.newest(before=n - 1)), ["k"], ["t"]).collect()} == {n - 2}
     mine = runs.read(buckets=[0])
     assert "PartitionFilters: [isnotnull(_bucket" in mine._jdf.queryExecution().executedPlan().toString()
     assert mine.count() + runs.read(buckets=[1]).count() == runs.read().count()
