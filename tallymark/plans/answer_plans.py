@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import answers as X
 from ..operators import metrics as A
 from ..operators import scoring as P
-from ..session import spread
+from ..session import shared_dir, spread
 from ..sources.json_tables import prepare_qa
+from ..sources.rejects import Rejects
+from ..sources.sinks import write_table
 from .derived import BS, NL, PROBLEMS, REPORTED, RESPONSES, problems, responses, scored_sql, with_views
 from .registry import query, table
 
@@ -267,6 +269,19 @@ def prepare(spark, d):
     return out.withColumns({c: F.md5(F.col(c).cast("binary")) for c in ("question", "answer")})
 
 
+@query(
+    "s11_reject_counts",
+    answers_sql(f"""SELECT reason, CAST(n AS BIGINT) AS n FROM (
+        SELECT unnest(['rows', 'no_gold', 'few_steps']) AS reason,
+               unnest([count(*), count(*) FILTER (g IS NULL), count(*) FILTER (g IS NOT NULL AND s < 6)]) AS n
+        FROM (SELECT {_GOLD_SQL} AS g, {_STEPS_SQL} AS s FROM qa))"""),
+)
+def preparation_reject_counts(spark, d):
+    rejects = Rejects()
+    write_table(prepare_qa(qa_rows(spark, d), rejects=rejects), shared_dir(spark, "s11-rejects"))
+    return rejects.table(spark)
+
+
 @query(
     "p6_minimum_steps",
     answers_sql(f"""SELECT {_STEPS_SQL} AS estimated_steps, count(*) AS n FROM qa

@@ -15,6 +15,7 @@ from ..operators import scoring as P
 from ..session import shared_dir
 from ..sources import json_tables as I
 from ..sources import sinks as O
+from ..sources.rejects import Rejects
 from .accuracy_plans import r6, scored
 from .derived import PROBLEMS, problems, scored_sql, with_views
 from .registry import query, table
@@ -154,6 +155,36 @@ def lenient_log(spark, d):
     return _log_counts(I.read_log(spark, path))
 
 
+@query(
+    "s5_reject_counts",
+    scored_sql("""SELECT reason, CAST(n AS BIGINT) AS n FROM (
+        SELECT unnest(['lines', 'blank', 'not_json', 'lacking_key']) AS reason, unnest([count(*), count(*) FILTER (k % 10 = 0),
+               count(*) FILTER (k % 10 = 1), count(*) FILTER (k % 10 > 1 AND (k % 6 = 0 OR k % 7 = 0))]) AS n FROM scored)"""),
+)
+def log_reject_counts(spark, d):
+    """Lines a lenient reader skips, and records that lack a key, counted by the job that writes the rest."""
+    rows = _results(spark, d).withColumn("regime", F.when(F.col("k") % 6 != 0, F.col("regime"))).withColumn(
+        "is_correct", F.when(F.col("k") % 7 != 0, F.col("is_correct"))
+    )
+    line = F.when(F.col("k") % 10 == 0, "").when(F.col("k") % 10 == 1, '{"model": "m0", ').otherwise(F.to_json(F.struct("*")))
+    path, rejects = shared_dir(spark, "s5-rejects"), Rejects()
+    rows.select(line.alias("value")).write.text(f"{path}/log")
+    O.write_table(I.read_method_log(spark, f"{path}/log", rejects=rejects), f"{path}/kept")
+    return rejects.table(spark)
+
+
+@query(
+    "p3_reject_counts",
+    """SELECT reason, CAST(n AS BIGINT) AS n FROM (
+        SELECT unnest(['templates', 'empty_pool']) AS reason, unnest([count(*), count(*) FILTER (s_suppkey % 4 = 0)]) AS n FROM supplier)""",
+)
+def pool_reject_counts(spark, d):
+    path, rejects = shared_dir(spark, "p3-rejects"), Rejects()
+    O.write_documents(_templates(spark, d), f"{path}/in")
+    O.write_json(I.distract(I.read_templates_with_pool(spark, f"{path}/in", "*.txt", rejects)), f"{path}/out")
+    return rejects.table(spark)
+
+
 @query(
     "s6_required_fields",
     scored_sql("""SELECT model, regime AS method, depth, count(*) AS n, CAST(count(*) FILTER (is_correct) AS BIGINT) AS k

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from ..functions.stats import draw
 from ..operators.logs import first_per_group
 from ..operators.scoring import keep_complete, step_count
 from .manifest import committed
+from .rejects import Rejects
 
 
 def _file_name() -> Column:
@@ -33,7 +36,7 @@ def read_templates(spark: SparkSession, path: str, files: str = "*.json") -> Dat
     return keep_complete(df.withColumn("source_file", _file_name()), "question", "answer")
 
 
-def read_templates_with_pool(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
+def read_templates_with_pool(spark: SparkSession, path: str, files: str = "*.json", rejects: Rejects | None = None) -> DataFrame:
     """Templates with a non-empty distractor pool; pool elements are kept as JSON text or bare text."""
     df = (
         spark.read.schema(S.TEMPLATE_WITH_RAW_POOL)
@@ -41,7 +44,11 @@ def read_templates_with_pool(spark: SparkSession, path: str, files: str = "*.jso
         .option("pathGlobFilter", files)
         .json(path)
     )
-    return df.withColumn("source_file", _file_name()).filter(F.size("dynamic_distractor_pool") > 0)
+    df = df.withColumn("source_file", _file_name())
+    filled = F.coalesce(F.size("dynamic_distractor_pool") > 0, F.lit(False))
+    if rejects is not None:
+        df = rejects.watch(df, templates=F.lit(True), empty_pool=~filled)
+    return df.filter(filled)
 
 
 def pick_distractor(df: DataFrame, seed: int = 42, pool: str = "dynamic_distractor_pool", key: str = "source_file") -> DataFrame:
@@ -134,16 +141,19 @@ def folder_value(path: Column, name: str) -> Column:
     return F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__"))
 
 
-def parse_lines(text: DataFrame, schema: str) -> DataFrame:
+def parse_lines(text: DataFrame, schema: str, rejects: Rejects | None = None) -> DataFrame:
     """Records of JSON lines read as text, batch or stream, with the file they are from. A line is parsed once and whole:
     whether it is a record does not depend on the columns that are asked for, nor on the types of its values.
 
     Fields that the record lacks come from `name=value` folders, as text: a log laid out by columns keeps them only there,
-    and a model whose name looks like a number stays the model it is.
+    and a model whose name looks like a number stays the model it is. `rejects` counts lines read, blank and not JSON.
     """
     parsed = T.StructType([*_as_texts(schema).fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     lines = text.select(F.from_json("value", parsed, options).alias("r"), F.trim("value").alias("line"), _file_path().alias("_path"))
+    if rejects is not None:
+        blank = F.col("line") == ""
+        lines = rejects.watch(lines, lines=F.lit(True), blank=blank, not_json=~blank & ~F.coalesce(_is_record(), F.lit(False)))
     records = lines.filter(_is_record())
     texts = [f.name for f in T.StructType.fromDDL(schema).fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
@@ -158,20 +168,25 @@ def _is_record() -> Column:
     return (F.col("line") != "") & F.col("r").isNotNull() & F.col(f"r.{_CORRUPT}").isNull() & F.col("line").startswith("{")
 
 
-def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _json_lines(spark: SparkSession, path: str, schema: str, rejects: Rejects | None = None) -> DataFrame:
     """Records of JSON lines below `path`; of a folder with a manifest, those of committed batches."""
     # a recursive listing infers no partition columns, whose types would depend on the values
-    records = parse_lines(spark.read.option("recursiveFileLookup", True).text(path), schema)
+    records = parse_lines(spark.read.option("recursiveFileLookup", True).text(path), schema, rejects)
     done = None if any(c in path for c in "*?[{") else committed(spark, path)
     if done is None:
         return records
     return records.withColumn("batch", folder_value(F.col("_path"), "batch")).join(done, "batch", "left_semi").drop("batch")
 
 
-def read_log(spark: SparkSession, path: str, schema: str = S.DEPTH_RESULT, check: bool = True) -> DataFrame:
-    """JSON lines; blank lines and lines that are not JSON are skipped, a log without any record is an error."""
-    df = _json_lines(spark, path, schema).drop("_path")
-    return _require_rows(df, path) if check else df
+def read_log(
+    spark: SparkSession, path: str, schema: str = S.DEPTH_RESULT, check: bool = True, rejects: Rejects | None = None
+) -> DataFrame:
+    """JSON lines; blank lines and lines that are not JSON are skipped, a log without any record is an error.
+
+    With `rejects`, what was skipped is counted and there is no such check, whose short job would end the counting.
+    """
+    df = _json_lines(spark, path, schema, rejects).drop("_path")
+    return _require_rows(df, path) if check and rejects is None else df
 
 
 def read_log_strict(spark: SparkSession, path: str, schema: str = S.FILTERED_RESULT) -> DataFrame:
@@ -179,10 +194,13 @@ def read_log_strict(spark: SparkSession, path: str, schema: str = S.FILTERED_RES
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_method_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+def read_method_log(spark: SparkSession, path: str, check: bool = True, rejects: Rejects | None = None) -> DataFrame:
     """Depth log as (model, method, depth, correct); rows without one of these keys are left out."""
-    df = read_log(spark, path, S.DEPTH_RESULT, check).dropna(subset=["model", "regime", "depth", "is_correct"])
-    return df.select("model", F.col("regime").alias("method"), "depth", F.col("is_correct").alias("correct"))
+    keys = ["model", "regime", "depth", "is_correct"]
+    df = read_log(spark, path, S.DEPTH_RESULT, check, rejects)
+    if rejects is not None:
+        df = rejects.watch(df, lacking_key=reduce(or_, [F.col(k).isNull() for k in keys]))
+    return df.dropna(subset=keys).select("model", F.col("regime").alias("method"), "depth", F.col("is_correct").alias("correct"))
 
 
 def read_qa_log(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
@@ -271,7 +289,9 @@ def explode_payload(df: DataFrame, blocks: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.concat(*[entries(b) for b in blocks])))
 
 
-def prepare_qa(df: DataFrame, idx: str = "idx", min_steps: int | None = V.MIN_STEPS) -> DataFrame:
+def prepare_qa(
+    df: DataFrame, idx: str = "idx", min_steps: int | None = V.MIN_STEPS, rejects: Rejects | None = None
+) -> DataFrame:
     """Problem table from raw question/answer rows; rows without a gold number or with few steps are left out.
 
     The row number is an input column: ids have to name the same problem on every run.
@@ -285,5 +305,8 @@ def prepare_qa(df: DataFrame, idx: str = "idx", min_steps: int | None = V.MIN_ST
         "ground_truth",
         "estimated_steps",
     )
+    if rejects is not None:
+        few = F.lit(False) if min_steps is None else F.col("estimated_steps") < min_steps
+        out = rejects.watch(out, rows=F.lit(True), no_gold=F.col("ground_truth").isNull(), few_steps=F.col("ground_truth").isNotNull() & few)
     out = out.filter(F.col("ground_truth").isNotNull())
     return out if min_steps is None else out.filter(F.col("estimated_steps") >= min_steps)
