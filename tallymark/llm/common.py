@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, which may hold dots or backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is none of `taken`, also where case does not count."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -55,6 +67,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """The rows that `keep()`, made once in a task, says so of by one column; all columns go along whatever their names."""
+    place = df.columns.index(column)
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = keep()
+        for batch in batches:
+            yield batch.filter(judge(batch.column(place)))
+
+    return map_arrow(plain, run, plain.schema).toDF(*df.columns)
+
+
 def one_each(df: DataFrame, *keys: str) -> DataFrame:
     """The least row of every key, by all columns: rows repeated any number of times count once."""
     rest = [c for c in df.columns if c not in keys]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.llm import crf
-from tallymark.llm.common import held_out, map_arrow, one_each, sample_runs
+from tallymark.llm.common import held_out, keep_rows, map_arrow, one_each, sample_runs
 
 #: Most documents per language, and words of each, that the field learns from; documents are picked by a hash of the id.
 TRAIN_DOCS, TRAIN_WORDS, TRAIN_RUN = 200, 150, 25
@@ -208,16 +208,20 @@ def train(docs: DataFrame, n_docs: int = TRAIN_DOCS, n_words: int = TRAIN_WORDS)
 
     The tokens of a longer text are runs spread over all of it. A document that is there several times teaches once, an
     id with several languages once in each. Only text and lang teach; rows without a letter, a language or an id do not.
-    More than MAX_LANGS languages are an error.
+    Of more than MAX_LANGS languages those with most ids teach (ties by name); documents in others get one of these.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     rows = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    if rows.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages in lang")
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    # distinct ids, so that repeated rows take no one's place; each task drops all but a language's first before the shuffle
-    drawn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("lang", "doc_id").distinct().withColumn("n", drawn).where(F.col("n") <= n_docs).drop("n")
+    # distinct ids, so that repeated rows take no one's place
+    ids = rows.select("lang", "doc_id").distinct()
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    # a hash leaves four times as many candidates as are drawn, whatever the number of partitions; only those are ranked
+    hashed = F.xxhash64("doc_id")
+    share = F.pmod(F.xxhash64(F.lit("teacher"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
+    few = ids.join(F.broadcast(sizes), "lang").where(share * F.col("n") < 4 * n_docs + 64)
+    drawn = F.row_number().over(W.partitionBy("lang").orderBy(hashed, "doc_id"))
+    picked = few.withColumn("place", drawn).where(F.col("place") <= n_docs).select("lang", "doc_id")
     sample = rows.join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,14 +280,19 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, field: Field, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of `docs` with a recognised language whose share reaches `keep_from`, with all their columns."""
-    place = docs.columns.index("text")
+    """The rows of `docs` with a recognised language whose share reaches `keep_from`, with all their columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    NULL texts and texts without a letter have no language and go; repeated rows are judged alike, NULL ids do not matter, and
+    an empty table gives an empty result.
+    """
+
+    def keep() -> Callable[[pa.Array], pa.Array]:
         labeller = Labeller(field)
-        for batch in batches:
-            langs, score = labeller.languages([t.as_py() or "" for t in batch.column(place)])
-            keep = [lang != UNKNOWN and s >= keep_from for lang, s in zip(langs, score, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+        def known(texts: pa.Array) -> pa.Array:
+            langs, score = labeller.languages([t.as_py() or "" for t in texts])
+            return pa.array([lang != UNKNOWN and s >= keep_from for lang, s in zip(langs, score, strict=True)], pa.bool_())
+
+        return known
+
+    return keep_rows(docs, "text", keep)

@@ -19,6 +19,7 @@ from tallymark.llm.common import held_out, map_arrow, one_each, sample_runs
 
 #: Most labelled documents, and lines of each, that the field learns from; documents are picked by a hash of the id.
 TRAIN_DOCS, TRAIN_LINES, TRAIN_RUN = 3000, 200, 50
+RUN_LINES = 8  # of one label in a row, on average, in the sequences that teach switches
 KEEP_SHARE, MIN_WORDS, MAX_REPEAT = 0.5, 50, 50
 _SYMBOLS = b"#*$%&|<>"
 _CLASS = np.zeros((256, 5))  # symbols, digits, capitals, other marks, sentence ends
@@ -127,33 +128,63 @@ class Field:
         return np.bincount(owner, size * content, len(raws)) / np.maximum(total, 1)
 
 
+def mixed(sequences: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sequences that switch: runs of lines of a boilerplate and of a content text in turn, with a label for each line.
+
+    Every text is met once, texts of the smaller class as often as it takes; every second sequence begins with content.
+    Lengths of runs are drawn (`RUN_LINES` on average), the same on every call.
+    """
+    rng = np.random.default_rng(0)
+    bad, good = ([k for k in range(len(sequences)) if labels[k] == c and len(sequences[k])] for c in (0, 1))
+    lines, gold = [], []
+    for k in range(max(len(bad), len(good)) if bad and good else 0):
+        pair = [sequences[bad[k % len(bad)]], sequences[good[k % len(good)]]]
+        at, side, parts, marks = [0, 0], k % 2, [], []
+        while at[0] < len(pair[0]) or at[1] < len(pair[1]):
+            run = pair[side][at[side] : at[side] + rng.geometric(1 / RUN_LINES)]
+            at[side] += len(run)
+            parts.append(run)
+            marks.append(np.full(len(run), side))
+            side = 1 - side
+        lines.append(np.concatenate(parts))
+        gold.append(np.concatenate(marks))
+    return lines, gold
+
+
 def fit(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 150, l2: float = 1e-3, rate: float = 0.1) -> Field:
-    """Maximum likelihood with every line of a text labelled as the text; classes weigh the same. No rows: all content."""
+    """Maximum likelihood. Lines of a text are labelled as the text, classes weigh the same; texts of one label alone would
+    teach that labels never change, so sequences that switch (`mixed`) teach too. No rows: all content."""
     field = Field(np.zeros((FEATURES, 2)), np.zeros((2, 2)))
-    lengths = np.array([len(s) for s in sequences], np.int64)
-    if len(set(labels[lengths > 0].tolist())) < 2:
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    if len(set(labels[sizes > 0].tolist())) < 2:
         field.weight[0, 1] = 1.0
         return field
+    weigh = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))
+    lines, gold = mixed(sequences, labels)
+    kind = np.concatenate([labels, np.full(len(lines), 2)])
+    weigh = np.append(weigh, 1.0)
+    y = np.concatenate([np.repeat(labels, sizes), *gold])
+    sequences = [*sequences, *lines]
+    lengths = np.array([len(s) for s in sequences], np.int64)
     x = np.concatenate(sequences)
-    y = np.repeat(labels, lengths)
-    weigh = len(labels) / (2 * np.maximum(np.bincount(labels, minlength=2), 1))[labels]
     start = np.cumsum(lengths) - lengths
     groups = []
     for g in crf.batches(lengths):
-        for label in (0, 1):
-            if len(part := g[labels[g] == label]):
-                groups.append((*crf.padded(start, lengths, part), label, weigh[part[0]]))
+        for k in range(3):
+            if len(part := g[kind[g] == k]):
+                groups.append((*crf.padded(start, lengths, part), weigh[k]))
     adam = crf.Adam(field.weight.shape, field.move.shape, rate=rate)
     for _ in range(rounds):
         gw, gm = l2 * len(y) * field.weight, l2 * len(y) * field.move
         score = x @ field.weight
-        for at, real, label, w in groups:
+        for at, real, w in groups:
             post, pair, _ = crf.forward_backward(score[at], real, field.move)
             rows = at[real]
             diff = post[real]
-            diff[:, label] -= 1
+            diff[np.arange(len(rows)), y[rows]] -= 1
             gw += w * (x[rows].T @ diff)
-            pair[label, label] -= real[1:].sum()
+            both = real[:-1] & real[1:]
+            np.subtract.at(pair, (y[at[:-1][both]], y[at[1:][both]]), 1)
             gm += w * pair
         adam.step([field.weight, field.move], [gw / len(y), gm / len(y)])
     return field

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.llm import induced
-from tallymark.llm.common import cut, map_arrow, shuffle_width
+from tallymark.llm.common import cut, map_arrow, quoted, shuffle_width
 
 LENGTH, GRAM = induced.LIMIT, 32
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -78,7 +78,7 @@ def _keyed(docs: DataFrame, carried: list[str]) -> DataFrame:
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     d = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 62)))
-    return docs.select(d.alias("d"), F.xxhash64(text).alias("t"), text.alias("text"), F.struct(*[docs[c] for c in carried]).alias("row"))
+    return docs.select(d.alias("d"), F.xxhash64(text).alias("t"), text.alias("text"), F.struct(*[quoted(c).alias(c) for c in carried]).alias("row"))
 
 
 def _all_runs(keyed: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def strip_texts(docs: DataFrame) -> DataFrame:
 
     joined = texts.join(starts, ["d", "t"], "left").select("row", "text", "begins", "ends")
     done = map_arrow(joined, run, T.StructType([texts.schema["row"], T.StructField("text", T.StringType())]))
-    columns = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns}
+    columns = {c: F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return done.select(*columns.values())

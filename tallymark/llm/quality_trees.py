@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm import boost
-from tallymark.llm.common import held_out, map_arrow, one_each
+from tallymark.llm.common import held_out, keep_rows, map_arrow, one_each
 
 #: Most labelled rows the trees learn from; they are picked by a hash of the id.
 TRAIN_ROWS, KEEP_FROM = 8000, 0.7
@@ -130,12 +130,9 @@ def score(docs: DataFrame, model: boost.Trees, keep_from: float = KEEP_FROM) ->
 
 
 def keep_good(docs: DataFrame, model: boost.Trees, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of `docs` whose score reaches `keep_from`, with all their columns."""
-    names = docs.columns
-    place = names.index("text")
+    """The rows of `docs` whose score reaches `keep_from`, with all their columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(model.score(_matrix(batch.column(place))) >= keep_from))
-
-    return map_arrow(docs, run, docs.schema)
+    NULL texts are scored as empty ones; repeated rows are judged alike, NULL ids do not matter, and an empty table gives an
+    empty result.
+    """
+    return keep_rows(docs, "text", lambda: lambda texts: pa.array(model.score(_matrix(texts)) >= keep_from))

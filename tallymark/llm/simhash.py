@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Forest, components, cut, map_arrow, shuffle_width
+from tallymark.llm.common import Forest, components, cut, fresh, map_arrow, quoted, shuffle_width
 
 SHINGLE_WORDS, SEED, RADIUS, TILE = 4, 42, 4, 16384
 _CELLS = 1 << 22  # compared at once in a task
@@ -176,11 +176,14 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE_WORDS,
     Ids need not be unique: texts that are no near-duplicates all stay, whatever their ids, and rows with a NULL doc_id
     are deduplicated like others. Rows are told apart by two 64-bit hashes.
     """
-    every = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.xxhash64(*every, *[c.isNull() for c in every])})
-    marked = cut(fingerprints(keyed, width, seed, ("_text", "_row")), "fingerprints")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text", "_row")
+    text_key, row_key = fresh("text_key", docs.columns), fresh("row_key", docs.columns)
+    # maps have no hash: their text stands for them
+    plain = [F.to_json(F.struct(quoted(f.name))) if "map<" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema.fields]
+    keyed = docs.withColumns({text_key: F.xxhash64("text"), row_key: F.xxhash64(*plain, *[quoted(c).isNull() for c in docs.columns])})
+    marked = cut(fingerprints(keyed, width, seed, (text_key, row_key)), "fingerprints")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", text_key, row_key)
     distinct = marked.groupBy("fp").agg(F.min(rank).alias("least"))
     least = rooted(distinct, radius, tile).groupBy("root").agg(F.min("least").alias("least"))
     # repeated rows are merged before the shuffle already
-    return keyed.dropDuplicates(["_text", "_row"]).join(least.select("least._text", "least._row"), ["_text", "_row"], "left_semi").drop("_text", "_row")
+    chosen = least.select(f"least.{text_key}", f"least.{row_key}")
+    return keyed.dropDuplicates([text_key, row_key]).join(chosen, [text_key, row_key], "left_semi").drop(text_key, row_key)

@@ -22,17 +22,19 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: The labelled table: hosts by kind, each met with and without subdomain and with the paths below.
+#: The labelled table: host names by kind, each met in the forms below; no host of any given page is among them.
 _BLOCKED = (
-    "spam-farm spamhub junk-spam cheap-pills pills-online buy-pills pharma-deal casino-win casino-royal win-casino free-bets bets-free "
-    "sports-bets ads-track adtrack track-ads ad-clicks adult-x adult-cams xxx-adult porn-tube lottery-win free-money replica-watches"
+    "casinoroyal grandcasino lucky-casino casino-slots poker-online bet-now sportbets free-spins bets4you spamhub mail-spam spam-list junkfarm "
+    "link-farm clickfarm pills-online buy-pills diet-pills cheapmeds cheap-watches adtracker track-clicks ads-server banner-ads ad-clicks "
+    "adult-cams adultvideo xxx-adult porn-tube sexy-chat lottery-win win-prizes big-win free-money cash-win replica-watches"
 ).split()
 _ALLOWED = (
-    "therha ththre tionsh ththan therin thernd therou example library museum school university citynews daily-times gardening weather "
-    "recipes history physics chemistry openbooks travelguide football orchestra painting railway biology mountain village harbour "
-    "publisher encyclopedia handbook teacher student research journal community trade-union cycling free-software winter adulthood"
+    "library museum school university citynews daily-times gardening weather recipes history physics chemistry openbooks travelguide football "
+    "orchestra painting railway biology mountain village harbour publisher encyclopedia handbook teacher student research journal community "
+    "trade-union cycling free-software winter adulthood thoughts another nation internet thunder harvest clothes churches beaches coaches "
+    "hat-shop habitat chat-history theatre athens health northern thesis earth methods ethics weather-watch table cable noble stable"
 ).split()
-_SHAPES = ("{}.example.org/en/471", "www.{}.example.net/de/35296", "blog.{}.example.com/fr/148.html", "m.{}.example.org/es/5099/", "{}.net/en/25930")
+_SHAPES = ("{}.com/", "www.{}.net/index.html", "{}.info/page/2", "shop.{}.org/item?id=7", "news.{}.example.org/a/b")
 LABELLED = tuple(
     (f"https://{shape.format(host)}", verdict)
     for hosts, verdict in ((_BLOCKED, "block"), (_ALLOWED, "allow"))
@@ -114,7 +116,7 @@ def judge(pages: DataFrame, model: tuple[list[int], int], rules=RULES) -> DataFr
         F.lit(0).cast("long"),
         lambda acc, g: acc + F.element_at(table, F.conv(F.substring(F.md5(g.cast("binary")), 1, 3), 16, 10).cast("int") + 1),
     )
-    score = total + F.lit(intercept) * F.greatest(F.size("grams"), F.lit(1))
+    score = total + F.lit(intercept).cast("long") * F.greatest(F.size("grams"), F.lit(1))
     rule = verdict = None
     for h, p, v in _rule_order(rules):
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)

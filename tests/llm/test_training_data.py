@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallymark.llm import bpe, chat_tree, induced, int8_tiles, lang_crf, line_crf, packing, passages, quality_trees, simhash, url_filter
@@ -391,3 +392,94 @@ def test_every_language_with_a_usable_document_teaches(spark):
     rows += [(i, t, "es") for i in ids[50:80] for t in (None, "", "12 !")] + [(ids[80], "la casa", "es")]  # one usable text
     table = spark.createDataFrame([(i, t, lang, "s", "x", 1) for i, t, lang in rows], DOCS)
     assert lang_crf.train(table, n_docs=2).langs == ["de", "en", "es", "fr"]
+
+
+def test_lines_of_both_kinds_are_told_apart_in_either_order(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    table, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    field = line_crf.train(table, labels)
+    rows = table.join(labels.select("doc_id", "quality"), "doc_id").where("length(text) > 400 AND quality IS NOT NULL").orderBy("doc_id").collect()
+    good, bad = ([r.text for r in rows if r.quality == q and r.text.count("\n") >= 3][:12] for q in (1, 0))
+    size = lambda t: sum(len(x.encode()) for x in t.split("\n") if x.split())
+    assert len(good) > 5 and len(bad) > 2
+    for k, g in enumerate(good):
+        b = bad[k % len(bad)]
+        want = size(g) / (size(g) + size(b))
+        for text in (g + "\n" + b, b + "\n" + g):
+            assert abs(field.content_shares([text.encode()])[0] - want) < 0.1
+
+
+def test_switching_sequences_hold_every_line_once():
+    rng = np.random.default_rng(3)
+    texts = [rng.normal(size=(n, line_crf.FEATURES)) for n in (5, 0, 30, 7)]
+    lines, gold = line_crf.mixed(texts, np.array([1, 0, 1, 0]))
+    assert [len(x) for x in lines] == [12, 37] and [g.sum() for g in gold] == [5, 30]
+    assert np.array_equal(lines[1][gold[1] == 1], texts[2]) and np.array_equal(lines[1][gold[1] == 0], texts[3])
+    assert line_crf.mixed(texts[:1], np.array([1])) == ([], [])
+
+
+def test_url_regression_blocks_hosts_it_has_not_seen(spark):
+    listed = {h for url, _ in url_filter.LABELLED for h in url.split("/")[2].split(".")}
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = {p for r in rows.select(url_filter.host_and_path(F.col("url"))[0].alias("h")).distinct().collect() for p in r.h.split(".")}
+    assert not {h for h in hosts & listed if len(h) > 4 and h != "example"}
+    urls = ["http://casino-win.example/", "https://x.free-bets.test/a", "http://adult-x.example.net/en/1", "http://cheap-pills.test", None, "nothing", "",
+            "https://museum-of-nature.test/a?b", "http://citylibrary.example/c", "http://" + "a" * 50_000 + "/" + "b" * 50_000]
+    table = spark.createDataFrame([(k, u, "h", "p", 1) for k, u in enumerate(urls)] + [(0, urls[0], "h", "p", 1)], "page_id long, url string, host string, path string, grams int")
+    got = [(r.page_id, r.verdict) for r in url_filter.judge(table, url_filter.train()).collect()]
+    assert sorted(got)[:5] == [(0, "block"), (0, "block"), (1, "block"), (2, "block"), (3, "block")]
+    assert {v for k, v in got if k in (4, 5, 6, 7, 8)} == {"allow"}
+    assert url_filter.judge(table.where("false"), url_filter.train()).count() == 0
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_crf, "MAX_LANGS", 3)
+    ids = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[8 * k + j], f"word{k} text{k} of{k}", f"l{k}") for k in range(6) for j in range(3 + k)]
+    table = spark.createDataFrame([(i, t, lang, "s", "x", 1) for i, t, lang in rows], DOCS)
+    assert lang_crf.train(table, n_docs=2).langs == ["l3", "l4", "l5"]
+
+
+def untidy(spark, sf_dir):
+    """Documents with NULLs, empty and repeated rows, clashing ids, and columns that are hard to carry along."""
+    raw = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    more = raw.withColumns({"_text": F.lit("mine"), "_row": F.lit(7), "text_key": F.lit(1), "a.b": F.lit("dot"), "m": F.create_map(F.lit("k"), F.col("doc_id"))})
+    nulls = more.limit(3).withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in ("doc_id", "text", "lang", "source", "n_chars", "_text")})
+    empty = more.limit(1).withColumn("text", F.lit(""))
+    return more.unionByName(nulls).unionByName(empty).unionByName(more.limit(5)).unionByName(more.limit(5).withColumn("doc_id", F.lit(1).cast("long")))
+
+
+def test_stages_carry_any_columns(spark, sf_dir):
+    table = untidy(spark, sf_dir)
+    kept = simhash.keep_one(table)
+    assert kept.columns == table.columns
+    assert {(r["_text"], r["_row"], r["a.b"]) for r in kept.collect()} <= {("mine", 7, "dot"), (None, 7, "dot")}
+    done = passages.strip_texts(kept)
+    assert done.columns == table.columns and done.count() == kept.count()
+    assert {r["a.b"] for r in done.collect()} == {"dot"} and all(r.m for r in done.collect())
+
+
+def test_pipeline_runs_on_untidy_and_on_empty_documents(spark, sf_dir, tmp_path):
+    import corpus_pipeline as p
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for name, table in (("untidy", untidy(spark, sf_dir)), ("empty", untidy(spark, sf_dir).where("false"))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = p.run(spark, folder)
+        assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
+        assert (out.count() > 0) == (name == "untidy")
+
+
+def test_empty_tables_give_empty_results(spark, sf_dir):
+    none = docs(spark, [])
+    full, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    assert quality_trees.score(none, quality_trees.train(full, labels)).count() == 0
+    assert lang_crf.identify(none, lang_crf.train(full)).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    assert passages.strip(none).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, rows int, pair string")
+    assert int8_tiles.near_duplicates(vectors).count() == 0
+    said = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat_tree.read_back(*chat_tree.format_tree(said, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
