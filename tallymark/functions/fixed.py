@@ -101,18 +101,18 @@ SYSTEM_CHUNK = (
     "You are a math solver. Solve the given problem using only the known values provided. "
     "Show your work step by step."
 )
-CHUNK_HEAD = "Known values:\n"
-CHUNK_NEW = "\n\nNew information (follow these steps IN ORDER):\n"
-CHUNK_RULES = (
+# known values, numbered steps, reminder
+CHUNK_PROMPT = (
+    "Known values:\n%s\n\nNew information (follow these steps IN ORDER):\n%s"
     "\n\nUsing ONLY the known values and the new information above, work through each numbered step IN THE "
-    "ORDER GIVEN. Show each calculation as: number operation number = result.\n"
+    "ORDER GIVEN. Show each calculation as: number operation number = result.\n%s"
+    "\nAfter all steps, write your final answer as:\nANSWER: <number>\n"
 )
 CHUNK_REMINDER = (
     "IMPORTANT: current_total is your starting amount. Your ANSWER must be the result of applying the new "
     "steps TO current_total, not just the result of the new steps alone. For example, if current_total=135 "
     "and a cost is 33.75, write 135 - 33.75 = 101.25, then ANSWER: 101.25."
 )
-CHUNK_END = "\nAfter all steps, write your final answer as:\nANSWER: <number>\n"
 NO_CONTEXT = "(none yet — this is the start of the problem)"
 CONTEXT_NOTE = "  ← use ONLY this as your starting amount"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .base import col, plain_text
+from .base import col, let, plain_text
 from .clauses import numbered_lines
 
 
@@ -35,15 +35,11 @@ def context_text(current_total: str | Column) -> Column:
 
 
 def chunk_prompt(clauses: str | Column, current_total: str | Column) -> Column:
+    """The prompt of one chunk; NULL for NULL clauses."""
     reminder = F.when(col(current_total).isNotNull(), V.CHUNK_REMINDER).otherwise("")
-    return F.concat(
-        F.lit(V.CHUNK_HEAD),
-        context_text(current_total),
-        F.lit(V.CHUNK_NEW),
+    return let(
         numbered_lines(clauses),
-        F.lit(V.CHUNK_RULES),
-        reminder,
-        F.lit(V.CHUNK_END),
+        lambda steps: F.when(steps.isNotNull(), F.format_string(V.CHUNK_PROMPT, context_text(current_total), steps, reminder)),
     )
 
 

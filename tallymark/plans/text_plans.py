@@ -473,6 +473,7 @@ def example_filter_join(spark, d):
 
 # --- prompts ----------------------------------------------------------------------------------------------
 
+_CHUNK_PARTS = V.CHUNK_PROMPT.split("%s")
 _FILTER_TEMPLATE = "Label every clause RELEVANT or IRRELEVANT.\nProblem:\n{problem}\n"
 _SQL_PROMPTS = {
     "direct": (quoted(V.SYSTEM_DIRECT), "question"),
@@ -482,8 +483,8 @@ _SQL_PROMPTS = {
     "chunk": (
         quoted(V.SYSTEM_CHUNK),
         f"""'Known values:' || {NL} || CASE WHEN k % 2 = 0 THEN 'current_total = ' || gold || '.5' || {quoted(V.CONTEXT_NOTE)}
-        ELSE {quoted(V.NO_CONTEXT)} END || {quoted(V.CHUNK_NEW)} || '1. ' || question || {quoted(V.CHUNK_RULES)} ||
-        CASE WHEN k % 2 = 0 THEN {quoted(V.CHUNK_REMINDER)} ELSE '' END || {quoted(V.CHUNK_END)}""",
+        ELSE {quoted(V.NO_CONTEXT)} END || {quoted(_CHUNK_PARTS[1])} || '1. ' || question || {quoted(_CHUNK_PARTS[2])} ||
+        CASE WHEN k % 2 = 0 THEN {quoted(V.CHUNK_REMINDER)} ELSE '' END || {quoted(_CHUNK_PARTS[3])}""",
     ),
 }
 

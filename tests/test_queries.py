@@ -1,6 +1,4 @@
-"""Registered queries against their SQL. TALLYMARK_ALL=1 runs every query, otherwise one per family."""
-
-import os
+"""Every registered query of the core against its SQL."""
 
 import oracle
 import pytest
@@ -8,14 +6,7 @@ import pytest
 import __spark_entry__ as contract
 from tallymark.plans import ORACLES, QUERIES
 
-FAMILIES = [
-    "flagship_depth_metrics", "a8_multi_seed_accuracy", "a16_filter_summary", "a18_detection_table", "a19_depth_ceiling",
-    "a25_preparation_profile", "j1_resume", "j3_filter_cache", "j7_gap_to_best", "j10_dense_grid", "k6_report", "k7_distracted_export",
-    "p10_prompt_table", "p11_error_capture", "r1_incremental_scoring", "r3_cache_upsert", "s5_lenient_log",
-    "s8_model_from_path", "s10_payload_explode", "s12_generate_problems", "t2_first_per_depth", "u1_stack_methods",
-    "w1_running_accuracy", "w6_chunk_fold", "x26_chunk_size_by_model", "x1_inject_distractor", "x9_final_answer", "x20_expressions", "x33_filter_lines",
-]
-NAMES = sorted(QUERIES) if os.environ.get("TALLYMARK_ALL") else FAMILIES
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
