@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from ..operators import logs as J
 from ..operators import scoring as P
 from ..operators.respond import respond
 from ..session import shared_dir
+from ..sources.sinks import append_bucketed
 from ..streaming import incremental as R
 from .derived import PROBLEMS, RESPONSES, problems, problems_of, responses, responses_of, scored_sql, with_views
 from .registry import query, table
@@ -23,18 +25,33 @@ KEYS = ["model", "regime", "problem_id"]
 # --- resume and caches ------------------------------------------------------------------------------------
 
 
-@query(
-    "j1_resume",
-    with_views(PROBLEMS, RESPONSES, """SELECT model, regime, count(*) AS n_pending, min(problem_id) AS first_id
+_RESUME = """SELECT model, regime, count(*) AS n_pending, min(problem_id) AS first_id
         FROM responses r WHERE NOT EXISTS (SELECT 1 FROM responses d WHERE d.h IN (1, 4, 8)
-          AND d.model = r.model AND d.regime = r.regime AND d.problem_id = r.problem_id) GROUP BY ALL"""),
-)
+          AND d.model = r.model AND d.regime = r.regime AND d.problem_id = r.problem_id) GROUP BY ALL"""
+
+
+def _pending_summary(pending: DataFrame) -> DataFrame:
+    return pending.groupBy("model", "regime").agg(F.count(F.lit(1)).alias("n_pending"), F.min("problem_id").alias("first_id"))
+
+
+@query("j1_resume", with_views(PROBLEMS, RESPONSES, _RESUME))
 def resume(spark, d):
     planned = responses(spark, d).select(*KEYS, "h")
     done = planned.filter(F.col("h").isin(1, 4, 8))
-    return J.pending(planned, done, KEYS).groupBy("model", "regime").agg(
-        F.count(F.lit(1)).alias("n_pending"), F.min("problem_id").alias("first_id")
-    )
+    return _pending_summary(J.pending(planned, done, KEYS))
+
+
+BUCKETS = 16
+
+
+@query("j1_resume_bucketed", with_views(PROBLEMS, RESPONSES, _RESUME))
+def resume_bucketed(spark, d):
+    """The log in buckets, written by two runs; the resumed run reads it in place."""
+    planned = responses(spark, d).select(*KEYS, "h")
+    name, path = f"result_log_{uuid.uuid4().hex}", shared_dir(spark, "result_log")
+    for run in ([1, 4], [8]):
+        append_bucketed(planned.filter(F.col("h").isin(run)).select(*KEYS), name, KEYS, BUCKETS, path)
+    return _pending_summary(J.pending(planned, spark.table(name), KEYS))
 
 
 @query(

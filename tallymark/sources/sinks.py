@@ -58,6 +58,17 @@ def append_log(df: DataFrame, path: str, batch: str, partition_by: Sequence[str]
     return path
 
 
+def append_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> str:
+    """Append to a log that is a table in buckets by its keys; the first call makes the table, at `path` if one is given.
+
+    Rows of a bucket meet in one task before the write, so an append adds one file to each bucket. Joins and group-bys on
+    the keys read the log without a shuffle. Unlike `append_log`, an append that is tried again adds its rows again.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("append").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return name
+
+
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> str:
     """Metric table as one CSV file with a header, sorted by `order`.
 

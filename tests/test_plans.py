@@ -52,3 +52,16 @@ def test_fold_is_evaluated_once(spark, sf_dir):
     for name in ("w6_chunk_fold", "x37_context_update", "a6_chunk_diagnostics"):
         plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("emergency_fallback") == 1
+
+
+def test_a_bucketed_log_is_read_in_place(spark, sf_dir):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the log of a test is small
+    try:
+        plan = plan_of(spark, sf_dir, "j1_resume_bucketed")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    planned, log = plan[plan.index("SortMergeJoin") :].split("FileScan")[0::2]
+    assert "SelectedBucketsCount: 16 out of 16" in log
+    # one shuffle of the planned rows, one of the counts, none of the log
+    assert plan.count("ENSURE_REQUIREMENTS") == 2 and "Exchange hashpartitioning(model" in planned

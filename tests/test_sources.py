@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymark import schemas as S
 from tallymark.operators import metrics as A
-from tallymark.operators.logs import latest
+from tallymark.operators.logs import latest, pending
 from tallymark.operators.respond import respond
 from tallymark.session import shared_dir, spread
 from tallymark.sources import json_tables as I
@@ -300,3 +300,18 @@ def test_streamed_log_has_the_casts_of_the_reader(spark, tmp_path):
     stream = R.stream_log(spark, str(tmp_path / "log")).select("model", "problem_id", "depth", "is_correct")
     R.score_incrementally(stream, lambda df: df, ["problem_id"], str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     assert sorted(tuple(r) for r in R.read_snapshot(spark, str(tmp_path / "out")).collect()) == [("7", "a", 3, True), ("7", "b", 3, True)]
+
+
+def test_bucketed_log_grows_and_pending_rows_are_whole(spark, tmp_path):
+    name, keys = "test_result_log", ["model", "problem_id"]
+    planned = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('m', id % 7)) AS model", "concat('p', id) AS problem_id", "id")
+    runs = [planned.filter("id % 4 = 0"), planned.filter("id % 4 = 1"), planned.filter("id % 100 = 0"), planned.limit(0)]
+    try:
+        for run in runs:  # the third repeats keys of the first, the last is empty
+            O.append_bucketed(run.select(*keys), name, keys, 4, str(tmp_path / "log"))
+        assert spark.table(name).count() == sum(r.count() for r in runs)
+        strange = spark.createDataFrame([(None, "p0", -1), ("hot", None, -2)], "model STRING, problem_id STRING, id LONG")
+        got = pending(planned.unionByName(strange), spark.table(name), keys)
+        assert sorted(r.id for r in got.collect()) == [-2, -1, *(i for i in range(3000) if i % 4 > 1)]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
