@@ -312,11 +312,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     A NULL or empty text has the end id only. Texts of more than `capacity` tokens are cut there, no others. Ties among
     pieces of a length are broken by doc_id and piece (NULL first); repeated rows are packed each. Other columns are
-    ignored; an empty table gives an empty result. A length shared by very many pieces is ranked in `buckets` parts.
+    ignored; an empty table gives an empty result. A full piece is a sequence of its own and takes its number from its place
+    in the table of pieces, after those of the plan; of the others, a length shared by very many is ranked in `buckets` parts.
     """
     spark = docs.sparkSession
     found = cut(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    ranked, counts = _ranked(found, buckets)
+    ranked, counts = _ranked(found.where(F.col("length") < capacity), buckets)
     counts = counts.collect()  # at most capacity x buckets rows of three numbers
     total: dict[int, int] = {}
     offsets = []
@@ -343,7 +344,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     placed = ranked.join(offsets, ["length", "bucket"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank")
     )
-    return map_arrow(placed, assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    planned = map_arrow(placed, assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    after = int((rows[:, 3] - (rows[:, 1] - rows[:, 2]) // rows[:, 4]).max(initial=0))  # sequences of the plan
+    number = F.monotonically_increasing_id() + F.lit(after)
+    full = found.where(F.col("length") == capacity).withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("long"))
+    return planned.unionByName(full.select(planned.columns))
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:

@@ -325,6 +325,7 @@ def test_packing(spark, texts):
         assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
     total = sum(r.length for r in got)
     assert len(sequences) <= -(-total // 4096) + 2
+    assert [len(parts) for parts in sequences.values() if (0, 4096) in parts] == [1] * sum(r.length == 4096 for r in got) != []
     assert packing.pack(docs(spark, []), WORD_TOKENIZER).count() == 0
 
 
