@@ -5,6 +5,10 @@ first in one token sequence: paths are sorted, a node belongs to the first path
 that order. A node carries position ids (its place along its own path) and the intervals of the sequence it may attend
 to: its ancestors and itself.
 
+A path is kept as rows, one a turn. What sorts it are its choices alone: the keys of its nodes that have siblings. Paths
+with equal choices lie on one line, so the shorter goes first. Whoever leaves a path at its k-th choice has k turns or
+more, so n rows of conversations give no path more than about sqrt(2 n) choices.
+
 Template of a turn: `### role: text</turn>` and a line end. In texts and roles a backslash goes before every backslash,
 `###` and `</turn>` (and before `:` in roles), so no text can look like a mark, and dropping those backslashes restores it.
 """
@@ -26,6 +30,8 @@ from tallymark.llm.common import cut, map_arrow, shuffle_width
 OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 LEARNED_ROLE = "assistant"
 _KEY = 16
+_BLOCK = 1 << 16  # turns of one conversation that meet in one task of a join
+_SALTS = 16  # parts of the children of one node
 _MARKS = re.compile(r"\\|###|</turn>")
 _ROLE_MARKS = re.compile(r"\\|###|</turn>|:")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -58,15 +64,15 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _turns(conversations: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Every turn with its node key, ids and loss span; per conversation one more row (k = -1) with the keys of its path."""
+    """Every turn with its node key, ids and loss span, and whether it is the last of its conversation."""
     spark = conversations.sparkSession
-    names = ["conv_id", "k", "key", "parent", "position", "ids", "loss_start", "loss_end", "path"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-    schema = "conv_id long, k long, key binary, parent binary, position long, ids binary, loss_start int, loss_end int, path binary"
+    names = ["conv_id", "k", "key", "parent", "position", "ids", "loss_start", "loss_end", "last"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
+    schema = "conv_id long, k long, key binary, parent binary, position long, ids binary, loss_start int, loss_end int, last boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks, pattern)
-        conv, path, position, started = None, bytearray(), 0, False
+        waiting: tuple | None = None  # the turn before this one, until it is known whether it is a last one
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -74,23 +80,21 @@ def _turns(conversations: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for batch in batches:
             out = []
             for conv_id, role, text in _rows(batch.select(["conv_id", "role", "text"])):
-                if started and conv_id != conv:
-                    out.append((conv, -1, None, None, None, None, None, None, bytes(path)))
-                if not started or conv_id != conv:
-                    conv, path, position, started = conv_id, bytearray(), 0, True
-                parent = bytes(path[-_KEY:])
+                k, parent, position = 0, b"", 0
+                if waiting is not None:
+                    follows = waiting[0] == conv_id
+                    out.append((*waiting, not follows))
+                    if follows:
+                        k, parent, position = waiting[1] + 1, waiting[2], waiting[4] + len(waiting[5]) // 4
                 key = hashlib.blake2b(b"\0".join([parent, str(len(role.encode())).encode(), role.encode(), text.encode()]), digest_size=_KEY).digest()
                 head, body, foot = (encoder.encode(encoder.pretokens(x)) for x in format_turn(role, text))
-                ids = head + body + foot
                 learned = role == LEARNED_ROLE
                 span = (len(head) // 4, (len(head) + len(body)) // 4) if learned else (0, 0)
-                out.append((conv_id, len(path) // _KEY, key, parent, position, ids, *span, None))
-                path += key
-                position += len(ids) // 4
+                waiting = (conv_id, k, key, parent, position, head + body + foot, *span)
             if out:
                 yield batch_of(out)
-        if started:
-            yield batch_of([(conv, -1, None, None, None, None, None, None, bytes(path))])
+        if waiting is not None:
+            yield batch_of([(*waiting, True)])
 
     ordered = (
         conversations.select(
@@ -105,6 +109,39 @@ def _turns(conversations: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return cut(map_arrow(ordered, run, schema), "turns")
 
 
+def _paths(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rank, depth, key): the nodes of every distinct path, paths ranked so that those with a common start are neighbours."""
+    spark = turns.sparkSession
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit(""))
+    block = F.floor(F.col("depth") / _BLOCK)
+
+    def by_block(paths: DataFrame) -> DataFrame:
+        return paths.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / _BLOCK))))
+
+    # copies have equal last keys, so one conversation stands for all
+    distinct = turns.where("last").groupBy("key").agg(F.min(conv).alias("conv"), F.max("k").alias("end")).select("conv", "end")
+    distinct = cut(distinct, "paths")
+    steps = turns.select(conv.alias("conv"), F.col("k").alias("depth"), "key", "parent").withColumn("block", block)
+    steps = cut(steps.join(by_block(distinct), ["conv", "block"]).select("conv", "block", "depth", "key", "parent"), "steps")
+    forks = nodes.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("parent")
+    salt = F.pmod(F.xxhash64("conv"), F.lit(_SALTS))
+    forks = forks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    choices = (
+        steps.withColumn("salt", salt)
+        .join(forks, ["parent", "salt"])
+        .groupBy("conv")
+        .agg(F.array_sort(F.collect_list(F.struct("depth", "key"))).alias("chosen"))
+        .select("conv", F.col("chosen.key").alias("choices"))
+    )
+    ranked = distinct.join(choices, "conv", "left").withColumn("choices", F.coalesce("choices", F.array().cast("array<binary>")))
+    ranked = (
+        ranked.repartitionByRange(shuffle_width(spark), "choices", "end")
+        .sortWithinPartitions("choices", "end")
+        .select("conv", "end", F.monotonically_increasing_id().alias("rank"))
+    )
+    return cut(steps.join(by_block(cut(ranked, "ranks")), ["conv", "block"]).select("rank", "depth", "key"), "ranked-steps")
+
+
 def format_tree(conversations: DataFrame, ranks: str, pattern: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, members) of `conversations` (conv_id, turn, role, text).
 
@@ -115,23 +152,17 @@ def format_tree(conversations: DataFrame, ranks: str, pattern: str) -> tuple[Dat
 
     Rows are ordered by turn, ties by role and text, NULLs first; repeated rows are turns of their own. NULL role and
     text are empty; rows with a NULL conv_id form one conversation. Other columns are ignored; an empty table gives
-    empty results. A conversation of any length is streamed; a first turn or conversation of any number of copies is
-    one node or path after partial aggregation.
+    empty results. A conversation of any length is streamed, its path kept as rows; a first turn or conversation of any
+    number of copies is one node or path after partial aggregation.
     """
     spark = conversations.sparkSession
     turns = _turns(conversations, ranks, pattern)
-    members = turns.where("k >= 0").select("conv_id", "k", "key")
-    paths = turns.where("k = -1").select("path").distinct()
-    paths = cut(
-        paths.repartitionByRange(shuffle_width(spark), "path").sortWithinPartitions("path").withColumn("rank", F.monotonically_increasing_id()),
-        "paths",
-    )
-    steps = F.sequence(F.lit(0), (F.length("path") / _KEY).cast("int") - 1)
-    keys = F.transform(steps, lambda k: F.substring(F.col("path"), k * _KEY + 1, F.lit(_KEY)))
-    on_path = paths.select("rank", F.posexplode(keys).alias("depth", "key"))
-    owner = on_path.groupBy("key").agg(F.min("rank").alias("owner"), F.min("depth").alias("depth"))
-    content = turns.where("k >= 0").groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "position", "ids", "loss_start", "loss_end")])
-    nodes = cut(content.join(owner, "key").withColumn("n_tokens", (F.length("ids") / 4).cast("long")), "nodes")
+    members = turns.select("conv_id", "k", "key")
+    content = turns.groupBy("key").agg(*[F.first(c).alias(c) for c in ("parent", "k", "position", "ids", "loss_start", "loss_end")])
+    content = cut(content.withColumnRenamed("k", "depth").withColumn("n_tokens", (F.length("ids") / 4).cast("long")), "nodes")
+    on_path = _paths(turns, content)
+    owner = on_path.groupBy("key").agg(F.min("rank").alias("owner"))
+    nodes = cut(content.select("key", "depth", "n_tokens").join(owner, "key"), "owners")
     # offsets: tokens of earlier range partitions, of earlier owners of the partition, of shallower nodes of the owner
     sizes = nodes.groupBy("owner").agg(F.sum("n_tokens").alias("n")).withColumn("part", F.shiftright("owner", 33))
     parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # one row per range partition
@@ -140,8 +171,7 @@ def format_tree(conversations: DataFrame, ranks: str, pattern: str) -> tuple[Dat
     starts = sizes.withColumn("before", F.sum("n").over(within) - F.col("n")).join(before, "part").select("owner", (F.col("before") + F.col("before_part")).alias("begin"))
     deep = Window.partitionBy("owner").orderBy("depth")
     placed = (
-        nodes.select("key", "owner", "depth", "n_tokens")
-        .withColumn("inside", F.sum("n_tokens").over(deep) - F.col("n_tokens"))
+        nodes.withColumn("inside", F.sum("n_tokens").over(deep) - F.col("n_tokens"))
         .join(starts, "owner")
         .select("key", "owner", (F.col("begin") + F.col("inside")).alias("offset"), "n_tokens")
     )
@@ -171,7 +201,7 @@ def format_tree(conversations: DataFrame, ranks: str, pattern: str) -> tuple[Dat
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(found, kind)], ["key", "attends"])
 
     attends = map_arrow(walk, intervals, "key binary, attends array<struct<start: long, end: long>>")
-    nodes = nodes.drop("owner").join(placed.select("key", "offset"), "key").join(attends, "key")
+    nodes = content.withColumn("depth", F.col("depth").cast("int")).join(placed.select("key", "offset"), "key").join(attends, "key")
     return nodes, members
 
 
