@@ -78,10 +78,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     row links to, equal vectors included; component_id is the smallest vec_id reachable; kept is vec_id = component_id.
     A NULL, empty or zero vector, one with a NULL or non-finite component, a NULL label or a NULL vec_id links with
     nothing: n_links 0, component its own vec_id (kept is false for a NULL vec_id). Vectors of different length never
-    link. Repeated rows count as vectors of their own. Other columns are ignored; an empty table gives an empty result.
+    link. Labels may be numbers, texts or dates; components wider than float are compared as doubles. Repeated rows count as vectors of their own. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("long"))
+    given = vectors.schema["embedding"].dataType.simpleString()
+    kind = given if given == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), "label")
     sound = (
         F.col("vec_id").isNotNull()
         & F.col("label").isNotNull()
@@ -106,7 +108,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     met = (
         blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            F.concat_ws(",", "label", "dim", F.least("part", "other"), F.greatest("part", "other")).alias("pair"),
+            F.concat_ws(",", "dim", F.least("part", "other"), F.greatest("part", "other"), F.col("label").cast("string")).alias("pair"),
             (F.col("part") == F.col("other")).alias("same"),
             F.col("rows.rep").alias("ids"),
             F.col("rows.copies").alias("copies"),

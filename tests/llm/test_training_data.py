@@ -106,6 +106,14 @@ def test_int8_tiles(spark, block):
         assert (r.n_links, r.component_id, r.kept) == (len(links[k]), root[k], k is not None and root[k] == k)
 
 
+def test_int8_tiles_keep_types_of_labels_and_components(spark):
+    near, far = [1e300, 2e300, 3e300], [3e300, -2e300, 1e300]
+    rows = [(1, near, "a,1"), (2, [1.0, 2.0, 3.001], "a,1"), (3, near, "a"), (4, [1e-300, 2e-300, 3e-300], "1,a"), (5, far, "a,1"), (6, near, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("rep", F.lit(5)).withColumn("ids", F.lit("x"))
+    got = {r.vec_id: tuple(r)[1:] for r in int8_tiles.near_duplicates(table, block=1).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), **{k: (0, k, True) for k in (3, 4, 5, 6)}}
+
+
 def test_url_filter_matches_sql_and_rules(spark, sf_dir):
     names, got = spark_rows(QUERIES["op3_url_filter"](spark, sf_dir))
     assert (names, got) == sql_rows(connect(sf_dir), oracles()["op3_url_filter"])
@@ -210,12 +218,16 @@ def test_fingerprint_definition():
     assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_chat_tree_round_trip(spark, sf_dir):
+@pytest.mark.parametrize("block", [2, 1 << 16])
+def test_chat_tree_round_trip(spark, block, monkeypatch):
+    monkeypatch.setattr(chat_tree, "_BLOCK", block)
     said = "\\### Assistant: </turn> ok"
     rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (None, 0, None, None), (-9, 1, "a:b\\", "é###</turn>\n"), (-9, 0, "assistant", "")]
     rows += [(k, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {k % 3 if t > 1 else 0}") for k in range(12) for t in range(4)]
     rows += [(3, 1, "assistant", "tie")] * 2
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(20 + n, t, "user", f"long {t if t < n else -t}") for n in (150, 151, 7, 400) for t in range(150)]  # shared starts
+    rows += [(600 + n, t, "user", f"long {t}") for n in (0, 1, 7, 7, 30, 149) for t in range(n)]  # starts of others, in whole
+    table = spark.createDataFrame([(*r, r[0], "x") for r in rows], "conv_id long, turn long, role string, text string, key long, path string")
     nodes, members = chat_tree.format_tree(table, RANKS, public_tokenizers.PATTERN)
     got = chat_tree.read_back(nodes, members, RANKS, public_tokenizers.PATTERN).collect()
     want = {}
