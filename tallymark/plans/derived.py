@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .registry import table
 
+ORDERS = ("o_orderkey", "o_custkey", "o_totalprice")
+#: A row of orders becomes up to six texts, so a split of them is dealt to so many tasks.
+PER_SPLIT = 16
+
 NL = "chr(10)"
 BS = "chr(92)"
 
@@ -39,8 +43,8 @@ _QUESTION_TAIL = "'. How many items are there in the end?'"
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, problem_id, seed, depth, qs (added per step), vals (running totals), gold, question."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return problems_of(spread(orders, "o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select(*ORDERS)
+    return problems_of(spread(orders, *ORDERS, per_split=PER_SPLIT))
 
 
 def problems_of(orders: DataFrame) -> DataFrame:

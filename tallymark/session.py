@@ -47,11 +47,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "tallymark", f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_split: int = 1) -> DataFrame:
     """Use all cores for a table scan whose rows come in few, compact splits but are costly to process.
 
-    A large table has more splits than cores and is left as it is, without a shuffle. For scans only: asking a
-    plan with a shuffle for its partitions would run it.
+    A large table has more splits than cores and is left as it is, without a shuffle. `per_split` is for narrow rows that
+    grow many times in their task: each split is dealt to so many tasks, since a split of such rows alone can be hours of
+    work (and some splits have no row group, and no rows). For scans only: asking a plan with a shuffle for its partitions
+    would run it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    splits = df.rdd.getNumPartitions()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, splits * per_split)
+    return df if splits >= tasks else df.repartition(tasks, *keys)

@@ -178,6 +178,19 @@ def test_shared_dir_and_spread(spark):
     assert spread(spark.range(10, numPartitions=cores + 3)).rdd.getNumPartitions() == cores + 3
 
 
+def test_spread_deals_a_split_to_many_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    wide = spread(spark.range(1000, numPartitions=cores + 3), "id", per_split=4)
+    assert wide.rdd.getNumPartitions() == 4 * (cores + 3)
+    assert wide.count() == 1000 and wide.distinct().count() == 1000
+
+
+def test_problems_run_in_small_tasks(spark, sf_dir):
+    from tallymark.plans.derived import PER_SPLIT, problems
+
+    assert problems(spark, sf_dir).rdd.getNumPartitions() >= PER_SPLIT
+
+
 def test_metric_csv(spark, tmp_path):
     acc = A.dense_grid(spark.createDataFrame([("m", 1, 0.5)], "model STRING, depth INT, acc DOUBLE"), [1, 2])
     path = O.write_csv(acc, str(tmp_path / "csv"), ["depth"])
