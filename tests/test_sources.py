@@ -191,6 +191,25 @@ def test_problems_run_in_small_tasks(spark, sf_dir):
     assert problems(spark, sf_dir).rdd.getNumPartitions() >= PER_SPLIT
 
 
+def test_json_logs_are_small_gzip_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "ROWS_PER_FILE", 100)
+    rows = spark.range(1000, numPartitions=2).selectExpr("concat('p', id) AS problem_id", "'m' AS model", "'cot' AS regime", "repeat('Answer: 1 ', 20) AS response")
+    path, log = O.write_json(rows, str(tmp_path / "set")), O.append_log(rows, str(tmp_path / "log"), "b")
+    files = [f for f in (tmp_path / "set").rglob("part-*")]
+    assert len(files) == 10 and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < 50_000  # 250 kB as plain lines
+    want = {f"p{i}" for i in range(1000)}
+    for back in (I.read_log(spark, path), I.read_log_strict(spark, path, S.DEPTH_RESULT), I.read_log(spark, log)):
+        assert back.count() == 1000 and {r.problem_id for r in back.collect()} == want
+
+
+def test_log_of_the_stream_is_narrow(spark, sf_dir):
+    from tallymark.plans.log_plans import _recorded, table
+
+    log = _recorded(spark, table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    assert "question" not in log.columns and {"model", "regime", "problem_id", "response", "gold", "vals"} <= set(log.columns)
+
+
 def test_metric_csv(spark, tmp_path):
     acc = A.dense_grid(spark.createDataFrame([("m", 1, 0.5)], "model STRING, depth INT, acc DOUBLE"), [1, 2])
     path = O.write_csv(acc, str(tmp_path / "csv"), ["depth"])
