@@ -261,10 +261,10 @@ def seed_directories(spark, d):
 @query("k2_append_log", scored_sql(f"SELECT {_LOG_COUNTS} FROM scored GROUP BY model, regime"))
 def append_log(spark, d):
     path = shared_dir(spark, "k2")
-    # scored once; both appends read the scored rows, and the first is tried again, which adds nothing
-    rows = spark.read.parquet(O.write_table(_results(spark, d).withColumn("half", F.col("k") % 2), f"{path}/scored", ["half"]))
+    # scored once, without a shuffle; both appends read the scored rows, and the first is tried again, which adds nothing
+    rows = spark.read.parquet(O.write_table(_results(spark, d), f"{path}/scored"))
     for half in (0, 1, 0):
-        O.append_log(rows.filter(F.col("half") == half).drop("half"), f"{path}/log", f"run/{half}")
+        O.append_log(rows.filter(F.col("k") % 2 == half), f"{path}/log", f"run/{half}")
     return _log_counts(I.read_log(spark, f"{path}/log"))
 
 
