@@ -16,7 +16,7 @@ from ..operators.respond import respond
 from ..session import shared_dir
 from ..sources.sinks import append_bucketed
 from ..streaming import incremental as R
-from .derived import PROBLEMS, RESPONSES, problems, problems_of, responses, responses_of, scored_sql, with_views
+from .derived import ORDERS, PER_SPLIT, PROBLEMS, RESPONSES, problems, problems_of, responses, responses_of, scored_sql, with_views
 from .registry import query, table
 
 KEYS = ["model", "regime", "problem_id"]
@@ -152,15 +152,16 @@ def _stream(spark, d, name: str, *columns: str) -> DataFrame:
 
 
 def _recorded(spark, orders: DataFrame) -> DataFrame:
-    # a thin stream whose rows are costly to process: use all cores
-    return responses_of(problems_of(orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")))
+    """Log records as the scorer reads them: keys, depth, gold values and the response, not the text of the problem."""
+    # a thin stream whose rows are costly to process: use all cores, in small tasks
+    tasks = PER_SPLIT * spark.sparkContext.defaultParallelism // 2
+    return responses_of(problems_of(orders.repartition(tasks, *ORDERS))).select(*KEYS, "k", "depth", "gold", "vals", "response")
 
 
 def _score(df: DataFrame) -> DataFrame:
     return P.score_depth_log(df, gold="gold", expected="vals")
 
 
-ORDERS = ("o_orderkey", "o_custkey", "o_totalprice")
 PARTS = 3
 
 

@@ -74,7 +74,7 @@ def score_incrementally(
             fresh = _unseen(first, done.read(before, mine), keys)
         else:
             fresh = first
-        score(fresh).write.mode("overwrite").parquet(target)
+        score(fresh).write.mode("overwrite").option("compression", "zstd").parquet(target)
         first.unpersist()
         done.add(spark.read.parquet(target).select(*keys), batch_id, before)
 
