@@ -20,7 +20,7 @@ def _laid_out(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
 #: JSON lines repeat their field names and texts: the fastest gzip level leaves a small part of the bytes.
 GZIPPED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: A gzip file is read by one task, so a file holds no more rows than this.
-ROWS_PER_FILE = 500_000
+ROWS_PER_FILE = 100_000
 
 
 def _write_lines(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
