@@ -161,7 +161,8 @@ def numeric_answer(text: str | Column) -> Column:
 
 def answer_tag(text: str | Column) -> Column:
     """Number in the first `ANSWER:` tag; `a/b` is evaluated, division by zero gives NULL."""
-    value = F.regexp_replace(first_match(col(text), V.ANSWER_TAG), r"[,\s]", "")
+    # a look at one letter before the words are tried
+    value = F.regexp_replace(first_match(col(text), "(?i)(?=[af])" + V.ANSWER_TAG), r"[,\s]", "")
 
     def parse(v: Column) -> Column:
         part = lambda i: F.get(F.split(v, "/", 2), F.lit(i)).try_cast("double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,16 +14,28 @@ from .base import col, find_all, let, plain_text, rewrite_matches, strip
 # replaced, so that the second pass finds nothing inside it.
 _OPEN, _CLOSE, _EQUALS = "⟦", "⟧", "⟨"
 EXPRESSIONS = "ARRAY<STRUCT<left: DOUBLE, op: STRING, right: DOUBLE, claimed: DOUBLE, full_match: STRING>>"
-_BINARY = rf"(?<![\d/]){V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*=\s*{V.OPERAND}"
+# The looks ahead at the start of the patterns take nothing away: they only end most tries at their first character.
+_BINARY = rf"(?=\d)(?<![\d/]){V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*=\s*{V.OPERAND}"
 _BINARY_TOKEN = f"{_OPEN}$1|$2|$3|$4|$0{_CLOSE}"
 _NONZERO_DIVISION = r"(?!\d+(?:\.\d+)?\s*[/÷]\s*0+(?:\.0+)?\s*[+\-*/×÷])"
 _CHAIN = (
-    rf"(?<![\d/]){_NONZERO_DIVISION}"
+    rf"(?=\d)(?<![\d/]){_NONZERO_DIVISION}"
     rf"({V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*)=(\s*{V.OPERAND})"
 )
+_UNIT_AFTER_DIGIT = r"(?i)(?=\s+[a-z][aeiloptu])" + V.UNIT_AFTER_DIGIT
 _CHAIN_TOKEN = f"{_OPEN}$2|$3|$4|$5|$6|$8|$1{_EQUALS}$7{_CLOSE}"
 
 
+def without(text: Column, characters: str) -> Column:
+    """The text without these characters; a plain search first, since few texts hold any."""
+
+    def cleared(t: Column) -> Column:
+        held = functools.reduce(Column.__or__, [t.contains(c) for c in characters])
+        return F.when(held, F.translate(t, characters, "")).otherwise(t)
+
+    return let(text, cleared)
+
+
 def plain_arithmetic(text: str | Column) -> Column:
     """LaTeX maths to plain text: fractions to decimals, units, currency and thousands commas dropped."""
 
@@ -44,14 +58,14 @@ def plain_arithmetic(text: str | Column) -> Column:
 
     # a text without a backslash has no LaTeX, one without a comma no thousands
     t = let(col(text), lambda x: F.when(x.contains("\\"), latex(x)).otherwise(x))
-    t = F.translate(t, "$", "")
+    t = without(t, "$")
     t = let(
         t,
         lambda x: F.when(
             x.contains(","), F.regexp_replace(F.regexp_replace(x, V.THOUSANDS, "$1$2"), V.THOUSANDS, "$1$2")
         ).otherwise(x),
     )
-    return F.regexp_replace(t, V.UNIT_AFTER_DIGIT, "")
+    return F.regexp_replace(t, _UNIT_AFTER_DIGIT, "")
 
 
 def expand_fractions(text: str | Column) -> Column:
@@ -137,7 +151,7 @@ def _expressions_of(parts: Column) -> Column:
 
 def readable(text: str | Column) -> Column:
     """The text as the expression patterns want it: plain arithmetic without fractions, names still in it."""
-    return expand_fractions(plain_arithmetic(F.translate(col(text), _OPEN + _CLOSE + _EQUALS, "")))
+    return expand_fractions(plain_arithmetic(without(col(text), _OPEN + _CLOSE + _EQUALS)))
 
 
 def expressions_of_plain(plain: Column) -> Column:
@@ -168,52 +182,51 @@ def verify(expressions: str | Column, tolerance: float = V.VERIFY_TOLERANCE) ->
     def near(a: Column, b: Column) -> Column:
         return F.abs(a - b) <= tolerance
 
-    def computed(e: Column) -> Column:
-        return evaluate(e["left"], e["op"], e["right"])
+    def checked(es: Column, e: Column, i: Column) -> Column:
+        """An expression's value, whether it is wrong and whether it repeats an operand of the one before."""
 
-    def wrong(e: Column) -> Column:
-        return F.coalesce(~near(computed(e), e["claimed"]), F.lit(False))
+        def repeats(before: Column) -> Column:
+            reused = near(e["right"], before["right"]) | near(e["right"], before["left"])
+            return (e["op"] == before["op"]) & near(e["left"], before["claimed"]) & reused
 
-    def reuses_operand(e: Column, before: Column) -> Column:
-        chained = near(e["left"], before["claimed"])
-        reused = near(e["right"], before["right"]) | near(e["right"], before["left"])
-        multiplicative = e["op"].isin("*", "/") & (e["op"] == before["op"]) & computed(e).isNotNull()
-        return multiplicative & chained & reused
+        def facts(value: Column) -> Column:
+            suspect = F.when((i > 0) & e["op"].isin("*", "/") & value.isNotNull(), let(F.get(es, i - 1), repeats))
+            return F.struct(
+                value.alias("value"),
+                F.coalesce(~near(value, e["claimed"]), F.lit(False)).alias("wrong"),
+                F.coalesce(suspect, F.lit(False)).alias("suspect"),
+            )
 
-    def flags(es: Column) -> Column:
-        # suspects[i]: i repeats an operand of i-1; a corrected predecessor clears it.
-        suspects = F.transform(
-            es,
-            lambda e, i: F.struct(
-                F.when(i > 0, reuses_operand(e, F.get(es, i - 1))).otherwise(False).alias("suspect"),
-                wrong(e).alias("wrong"),
-            ),
-        )
+        return let(evaluate(e["left"], e["op"], e["right"]), facts)
 
+    def flags(facts: Column) -> Column:
+        # suspects[i]: i repeats an operand of i-1; a corrected predecessor clears it.
         def step(acc: Column, s: Column) -> Column:
-            flag = s["suspect"] & ~(acc["wrong"] & ~acc["flag"])
-            return F.struct(
-                F.concat(acc["all"], F.array(flag)).alias("all"), flag.alias("flag"), s["wrong"].alias("wrong")
-            )
+            def grown(flag: Column) -> Column:
+                return F.struct(
+                    F.concat(acc["all"], F.array(flag)).alias("all"), flag.alias("flag"), s["wrong"].alias("wrong")
+                )
+
+            return let(s["suspect"] & ~(acc["wrong"] & ~acc["flag"]), grown)
 
         start = F.struct(
             F.array().cast("array<boolean>").alias("all"), F.lit(False).alias("flag"), F.lit(False).alias("wrong")
         )
-        return F.aggregate(suspects, start, step, lambda acc: acc["all"])
+        # without a suspect there is no flag
+        return F.when(F.exists(facts, lambda s: s["suspect"]), F.aggregate(facts, start, step, lambda acc: acc["all"]))
 
-    def entry(es: Column, fs: Column, e: Column, i: Column) -> Column:
-        twice = F.get(fs, i)
-        value = computed(e)
+    def entry(es: Column, twice: Column, e: Column, i: Column, fact: Column) -> Column:
+        value = fact["value"]
         status = (
             F.when(value.isNull(), "error")
             .when(twice, "double_count")
-            .when(wrong(e), "corrected")
+            .when(fact["wrong"], "corrected")
             .otherwise("correct")
         )
         carried = (
             F.when(value.isNull(), F.lit(None).cast("double"))
             .when(twice, F.get(es, i - 1)["claimed"])
-            .when(wrong(e), value)
+            .when(fact["wrong"], value)
             .otherwise(e["claimed"])
         )
         return F.struct(
@@ -229,10 +242,14 @@ def verify(expressions: str | Column, tolerance: float = V.VERIFY_TOLERANCE) ->
             F.round(carried, 10).alias("corrected_value"),
         )
 
-    return let(
-        col(expressions),
-        lambda es: let(flags(es), lambda fs: F.transform(es, lambda e, i: entry(es, fs, e, i))),
-    )
+    def entries(es: Column, facts: Column, fs: Column) -> Column:
+        return F.transform(es, lambda e, i: let(F.get(facts, i), lambda fact: entry(es, F.get(fs, i), e, i, fact)))
+
+    def verified(es: Column) -> Column:
+        facts = F.transform(es, lambda e, i: checked(es, e, i))
+        return let(facts, lambda known: let(flags(known), lambda fs: entries(es, known, fs)))
+
+    return let(col(expressions), verified)
 
 
 def chain_terminal(

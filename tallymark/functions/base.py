@@ -20,8 +20,12 @@ def strip(c: Column) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it several times inside `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Evaluate `value` once and use it several times inside `body`.
+
+    The last step of an `aggregate` over nothing: the value is bound as it is. A `transform` of a one-element array would
+    copy what the body gives and derive the types of the whole body again for every row, at each level of nesting.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda bound, _: bound, body)
 
 
 def none_if_empty(c: Column) -> Column:

@@ -155,12 +155,16 @@ def parse_pool(response: str | Column) -> Column:
     return F.coalesce(F.transform(elements, pool_element), F.array().cast(POOL))
 
 
+# a look at two letters before the 20 words are tried
+_UNIT_NOUN = "(?i)(?=[abcdfghimpst][aeilopt])" + V.UNIT_NOUN
+
+
 def variable_name(text: str | Column, chunk_index: str | Column) -> Column:
     """First capitalised word and first unit noun, else `step_N_result`."""
     text = col(text)
     parts = F.struct(
         F.lower(F.regexp_extract(text, V.PROPER_NAME, 1)).alias("name"),
-        F.lower(F.regexp_extract(text, V.UNIT_NOUN, 1)).alias("unit"),
+        F.lower(F.regexp_extract(text, _UNIT_NOUN, 1)).alias("unit"),
     )
     fallback = F.concat(F.lit("step_"), (col(chunk_index) + 1).cast("string"), F.lit("_result"))
     return let(

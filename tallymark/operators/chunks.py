@@ -22,11 +22,10 @@ from ..functions.base import col, last, let, plain_text
 from ..schemas import VERIFICATION
 
 NAMES = "ARRAY<STRUCT<name: STRING, value: DOUBLE>>"
-CONTEXT = "MAP<STRING, DOUBLE>"
-LOG = (
-    "STRUCT<chunk_idx: INT, chunk_text: STRING, slm_response: STRING, expressions_found: ARRAY<STRING>, "
+RECORD = (
+    "STRUCT<chunk_idx: INT, chunk_text: STRING, slm_response: STRING, "
     f"verification_log: ARRAY<{VERIFICATION}>, answer_tag: DOUBLE, extraction_method: STRING, "
-    f"num_retries: INT, chunk_value: DOUBLE, context_before: {CONTEXT}, context_after: {CONTEXT}>"
+    f"num_retries: INT, chunk_value: DOUBLE, names_before: {NAMES}, names_after: {NAMES}>"
 )
 
 
@@ -82,7 +81,9 @@ def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ())
     )
 
     def nested(head: Column) -> Column:
-        mine = F.filter("_rows", lambda r: r["chunk_idx"].eqNullSafe(head))
+        return let(F.filter("_rows", lambda r: r["chunk_idx"].eqNullSafe(head)), lambda mine: of_chunk(head, mine))
+
+    def of_chunk(head: Column, mine: Column) -> Column:
         return F.struct(
             head.alias("chunk_idx"),
             *[F.get(mine, F.lit(0))[c].alias(c) for c in chunk],
@@ -161,10 +162,30 @@ def _remember(names: Column, name: Column, value: Column) -> Column:
 
 def fold_chunks(chunks: str | Column) -> Column:
     """Ordered fold over a problem's chunks. STRUCT<total: DOUBLE, names, logs: ARRAY<log>>."""
+    return let(fold_records(chunks), lambda f: F.struct(f["total"], f["names"], chunk_logs(f["logs"]).alias("logs")))
+
+
+def chunk_logs(records: Column) -> Column:
+    """The logs of a fold's records: the expressions found, and the names before and after as maps."""
+
+    def log(r: Column) -> Column:
+        return F.struct(
+            *[r[c].alias(c) for c in ("chunk_idx", "chunk_text", "slm_response")],
+            F.transform(r["verification_log"], lambda e: e["full_match"]).alias("expressions_found"),
+            *[r[c].alias(c) for c in ("verification_log", "answer_tag", "extraction_method", "num_retries", "chunk_value")],
+            F.map_from_entries(r["names_before"]).alias("context_before"),
+            F.map_from_entries(r["names_after"]).alias("context_after"),
+        )
+
+    return F.transform(records, log)
+
+
+def fold_records(chunks: str | Column) -> Column:
+    """The fold itself. STRUCT<total: DOUBLE, names, logs: ARRAY<record>>; a record is a log with names as they are."""
     start = F.struct(
         F.lit(None).cast("double").alias("total"),
         F.array().cast(NAMES).alias("names"),
-        F.array().cast(f"ARRAY<{LOG}>").alias("logs"),
+        F.array().cast(f"ARRAY<{RECORD}>").alias("logs"),
     )
 
     def step(acc: Column, chunk: Column) -> Column:
@@ -183,14 +204,13 @@ def fold_chunks(chunks: str | Column) -> Column:
                 chunk["chunk_idx"].cast("int").alias("chunk_idx"),
                 chunk["clause_text"].alias("chunk_text"),
                 chosen["response"].alias("slm_response"),
-                F.transform(chosen["exprs"], lambda e: e["full_match"]).alias("expressions_found"),
                 log.alias("verification_log"),
                 F.when(chosen["usable"], chosen["tag"]).alias("answer_tag"),
                 v["method"].alias("extraction_method"),
                 chosen["retries"].cast("int").alias("num_retries"),
                 v["value"].alias("chunk_value"),
-                F.map_from_entries(acc["names"]).alias("context_before"),
-                F.map_from_entries(names).alias("context_after"),
+                acc["names"].alias("names_before"),
+                names.alias("names_after"),
             )
             return F.struct(
                 F.coalesce(v["value"], acc["total"]).alias("total"),
@@ -225,12 +245,13 @@ def count_logs(logs: Column) -> dict[str, Column]:
 def verify_solutions(nested: DataFrame, gold: str = "gold") -> DataFrame:
     """One result per problem: predicted, correct, counters and chunk_logs."""
     rest = [c for c in nested.columns if c != "chunks"]
-    folded = nested.select(*rest, F.size("chunks").alias("num_chunks"), fold_chunks("chunks").alias("_fold"))
-    results = folded.select(
+    folded = nested.select(*rest, F.size("chunks").alias("num_chunks"), fold_records("chunks").alias("_fold"))
+    # counted on the records: a query without the logs does not build them
+    counted = folded.select(
         *rest,
         "num_chunks",
         plain_text(F.round("_fold.total", 10)).alias("predicted"),
-        F.col("_fold.logs").alias("chunk_logs"),
+        chunk_logs(F.col("_fold.logs")).alias("chunk_logs"),
+        *[c.alias(n) for n, c in count_logs(F.col("_fold.logs")).items()],
     )
-    counted = results.select("*", *[c.alias(n) for n, c in count_logs(F.col("chunk_logs")).items()])
     return counted.withColumn("correct", A.match_absolute(F.col(gold).cast("string"), "predicted"))

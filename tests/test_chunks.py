@@ -100,3 +100,35 @@ def test_generated_steps_follow_their_sentences(spark):
                 seen.add(text)
                 assert r.ground_truth == pytest.approx(change(r.intermediate_values[0]))
     assert seen == set(changes)
+
+
+def test_unread_logs_are_not_built(spark):
+    row = [("p", 10.0, 0, 0, "t", "current_total + 1 = 2\nANSWER: 10")]
+    nested = K.nest_attempts(spark.createDataFrame(row, SCHEMA), ["problem_id"], ["gold"])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    results = K.verify_solutions(nested)
+    assert "map_from_entries" in plan(results)
+    assert "map_from_entries" not in plan(results.select("predicted", "correct", "corrections_applied", "unverified_fallbacks"))
+    # a bound value is no transform of a one-element array, which copies and types its body again for each row
+    assert "transform(array(" not in plan(results)
+
+
+def test_guarded_patterns_find_what_they_found(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.functions import arithmetic as M
+    from tallymark.functions import clauses as C
+    from tallymark.functions import fixed as V
+
+    units = ["hours", "minute", "Seconds", "days", "weeks", "months", "YEARS", "dollars", "cents", "euros", "rupees", "apples", "books", "miles",
+             "cookies", "items", "pieces", "balls", "flowers", "coins", "marbles", "pencils", "stars", "tickets", "gallons", "points", "pounds"]
+    texts = [(f"Ann: 3 \n{u} + 4 {u} = $7, ⟦x 8 {u}s ANSWER: 7",) for u in [*units, "answers", "oranges"]]
+    df = spark.createDataFrame([*texts, (None,), ("",)], "t STRING")
+    plain = F.regexp_replace(F.regexp_replace(F.translate("t", "$", ""), V.THOUSANDS, "$1$2"), V.UNIT_AFTER_DIGIT, "")
+    noun = F.lower(F.regexp_extract("t", V.UNIT_NOUN, 1))
+    rows = df.select(
+        M.plain_arithmetic("t").eqNullSafe(plain).alias("plain"),
+        F.when(noun != "", C.variable_name("t", F.lit(0)) == F.concat(F.lit("ann_"), noun)).alias("noun"),
+    ).collect()
+    assert all(r.plain and r.noun is not False for r in rows)
+    assert sum(r.noun is True for r in rows) == 20
