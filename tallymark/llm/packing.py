@@ -7,13 +7,14 @@ not from documents: it says which ranks of which length go to which sequences. S
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,10 @@ from tokenizers import Tokenizer
 
 from tallymark.llm.common import cut, map_arrow
 
-CAPACITY, END_ID, CACHE, BUCKETS = 4096, 1, 400_000, 64
+CAPACITY, END_ID, BUCKETS = 4096, 1, 64
+
+#: Bytes of words with their ids that a task keeps, and bytes of text that it encodes at once.
+CACHE, STEP = 32 << 20, 8 << 20
 
 
 class Merges:
@@ -73,19 +77,20 @@ class Merges:
             at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
         return out
 
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def ids(self, words: pa.Array) -> pa.ListArray:
+        """Ids of words (binary), one list each."""
+        data, ends = _content(words)
+        size = np.diff(ends)
         order = np.argsort(size, kind="stable")
-        for k in range(0, len(order), 4096):
-            self._some(words, order[k : k + 4096], size, out)
-        return out
+        found = [self._some(data, ends[:-1], size, order[k : k + 4096]) for k in range(0, len(order), 4096)]
+        symbols, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        return _lists(symbols, counts).take(pa.array(np.argsort(order)))
 
-    def _some(self, words: list[bytes], rows: np.ndarray, size: np.ndarray, out: list[bytes]) -> None:
+    def _some(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, width = size[rows], int(size[rows].max()) + 1
         owner = np.repeat(np.arange(len(rows)), n)
         column = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        byte = np.frombuffer(b"".join(words[r] for r in rows.tolist()), np.uint8)
+        byte = data[np.repeat(start[rows], n) + column]
         symbols = np.full((len(rows), width), -1, np.int64)
         symbols[owner, column] = np.where(column == n[owner] - 1, self.final[byte], self.inner[byte])
         slots = self._find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(rows), width - 1)
@@ -113,62 +118,134 @@ class Merges:
                 slots[r, p] = self._find(symbols[r, p], symbols[r, p + 1])
             rank[live] = np.where(slots[live] >= 0, self.rank[slots[live]], none)
         real = symbols >= 0
-        ids, end = symbols[real].astype("<u4").tobytes(), 0
-        for r, count in zip(rows.tolist(), (4 * real.sum(axis=1)).tolist(), strict=True):
-            out[r] = ids[end : end + count]
-            end += count
+        return symbols[real].astype(np.uint32), real.sum(axis=1)
+
+
+def _content(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of words (binary) and where each begins, with the end of the last."""
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, ends - ends[0]
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+
+def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(_ends(counts)), pa.py_buffer(data)])
 
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]{0,4})")  # letters, then marks without an apostrophe
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(_ends(counts)), pa.array(values, pa.uint32()))
+
+
+class Kept:
+    """Ids of distinct words: what was encoded before is looked up, up to a bound in bytes."""
+
+    def __init__(self, encode: Callable[[pa.Array], pa.ListArray]):
+        self._encode = encode
+        self._words, self._ids = pa.array([], pa.binary()), pa.array([], pa.list_(pa.uint32()))
+
+    def ids(self, words: pa.Array) -> pa.ListArray:
+        at = pc.index_in(words, value_set=self._words)
+        new = words.filter(at.is_null())
+        if len(new):
+            place = np.array(at.fill_null(-1))
+            place[place < 0] = len(self._words) + np.arange(len(new))
+            at = pa.array(place)
+            self._words = pa.concat_arrays([self._words, new])
+            self._ids = pa.concat_arrays([self._ids, self._encode(new)])
+        ids = self._ids.take(at)
+        if self._words.nbytes + self._ids.nbytes > CACHE:  # the words at hand stay
+            self._words, self._ids = words, ids
+        return ids
 
 
 class WordIds:
     """Ids of texts by a tokenizer that lower-cases and drops white space: words are encoded once and kept, up to a bound.
 
-    Pre-tokens never cross white space, and letters and marks are pre-tokens of their own. Words of Latin letters, with
-    marks behind, take their letters' ids from the merges directly and the marks' from the tokenizer; all other words go
-    to the tokenizer whole.
+    Pre-tokens never cross white space, and letters and marks are pre-tokens of their own. Words of Latin letters, with up
+    to four ASCII marks behind, but no apostrophe, take their letters' ids from the merges directly and the marks' from the
+    tokenizer; all other words go to the tokenizer whole.
     """
 
+    #: what a byte of UTF-8 may be in such a word: 1 in a letter (ASCII, and À to ÿ without the signs × and ÷), 2 a mark
+    KIND = np.zeros(256, np.uint8)
+    KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = 1
+    KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+    LOWER = np.arange(256, dtype=np.uint8)
+    LOWER[[*range(65, 91), *range(0x80, 0x9F)]] += 32
+
     def __init__(self, path: str):
-        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
-        self._known: dict[bytes, bytes] = {}
-        self._marks: dict[str, bytes] = {"": b""}
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        known = self._known
-        if len(known) > CACHE:
-            known.clear()
-        plain: list[tuple[bytes, bytes, str]] = []
-        others = []
-        match = _PLAIN.fullmatch
-        for w in words.difference(known):
-            if m := match(w.decode()):
-                letters, marks = m.groups()
-                if marks not in self._marks:
-                    self._marks[marks] = self._whole([marks])[0]
-                plain.append((w, letters.lower().encode(), marks))
-            else:
-                others.append(w)
-        cores = list({core for _, core, _ in plain}.difference(known))
-        known.update(zip(cores, self.merges.ids(cores), strict=True))
-        known.update([(w, known[core] + self._marks[marks]) for w, core, marks in plain])
-        for k in range(0, len(others), 4096):
-            part = others[k : k + 4096]
-            known.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
+        self.tokenizer = Tokenizer.from_file(path)
+        self._cores, self._known = Kept(Merges(path).ids), Kept(self._encode)
+
+    def _whole(self, words: pa.Array) -> pa.ListArray:
+        words = words.cast(pa.string()).to_pylist()
+        found: list[list[int]] = []
+        for k in range(0, len(words), 4096):
+            found += [e.ids for e in self.tokenizer.encode_batch(words[k : k + 4096], add_special_tokens=False)]
+        return pa.array(found, pa.list_(pa.uint32()))
+
+    def _encode(self, words: pa.Array) -> pa.ListArray:
+        data, ends = _content(words)
+        start, size = ends[:-1], np.diff(ends)
+        kind = self.KIND[data]
+        before = [np.concatenate([[0], np.cumsum(kind == k)]) for k in (1, 2)]
+        letters, marks = (b[ends[1:]] - b[start] for b in before)
+        plain = (letters + marks == size) & (letters > 0) & (letters <= 64) & (marks <= 4)
+        plain &= before[0][np.minimum(start + letters, ends[1:])] - before[0][start] == letters  # letters come first
+        inside = np.repeat(plain, size)
+        cores = _binary(self.LOWER[data[inside & (kind == 1)]], letters[plain]).dictionary_encode()
+        behind = _binary(data[inside & (kind == 2)], marks[plain]).dictionary_encode()
+        parts = pa.concat_arrays([self._cores.ids(cores.dictionary), self._whole(behind.dictionary)])
+        pairs = np.column_stack([cores.indices.to_numpy(), behind.indices.to_numpy() + len(cores.dictionary)])
+        ids = parts.take(pa.array(pairs.ravel()))
+        ids = pa.ListArray.from_arrays(ids.offsets[::2], ids.values)
+        ids = pa.concat_arrays([ids, self._whole(words.filter(pa.array(~plain)))])
+        return ids.take(pa.array(np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]))))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts (strings without NULL), one after another, and where each text's begin, with the last's end."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().cast(pa.binary()).dictionary_encode()
+        ids = self._known.ids(words.dictionary).take(words.indices)
+        ends = split.offsets.to_numpy().astype(np.int64)
+        return ids.flatten().to_numpy(), ids.offsets.to_numpy()[ends - ends[0]]
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts."""
-        words = [t.encode().split() for t in texts]
-        self.learn(set().union(*words))
-        for w in words:
-            yield b"".join(map(self._known.__getitem__, w))
-
-    def ids(self, text: str) -> bytes:
-        return next(self.batch([text]))
+        ids, ends = self.texts(pa.array(texts, pa.string()))
+        for a, b in pairwise(ends.tolist()):
+            yield ids[a:b].astype("<u4").tobytes()
+
+
+def _steps(batches: Iterator[pa.RecordBatch], most: int = STEP) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The (doc_id, text) of batches anew in parts of about `most` bytes of text, whole texts each; NULL texts are empty."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> tuple[pa.Array, pa.Array]:
+        doc_id, text = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+        held.clear()
+        text.validate(full=True)  # no broken UTF-8
+        return doc_id, text.fill_null("").cast(pa.string())
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        filled = size + np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+        cuts = np.flatnonzero(np.diff(filled // most, prepend=0)).tolist()
+        for k, (a, b) in enumerate(pairwise([0, *cuts, batch.num_rows])):
+            if k and held:
+                yield joined()
+            if b > a:
+                held.append(batch.slice(a, b - a))
+        size = int(filled[-1]) % most
+    if held:
+        yield joined()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -178,17 +255,16 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for doc_ids, texts in _steps(batches):
             rows = []
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.batch(texts), strict=True):
-                ids += end
+            found, ends = words.texts(texts)
+            for doc_id, (a, b) in zip(doc_ids.to_pylist(), pairwise(ends.tolist()), strict=True):
+                ids = found[a:b].astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            if rows:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return map_arrow(texts, run, "doc_id long, piece int, start long, length long, ids_crc32 long")

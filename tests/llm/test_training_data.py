@@ -4,10 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
+from itertools import batched
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -350,6 +353,51 @@ def test_word_ids_equal_the_tokenizers():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_encoded_many_at_once():
+    rng, calls = random.Random(9), 0
+    letters = "abcdeé"
+    texts = [" ".join("".join(rng.choices(letters, k=9)) + rng.choice(["", ",", "."]) for _ in range(200)) for _ in range(100)]
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event.endswith("call")
+
+    words = packing.WordIds(WORD_TOKENIZER)
+    sys.setprofile(count)
+    try:
+        got = list(words.batch(texts))
+    finally:
+        sys.setprofile(None)
+    assert calls < 10_000  # of 20,000 words, nearly all distinct: no Python call for each
+    tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoded_words_are_kept_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 3000)
+    words, tokenizer, rng = packing.WordIds(WORD_TOKENIZER), Tokenizer.from_file(WORD_TOKENIZER), random.Random(10)
+    sizes = []
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["it's", "Été,", "x" * 70, "", "\u4e2d"]) + rng.choice("abcdefgh") * 3 for _ in range(20)) for _ in range(3)]
+        for text, ids in zip(texts, words.batch(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        kept = words._known
+        sizes.append(kept._words.nbytes + kept._ids.nbytes)
+    assert 0 < max(sizes) <= 3 * 3000 and len(set(sizes)) > 1
+
+
+def test_texts_are_encoded_in_steps_of_bytes():
+    rng = random.Random(11)
+    rows = [(k, rng.choice([None, "", "é" * rng.randint(1, 30), "x" * 250])) for k in range(200)]
+    for width in (1, 7, 200):
+        columns = [zip(*part, strict=True) for part in batched(rows, width)]
+        batches = [pa.record_batch([pa.array(i, pa.int64()), pa.array(t, pa.string())], ["doc_id", "text"]) for i, t in columns]
+        steps = [(i.to_pylist(), t.to_pylist()) for i, t in packing._steps(iter([batches[0].slice(0, 0), *batches]), most=100)]
+        assert [r for i, t in steps for r in zip(i, t, strict=True)] == [(k, t or "") for k, t in rows]
+        assert all(t and sum(len(x.encode()) for x in t[1:]) < 100 for _, t in steps) and len(steps) > 20
+    assert list(packing._steps(iter([]))) == []
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 
