@@ -150,8 +150,7 @@ def lenient_log(spark, d):
     line = F.when(F.col("k") % 10 == 0, "").when(F.col("k") % 10 == 1, '{"model": "m0", ').otherwise(
         F.to_json(F.struct("*"))
     )
-    path = shared_dir(spark, "s5")
-    _results(spark, d).select(line.alias("value")).write.text(path)
+    path = O.write_lines(_results(spark, d).select(line.alias("value")), shared_dir(spark, "s5"))
     return _log_counts(I.read_log(spark, path))
 
 

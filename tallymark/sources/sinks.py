@@ -34,6 +34,12 @@ def write_json(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> st
     return path
 
 
+def write_lines(df: DataFrame, path: str) -> str:
+    """A column of lines as they are, gzipped, in files of bounded length."""
+    df.write.mode("overwrite").options(maxRecordsPerFile=ROWS_PER_FILE, **GZIPPED).text(path)
+    return path
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """An intermediate table in Parquet, for rows that several writes or reads need."""
     _laid_out(df, partition_by).write.mode("overwrite").partitionBy(*partition_by).option("compression", "zstd").parquet(path)

@@ -1,5 +1,6 @@
 """Readers, writers and streaming jobs on small files."""
 
+import gzip
 import json
 
 import pytest
@@ -203,6 +204,24 @@ def test_json_logs_are_small_gzip_files(spark, tmp_path, monkeypatch):
         assert back.count() == 1000 and {r.problem_id for r in back.collect()} == want
 
 
+@pytest.mark.parametrize("name", ["s5_lenient_log"])
+def test_lenient_logs_are_small_gzip_files(spark, tmp_path, monkeypatch, name):
+    from tallymark.plans import QUERIES, file_plans
+
+    monkeypatch.setattr(file_plans, "shared_dir", lambda _, folder: str(tmp_path / folder))
+    monkeypatch.setattr(O, "ROWS_PER_FILE", 1000)
+    orders = spark.range(2000, numPartitions=1).selectExpr("id AS o_orderkey", "id % 97 AS o_custkey", "cast(id * 3 AS double) AS o_totalprice")
+    orders.write.parquet(str(tmp_path / "in" / "orders.parquet"))
+    counts = QUERIES[name](spark, str(tmp_path / "in")).collect()
+    # a tenth of the lines is blank, a tenth is cut off
+    n = {r.reason: r.n for r in counts} if name == "s5_reject_counts" else {"lines": sum(r.n for r in counts) * 10 // 8}
+    assert n["lines"] == 12_000 and n.get("blank", 1200) == n.get("not_json", 1200) == 1200
+    files = [*tmp_path.rglob("part-*.txt*")]
+    lines = [len(gzip.open(f).read().split(b"\n")) - 1 for f in files if f.suffix == ".gz"]
+    assert len(lines) == len(files) and max(lines) <= 1000
+    assert sum(lines) == 12_000
+
+
 def test_log_of_the_stream_is_narrow(spark, sf_dir):
     from tallymark.plans.log_plans import _recorded, table
 
