@@ -167,7 +167,7 @@ def log_reject_counts(spark, d):
     )
     line = F.when(F.col("k") % 10 == 0, "").when(F.col("k") % 10 == 1, '{"model": "m0", ').otherwise(F.to_json(F.struct("*")))
     path, rejects = shared_dir(spark, "s5-rejects"), Rejects()
-    rows.select(line.alias("value")).write.text(f"{path}/log")
+    O.write_lines(rows.select(line.alias("value")), f"{path}/log")
     O.write_table(I.read_method_log(spark, f"{path}/log", rejects=rejects), f"{path}/kept")
     return rejects.table(spark)
 

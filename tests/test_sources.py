@@ -204,7 +204,7 @@ def test_json_logs_are_small_gzip_files(spark, tmp_path, monkeypatch):
         assert back.count() == 1000 and {r.problem_id for r in back.collect()} == want
 
 
-@pytest.mark.parametrize("name", ["s5_lenient_log"])
+@pytest.mark.parametrize("name", ["s5_lenient_log", "s5_reject_counts"])
 def test_lenient_logs_are_small_gzip_files(spark, tmp_path, monkeypatch, name):
     from tallymark.plans import QUERIES, file_plans
 
