@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed as V
@@ -15,12 +15,14 @@ from .base import col, find_all, let, plain_text, rewrite_matches, strip
 _OPEN, _CLOSE, _EQUALS = "⟦", "⟧", "⟨"
 EXPRESSIONS = "ARRAY<STRUCT<left: DOUBLE, op: STRING, right: DOUBLE, claimed: DOUBLE, full_match: STRING>>"
 # The looks ahead at the start of the patterns take nothing away: they only end most tries at their first character.
-_BINARY = rf"(?=\d)(?<![\d/]){V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*=\s*{V.OPERAND}"
+# `V.OPERAND` that gives nothing back: a shorter number would be followed by a digit or a point, which no pattern wants.
+_OPERAND = r"(\d++(?:\.\d++)?+)"
+_BINARY = rf"(?=\d)(?<![\d/]){_OPERAND}\s*+{V.OPERATOR}\s*+{_OPERAND}\s*+=\s*+{_OPERAND}"
 _BINARY_TOKEN = f"{_OPEN}$1|$2|$3|$4|$0{_CLOSE}"
 _NONZERO_DIVISION = r"(?!\d+(?:\.\d+)?\s*[/÷]\s*0+(?:\.0+)?\s*[+\-*/×÷])"
 _CHAIN = (
     rf"(?=\d)(?<![\d/]){_NONZERO_DIVISION}"
-    rf"({V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*{V.OPERATOR}\s*{V.OPERAND}\s*)=(\s*{V.OPERAND})"
+    rf"({_OPERAND}\s*+{V.OPERATOR}\s*+{_OPERAND}\s*+{V.OPERATOR}\s*+{_OPERAND}\s*+)=(\s*+{_OPERAND})"
 )
 _UNIT_AFTER_DIGIT = r"(?i)(?=\s+[a-z][aeiloptu])" + V.UNIT_AFTER_DIGIT
 _CHAIN_TOKEN = f"{_OPEN}$2|$3|$4|$5|$6|$8|$1{_EQUALS}$7{_CLOSE}"
@@ -154,13 +156,21 @@ def readable(text: str | Column) -> Column:
     return expand_fractions(plain_arithmetic(without(col(text), _OPEN + _CLOSE + _EQUALS)))
 
 
-def expressions_of_plain(plain: Column) -> Column:
-    """Expressions of a readable text."""
+def tokens_of_plain(plain: Column) -> Column:
+    """The expressions of a readable text, each as its parts joined by bars."""
     marked = F.regexp_replace(F.regexp_replace(plain, _CHAIN, _CHAIN_TOKEN), _BINARY, _BINARY_TOKEN)
-    tokens = find_all(marked, f"{_OPEN}([^{_CLOSE}]*){_CLOSE}", 1)
+    return find_all(marked, f"{_OPEN}([^{_CLOSE}]*){_CLOSE}", 1)
+
+
+def _expressions_of_tokens(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda k: let(F.split(k, r"\|"), _expressions_of)))
 
 
+def expressions_of_plain(plain: Column) -> Column:
+    """Expressions of a readable text."""
+    return _expressions_of_tokens(tokens_of_plain(plain))
+
+
 def expressions_in(text: str | Column, names: str | Column | None = None) -> Column:
     """All `a op b = c` and `a op b op c = d` of a text, in order. ARRAY<STRUCT<left,op,right,claimed,full_match>>."""
 
@@ -172,6 +182,46 @@ def expressions_in(text: str | Column, names: str | Column | None = None) -> Col
     return let(col(text), lambda t: F.when(t.contains("="), found(t)).otherwise(nothing))
 
 
+def _near(a: Column, b: Column, tolerance: float) -> Column:
+    return F.abs(a - b) <= tolerance
+
+
+def _wrong(e, value: Column, tolerance: float) -> Column:
+    return F.coalesce(~_near(value, e["claimed"], tolerance), F.lit(False))
+
+
+def _repeats(e, before, tolerance: float) -> Column:
+    """An expression uses an operand of the one before it once more."""
+    reused = _near(e["right"], before["right"], tolerance) | _near(e["right"], before["left"], tolerance)
+    return (e["op"] == before["op"]) & _near(e["left"], before["claimed"], tolerance) & reused
+
+
+def _may_repeat(e, value: Column) -> Column:
+    return e["op"].isin("*", "/") & value.isNotNull()
+
+
+def _verdict(e, claimed_before: Column, value: Column, wrong: Column, twice: Column) -> Column:
+    status = F.when(value.isNull(), "error").when(twice, "double_count").when(wrong, "corrected").otherwise("correct")
+    carried = (
+        F.when(value.isNull(), F.lit(None).cast("double"))
+        .when(twice, claimed_before)
+        .when(wrong, value)
+        .otherwise(e["claimed"])
+    )
+    return F.struct(
+        e["left"].alias("left"),
+        e["op"].alias("op"),
+        e["right"].alias("right"),
+        e["claimed"].alias("claimed"),
+        e["full_match"].alias("full_match"),
+        e["left"].alias("resolved_left"),
+        e["right"].alias("resolved_right"),
+        F.round(value, 10).alias("computed"),
+        status.alias("status"),
+        F.round(carried, 10).alias("corrected_value"),
+    )
+
+
 def verify(expressions: str | Column, tolerance: float = V.VERIFY_TOLERANCE) -> Column:
     """Check each expression and say what to carry on.
 
@@ -179,22 +229,13 @@ def verify(expressions: str | Column, tolerance: float = V.VERIFY_TOLERANCE) ->
     flags come from an ordered fold; everything else is element-wise.
     """
 
-    def near(a: Column, b: Column) -> Column:
-        return F.abs(a - b) <= tolerance
-
     def checked(es: Column, e: Column, i: Column) -> Column:
         """An expression's value, whether it is wrong and whether it repeats an operand of the one before."""
 
-        def repeats(before: Column) -> Column:
-            reused = near(e["right"], before["right"]) | near(e["right"], before["left"])
-            return (e["op"] == before["op"]) & near(e["left"], before["claimed"]) & reused
-
         def facts(value: Column) -> Column:
-            suspect = F.when((i > 0) & e["op"].isin("*", "/") & value.isNotNull(), let(F.get(es, i - 1), repeats))
+            suspect = F.when((i > 0) & _may_repeat(e, value), let(F.get(es, i - 1), lambda before: _repeats(e, before, tolerance)))
             return F.struct(
-                value.alias("value"),
-                F.coalesce(~near(value, e["claimed"]), F.lit(False)).alias("wrong"),
-                F.coalesce(suspect, F.lit(False)).alias("suspect"),
+                value.alias("value"), _wrong(e, value, tolerance).alias("wrong"), F.coalesce(suspect, F.lit(False)).alias("suspect")
             )
 
         return let(evaluate(e["left"], e["op"], e["right"]), facts)
@@ -216,31 +257,7 @@ def verify(expressions: str | Column, tolerance: float = V.VERIFY_TOLERANCE) ->
         return F.when(F.exists(facts, lambda s: s["suspect"]), F.aggregate(facts, start, step, lambda acc: acc["all"]))
 
     def entry(es: Column, twice: Column, e: Column, i: Column, fact: Column) -> Column:
-        value = fact["value"]
-        status = (
-            F.when(value.isNull(), "error")
-            .when(twice, "double_count")
-            .when(fact["wrong"], "corrected")
-            .otherwise("correct")
-        )
-        carried = (
-            F.when(value.isNull(), F.lit(None).cast("double"))
-            .when(twice, F.get(es, i - 1)["claimed"])
-            .when(fact["wrong"], value)
-            .otherwise(e["claimed"])
-        )
-        return F.struct(
-            e["left"].alias("left"),
-            e["op"].alias("op"),
-            e["right"].alias("right"),
-            e["claimed"].alias("claimed"),
-            e["full_match"].alias("full_match"),
-            e["left"].alias("resolved_left"),
-            e["right"].alias("resolved_right"),
-            F.round(value, 10).alias("computed"),
-            status.alias("status"),
-            F.round(carried, 10).alias("corrected_value"),
-        )
+        return _verdict(e, F.get(es, i - 1)["claimed"], fact["value"], fact["wrong"], twice)
 
     def entries(es: Column, facts: Column, fs: Column) -> Column:
         return F.transform(es, lambda e, i: let(F.get(facts, i), lambda fact: entry(es, F.get(fs, i), e, i, fact)))
@@ -252,6 +269,47 @@ def verify(expressions: str | Column, tolerance: float = V.VERIFY_TOLERANCE) ->
     return let(col(expressions), verified)
 
 
+#: Texts with at most so many expressions are verified by compiled columns.
+FEW = 4
+
+
+def with_verified(df: DataFrame, plain: str, tolerance: float = V.VERIFY_TOLERANCE) -> DataFrame:
+    """Adds `log`, the verified expressions of a readable text (none for NULL), and `terminal`, their `chain_terminal` without
+    a total where it is known already.
+
+    `log` is what `verify` gives. Lambdas are interpreted row by row; texts of at most `FEW` expressions without a chain
+    have the same rules written out, which is compiled, and what they share is computed once: none of it may stand in a
+    branch. A place beyond the last expression is NULL throughout. The others go through `verify`.
+    """
+    tokens = df.select("*", tokens_of_plain(F.col(plain)).alias("_tokens"))
+    short = (F.size("_tokens") <= FEW) & ~F.array_join("_tokens", "").contains(_EQUALS)
+    tokens = tokens.select("*", F.coalesce(F.when(short, F.col("_tokens")), F.when(F.col("_tokens").isNull(), F.array().cast("array<string>"))).alias("_short"))
+    parts = [F.split(F.get("_short", F.lit(i)), r"\|") for i in range(FEW)]
+    es = [
+        {"left": F.get(p, F.lit(0)).cast("double"), "op": _operator(F.get(p, F.lit(1))), "right": F.get(p, F.lit(2)).cast("double"),
+         "claimed": F.get(p, F.lit(3)).cast("double"), "full_match": F.get(p, F.lit(4))}
+        for p in parts
+    ]
+    values = [evaluate(e["left"], e["op"], e["right"]) for e in es]
+    wrong = [_wrong(e, v, tolerance) for e, v in zip(es, values, strict=True)]
+    twice, verdicts, goes_on = [F.lit(False)], [], []
+    for i, e in enumerate(es):
+        if i:  # a corrected predecessor clears the suspicion
+            suspect = F.coalesce(_may_repeat(e, values[i]) & _repeats(e, es[i - 1], tolerance), F.lit(False))
+            twice.append(suspect & ~(wrong[i - 1] & ~twice[i - 1]))
+        earlier = [~twice[j] & _near(e["left"], es[j]["claimed"], tolerance) for j in range(i)]
+        goes_on.append(~twice[i] & functools.reduce(Column.__or__, earlier, F.lit(False)))
+        verdicts.append(_verdict(e, es[i - 1]["claimed"] if i else F.lit(None).cast("double"), values[i], wrong[i], twice[i]))
+    n = F.size("_short")
+    latest = functools.reduce(lambda found, i: found.when(goes_on[i], i), range(FEW - 2, 0, -1), F.when(goes_on[-1], FEW - 1)).otherwise(0)
+    longer = verify(_expressions_of_tokens(F.col("_tokens")), tolerance)
+    return tokens.select(
+        *df.columns,
+        F.coalesce(F.slice(F.array(*verdicts), F.lit(1), n), longer).alias("log"),
+        F.when(n <= 1, n - 1).when(n > 1, latest).alias("terminal"),
+    )
+
+
 def chain_terminal(
     verified: str | Column, current_total: str | Column, tolerance: float = V.VERIFY_TOLERANCE
 ) -> Column:
@@ -285,3 +343,14 @@ def chain_terminal(
         return F.when(F.size(log) <= 1, F.size(log) - 1).otherwise(let(F.array_intersect(lefts, carried), latest))
 
     return let(col(verified), index)
+
+
+def terminal_with_total(
+    verified: Column, terminal: Column, current_total: Column, tolerance: float = V.VERIFY_TOLERANCE
+) -> Column:
+    """`chain_terminal` with a total, from the one without it: only expressions behind that one are looked at."""
+    back = F.sequence(F.size(verified) - 1, terminal + 1, F.lit(-1))
+    on_total = lambda e: (e["status"] != "double_count") & F.coalesce(_near(e["left"], current_total, tolerance), F.lit(False))
+    step = lambda hit, i: F.when(hit >= 0, hit).when(on_total(F.get(verified, i)), i).otherwise(hit)
+    later = (terminal < F.size(verified) - 1) & current_total.isNotNull()
+    return F.when(later, F.greatest(F.aggregate(back, F.lit(-1), step), terminal)).otherwise(terminal)

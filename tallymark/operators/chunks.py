@@ -25,7 +25,7 @@ NAMES = "ARRAY<STRUCT<name: STRING, value: DOUBLE>>"
 RECORD = (
     "STRUCT<chunk_idx: INT, chunk_text: STRING, slm_response: STRING, "
     f"verification_log: ARRAY<{VERIFICATION}>, answer_tag: DOUBLE, extraction_method: STRING, "
-    f"num_retries: INT, chunk_value: DOUBLE, names_before: {NAMES}, names_after: {NAMES}>"
+    "num_retries: INT, chunk_value: DOUBLE>"
 )
 
 
@@ -54,16 +54,19 @@ def explode_chunks(planned: DataFrame) -> DataFrame:
 
 
 def parse_attempts(df: DataFrame) -> DataFrame:
-    """Adds plain (the readable text, NULL where the response is it already or has no equals sign), exprs and tag to
-    recorded attempts, and the name of the chunk's value: all that a response says by itself, found row by row."""
+    """Adds to recorded attempts all that a response says by itself, found row by row: plain (the readable text, NULL where the
+    response is it already or has no equals sign), log (its expressions, verified), terminal (where their chain ends, if
+    known), tag, and named (a name may stand in it: every name has an underscore)."""
     parsed = df.select("*", F.when(F.col("response").contains("="), M.readable("response")).alias("_plain"))
-    nothing = F.array().cast(M.EXPRESSIONS)
-    return parsed.select(
+    verified = M.with_verified(parsed, "_plain")
+    text = F.coalesce("_plain", "response")
+    return verified.select(
         *df.columns,
         F.when(F.col("_plain") != F.col("response"), F.col("_plain")).alias("plain"),
-        F.coalesce(M.expressions_of_plain(F.col("_plain")), nothing).alias("exprs"),
+        "log",
+        "terminal",
         A.answer_tag("response").alias("tag"),
-        C.variable_name("clause_text", "chunk_idx").alias("value_name"),
+        F.coalesce(text.contains("=") & text.contains("_"), F.lit(False)).alias("named"),
     )
 
 
@@ -73,8 +76,7 @@ def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ())
     Expects chunk_idx, attempt, clause_text and response; `carry` columns are constant per problem. A chunk is what has
     one chunk_idx; its text is that of its first attempt. Attempts are parsed before the shuffle (`parse_attempts`).
     """
-    chunk = ("clause_text", "value_name")
-    fields = ("chunk_idx", "attempt", *chunk, "response", "plain", "exprs", "tag")
+    fields = ("chunk_idx", "attempt", "clause_text", "response", "plain", "log", "terminal", "tag", "named")
     rows = parse_attempts(df).groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in carry],
         F.sort_array(F.collect_list(F.struct(*fields))).alias("_rows"),
@@ -84,56 +86,58 @@ def nest_attempts(df: DataFrame, keys: Sequence[str], carry: Sequence[str] = ())
         return let(F.filter("_rows", lambda r: r["chunk_idx"].eqNullSafe(head)), lambda mine: of_chunk(head, mine))
 
     def of_chunk(head: Column, mine: Column) -> Column:
-        return F.struct(
-            head.alias("chunk_idx"),
-            *[F.get(mine, F.lit(0))[c].alias(c) for c in chunk],
-            F.transform(mine, lambda r: F.struct(*[r[c].alias(c) for c in fields if c not in chunk and c != "chunk_idx"])).alias("attempts"),
-        )
+        return F.struct(head.alias("chunk_idx"), F.get(mine, F.lit(0))["clause_text"].alias("clause_text"), mine.alias("attempts"))
 
-    heads = F.array_distinct(F.transform("_rows", lambda r: r["chunk_idx"]))
+    heads = F.array_distinct(F.col("_rows.chunk_idx"))
     return rows.select(*keys, *carry, F.transform(heads, nested).alias("chunks"))
 
 
-CHOSEN = f"STRUCT<response: STRING, exprs: {M.EXPRESSIONS}, tag: DOUBLE, usable: BOOLEAN, retries: INT>"
+CHOSEN = f"STRUCT<response: STRING, log: ARRAY<{VERIFICATION}>, terminal: INT, tag: DOUBLE, usable: BOOLEAN, retries: INT>"
 
 
 def choose_attempt(attempts: str | Column, names: Column) -> Column:
     """First attempt with an expression or an answer tag, else the last one; attempts after the first usable one are not
-    looked at. STRUCT<response, exprs, tag, usable, retries>.
+    looked at. STRUCT<response, log, terminal, tag, usable, retries>.
 
     Attempts are parsed (`parse_attempts`); one is read again only where a known name occurs in it.
     """
     nothing = F.lit(None)
-    start = F.struct(nothing.alias("response"), nothing.alias("exprs"), nothing.alias("tag"), F.lit(False).alias("usable"), F.lit(0).alias("retries"))
+    start = F.struct(
+        nothing.alias("response"), nothing.alias("log"), nothing.alias("terminal"), nothing.alias("tag"),
+        F.lit(False).alias("usable"), F.lit(0).alias("retries"),
+    )
 
     def read(tried: Column, a: Column) -> Column:
         text = F.coalesce(a["plain"], a["response"])
-        named = text.contains("=") & F.exists(names, lambda n: text.contains(n["name"]))
-        exprs = F.when(named, M.expressions_of_plain(M.substitute_names(text, names))).otherwise(a["exprs"])
+        known = text.contains("=") & F.exists(names, lambda n: text.contains(n["name"]))
+        again = lambda: let(M.verify(M.expressions_of_plain(M.substitute_names(text, names))), lambda log: judged(log, F.lit(None)))
 
-        def judged(es: Column) -> Column:
-            usable = (F.size(es) > 0) | a["tag"].isNotNull()
-            retries = tried["retries"] + F.when(usable, 0).otherwise(1)
-            return F.struct(a["response"].alias("response"), es.alias("exprs"), a["tag"].alias("tag"), usable.alias("usable"), retries.alias("retries"))
+        def judged(log: Column, terminal: Column) -> Column:
+            usable = (F.size(log) > 0) | a["tag"].isNotNull()
+            return F.struct(
+                a["response"].alias("response"), log.alias("log"), terminal.cast("int").alias("terminal"), a["tag"].alias("tag"),
+                usable.alias("usable"), (tried["retries"] + F.when(usable, 0).otherwise(1)).alias("retries"),
+            )
 
-        return let(exprs, judged)
+        return F.when((F.size(names) > 0) & known, again()).otherwise(judged(a["log"], a["terminal"]))
 
     return F.aggregate(col(attempts), start.cast(CHOSEN), lambda tried, a: F.when(tried["usable"], tried).otherwise(read(tried, a)))
 
 
-def chunk_value(chosen: Column, verified: Column, total: Column) -> Column:
+def chunk_value(chosen: Column, total: Column) -> Column:
     """What a chunk hands on. STRUCT<value, method>.
 
     An answer tag counts unless the last expression repeats an operand; then the verified expressions, then a
     lone tag, then the last number of the response.
     """
+    verified, tag, known = chosen["log"], chosen["tag"], chosen["terminal"]
     final = last(verified)
-    tag = chosen["tag"]
     repeated = F.coalesce(final["status"] == "double_count", F.lit(False))
+    terminal = F.when(known.isNull(), M.chain_terminal(verified, total)).otherwise(M.terminal_with_total(verified, known, total))
     from_log = (
         F.when(repeated, final["corrected_value"])
         .when(tag.isNotNull(), tag)
-        .otherwise(F.get(verified, M.chain_terminal(verified, total))["corrected_value"])
+        .otherwise(F.get(verified, terminal)["corrected_value"])
     )
 
     def with_fallback(value: Column) -> Column:
@@ -153,74 +157,99 @@ def chunk_value(chosen: Column, verified: Column, total: Column) -> Column:
     return let(value, with_fallback)
 
 
-def _remember(names: Column, name: Column, value: Column) -> Column:
-    """Set a name and the running total to a value."""
-    others = F.filter(names, lambda n: (n["name"] != name) & (n["name"] != "current_total"))
+def _remember(names: Column, text: Column, chunk_idx: Column, value: Column) -> Column:
+    """Set the name of a chunk and the running total to the chunk's value, if it has one."""
     pair = lambda n: F.struct(n.alias("name"), value.alias("value"))
-    return F.concat(others, F.array(pair(name), pair(F.lit("current_total"))))
+
+    def named(name: Column) -> Column:
+        others = F.filter(names, lambda n: (n["name"] != name) & (n["name"] != "current_total"))
+        return F.concat(others, F.array(pair(name), pair(F.lit("current_total"))))
+
+    return F.when(value.isNull(), names).otherwise(let(C.variable_name(text, chunk_idx), named))
+
+
+def _no_names() -> Column:
+    return F.array().cast(NAMES)
+
+
+def _names_of(records: Column) -> Column:
+    """The names known after a fold's records."""
+    step = lambda names, r: _remember(names, r["chunk_text"], r["chunk_idx"], r["chunk_value"])
+    return F.aggregate(records, _no_names(), step)
 
 
 def fold_chunks(chunks: str | Column) -> Column:
     """Ordered fold over a problem's chunks. STRUCT<total: DOUBLE, names, logs: ARRAY<log>>."""
-    return let(fold_records(chunks), lambda f: F.struct(f["total"], f["names"], chunk_logs(f["logs"]).alias("logs")))
+    return let(
+        fold_records(chunks),
+        lambda f: F.struct(f["total"], _names_of(f["logs"]).alias("names"), chunk_logs(f["logs"]).alias("logs")),
+    )
 
 
-def chunk_logs(records: Column) -> Column:
-    """The logs of a fold's records: the expressions found, and the names before and after as maps."""
+def chunk_logs(records: Column, contexts: bool = True) -> Column:
+    """The logs of a fold's records: the expressions found, and with `contexts` the names before and after as maps."""
 
-    def log(r: Column) -> Column:
+    def log(r: Column, *context: Column) -> Column:
         return F.struct(
             *[r[c].alias(c) for c in ("chunk_idx", "chunk_text", "slm_response")],
-            F.transform(r["verification_log"], lambda e: e["full_match"]).alias("expressions_found"),
+            r["verification_log"]["full_match"].alias("expressions_found"),
             *[r[c].alias(c) for c in ("verification_log", "answer_tag", "extraction_method", "num_retries", "chunk_value")],
-            F.map_from_entries(r["names_before"]).alias("context_before"),
-            F.map_from_entries(r["names_after"]).alias("context_after"),
+            *context,
         )
 
-    return F.transform(records, log)
+    if not contexts:
+        return F.transform(records, lambda r: log(r))
+
+    # names before the first record and after each one
+    def grown(all_names: Column, r: Column) -> Column:
+        return let(last(all_names), lambda names: F.concat(all_names, F.array(_remember(names, r["chunk_text"], r["chunk_idx"], r["chunk_value"]))))
+
+    def with_maps(all_names: Column) -> Column:
+        known = lambda i, name: F.map_from_entries(F.get(all_names, i)).alias(name)
+        return F.transform(records, lambda r, i: log(r, known(i, "context_before"), known(i + 1, "context_after")))
+
+    return let(F.aggregate(records, F.array(_no_names()), grown), with_maps)
 
 
 def fold_records(chunks: str | Column) -> Column:
-    """The fold itself. STRUCT<total: DOUBLE, names, logs: ARRAY<record>>; a record is a log with names as they are."""
+    """The fold itself. STRUCT<total: DOUBLE, logs: ARRAY<record>>; a record is a log without its names."""
     start = F.struct(
         F.lit(None).cast("double").alias("total"),
-        F.array().cast(NAMES).alias("names"),
+        _no_names().alias("names"),
         F.array().cast(f"ARRAY<{RECORD}>").alias("logs"),
     )
 
-    def step(acc: Column, chunk: Column) -> Column:
-        def verified(chosen: Column) -> Column:
-            return let(M.verify(chosen["exprs"]), lambda log: valued(chosen, log))
-
-        def valued(chosen: Column, log: Column) -> Column:
-            return let(chunk_value(chosen, log, acc["total"]), lambda v: updated(chosen, log, v))
+    def step(by_name: Column, acc: Column, chunk: Column) -> Column:
+        def valued(chosen: Column) -> Column:
+            return let(chunk_value(chosen, acc["total"]), lambda v: recorded(chosen, v))
 
-        def updated(chosen: Column, log: Column, v: Column) -> Column:
-            names = F.when(v["value"].isNull(), acc["names"]).otherwise(_remember(acc["names"], chunk["value_name"], v["value"]))
-            return let(names, lambda ns: recorded(chosen, log, v, ns))
-
-        def recorded(chosen: Column, log: Column, v: Column, names: Column) -> Column:
+        def recorded(chosen: Column, v: Column) -> Column:
             entry = F.struct(
                 chunk["chunk_idx"].cast("int").alias("chunk_idx"),
                 chunk["clause_text"].alias("chunk_text"),
                 chosen["response"].alias("slm_response"),
-                log.alias("verification_log"),
+                chosen["log"].alias("verification_log"),
                 F.when(chosen["usable"], chosen["tag"]).alias("answer_tag"),
                 v["method"].alias("extraction_method"),
                 chosen["retries"].cast("int").alias("num_retries"),
                 v["value"].alias("chunk_value"),
-                acc["names"].alias("names_before"),
-                names.alias("names_after"),
             )
+            names = _remember(acc["names"], chunk["clause_text"], chunk["chunk_idx"], v["value"])
             return F.struct(
                 F.coalesce(v["value"], acc["total"]).alias("total"),
-                names.alias("names"),
+                F.when(by_name, names).otherwise(acc["names"]).alias("names"),
                 F.concat(acc["logs"], F.array(entry)).alias("logs"),
             )
 
-        return let(choose_attempt(chunk["attempts"], acc["names"]), verified)
+        return let(choose_attempt(chunk["attempts"], acc["names"]), valued)
+
+    def folded(ordered: Column) -> Column:
+        # names are kept only where some attempt may use one; a clause that is NULL has a name without an underscore
+        by_name = F.exists(ordered, lambda c: c["clause_text"].isNull() | F.exists(c["attempts"], lambda a: a["named"]))
+        found = lambda acc: F.struct(acc["total"].alias("total"), acc["logs"].alias("logs"))
+        return let(by_name, lambda b: F.aggregate(ordered, start, lambda acc, chunk: step(b, acc, chunk), found))
 
-    return F.aggregate(F.sort_array(col(chunks)), start, step)
+    return let(F.sort_array(col(chunks)), folded)
 
 
 def explode_logs(results: DataFrame) -> DataFrame:
@@ -232,18 +261,18 @@ def explode_logs(results: DataFrame) -> DataFrame:
 
 def count_logs(logs: Column) -> dict[str, Column]:
     """Counters of a problem's nested logs, without exploding them."""
-    verified = F.flatten(F.transform(logs, lambda g: g["verification_log"]))
-    with_method = lambda m: F.size(F.filter(logs, lambda g: g["extraction_method"] == m))
+    statuses = F.flatten(logs["verification_log"])["status"]
+    among = lambda values, x: F.size(values) - F.size(F.array_remove(values, x))
     return {
-        "total_expressions_checked": F.size(verified),
-        "corrections_applied": F.size(F.filter(verified, lambda v: v["status"] == "corrected")),
-        "extraction_failures": with_method("failed"),
-        "unverified_fallbacks": with_method("last_number"),
+        "total_expressions_checked": F.size(statuses),
+        "corrections_applied": among(statuses, "corrected"),
+        "extraction_failures": among(logs["extraction_method"], "failed"),
+        "unverified_fallbacks": among(logs["extraction_method"], "last_number"),
     }
 
 
-def verify_solutions(nested: DataFrame, gold: str = "gold") -> DataFrame:
-    """One result per problem: predicted, correct, counters and chunk_logs."""
+def verify_solutions(nested: DataFrame, gold: str = "gold", contexts: bool = True) -> DataFrame:
+    """One result per problem: predicted, correct, counters and chunk_logs (without their contexts if those are not wanted)."""
     rest = [c for c in nested.columns if c != "chunks"]
     folded = nested.select(*rest, F.size("chunks").alias("num_chunks"), fold_records("chunks").alias("_fold"))
     # counted on the records: a query without the logs does not build them
@@ -251,7 +280,7 @@ def verify_solutions(nested: DataFrame, gold: str = "gold") -> DataFrame:
         *rest,
         "num_chunks",
         plain_text(F.round("_fold.total", 10)).alias("predicted"),
-        chunk_logs(F.col("_fold.logs")).alias("chunk_logs"),
+        chunk_logs(F.col("_fold.logs"), contexts).alias("chunk_logs"),
         *[c.alias(n) for n, c in count_logs(F.col("_fold.logs")).items()],
     )
     return counted.withColumn("correct", A.match_absolute(F.col(gold).cast("string"), "predicted"))

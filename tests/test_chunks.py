@@ -132,3 +132,37 @@ def test_guarded_patterns_find_what_they_found(spark):
     ).collect()
     assert all(r.plain and r.noun is not False for r in rows)
     assert sum(r.noun is True for r in rows) == 20
+
+
+def test_written_out_verification_agrees_with_the_fold(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.functions import arithmetic as M
+
+    texts = [
+        "", "no numbers", "2 + 3 = 5", "6 * 5 = 30\n30 * 5 = 150", "6 * 5 = 31, 31 * 5 = 155, 155 * 5 = 775, 775 / 5 = 155",
+        "2 * 2 = 4, 4 * 2 = 8, 8 * 2 = 16, 16 * 2 = 32", "1 / 0 = 4, 4 / 0 = 1", "3 ÷ 2 = 1.5; 1.5 × 2 = 3.0001", "1 + 1 = 2, 9 - 2 = 7, 2 + 5 = 7",
+        "100 + 1 = 101, 2 + 3 = 5, 7 + 1 = 8", "1 + 2 * 3 = 9", "1 + 2 = 3 + 4 * 5 = 35, 35 - 1 = 34", "12.5.3 + 1 = 6.3", "1/2 + 3 = 4",
+        ", ".join(f"{i} + 1 = {i + 1}" for i in range(M.FEW)), ", ".join(f"{i} * 2 = {i * 2}" for i in range(M.FEW + 3)),
+        "0 * 5 = 0, 0 * 5 = 0, 0 * 5 = 1, 1 * 5 = 5", f"{'9' * 400} + 1 = 2",
+    ]
+    df = spark.createDataFrame([*[(t,) for t in texts], (None,)], "t STRING").select("*", M.readable("t").alias("plain"))
+    nothing = F.array().cast(M.EXPRESSIONS)
+    expected = M.verify(F.coalesce(M.expressions_of_plain(F.col("plain")), nothing))
+    rows = M.with_verified(df, "plain").select("*", expected.alias("want"), M.chain_terminal(expected, F.lit(None).cast("double")).alias("end"))
+    for total in (None, 2.0, 4.0, 7.0, 31.0, 100.0):
+        t = F.lit(total).cast("double")
+        found = rows.select("t", "log", "want", "terminal", "end", M.terminal_with_total(F.col("log"), F.col("terminal"), t).alias("a"), M.chain_terminal("log", t).alias("b")).collect()
+        for r in found:
+            assert str(r.log) == str(r.want), r.t
+            assert r.terminal is None or (r.terminal, r.a) == (r.end, r.b), (r.t, total)
+    assert {r.t for r in found if r.terminal is None} == {t for t in texts if t.startswith(("1 + 2 ", "1/2")) or len(t) > 60 and "0 * 2" in t}
+
+
+def test_names_are_read_in_long_and_late_attempts(spark):
+    sums = ", ".join(f"current_total + {i} = {10 + i}" for i in range(6))
+    r = story(spark, (0, 0, "t", "ANSWER: 10"), (1, 0, "t", "no idea"), (1, 1, "t", sums), (2, 0, "t", "step_2_result - 15 = 0"), gold=0.0)
+    assert [g.chunk_value for g in r.chunk_logs] == [10.0, 15.0, 0.0]
+    assert r.chunk_logs[1].num_retries == 1 and r.chunk_logs[1].expressions_found[5] == "10.0 + 5 = 15"
+    assert (r.correct, r.total_expressions_checked, r.corrections_applied) == (True, 7, 0)
+    assert set(r.chunk_logs[2].context_before) == {"step_1_result", "step_2_result", "current_total"}
