@@ -332,14 +332,15 @@ def fold_sql(*parts: str) -> str:
     return with_views(PROBLEMS, ATTEMPTS, FOLD, *parts)
 
 
-def results(spark, d) -> DataFrame:
+def results(spark, d, contexts: bool = True) -> DataFrame:
     """Verified chunk results of the recorded attempts."""
     nested = K.nest_attempts(attempts(spark, d), ["model", "problem_id"], ["seed", "depth", "gold"])
-    return K.verify_solutions(nested)
+    return K.verify_solutions(nested, contexts=contexts)
 
 
-def chunk_rows(spark, d) -> DataFrame:
-    return K.explode_logs(results(spark, d).select("model", "problem_id", "seed", "depth", "chunk_logs"))
+def chunk_rows(spark, d, contexts: bool = False) -> DataFrame:
+    """One row per chunk; what was known before and after it only where it is asked for."""
+    return K.explode_logs(results(spark, d, contexts).select("model", "problem_id", "seed", "depth", "chunk_logs"))
 
 
 @query(
@@ -401,7 +402,7 @@ def double_count(spark, d):
 )
 def context_update(spark, d):
     total = F.try_element_at("context_after", F.lit("current_total"))
-    return chunk_rows(spark, d).groupBy("model", "chunk_idx").agg(
+    return chunk_rows(spark, d, contexts=True).groupBy("model", "chunk_idx").agg(
         F.count(F.lit(1)).alias("n"), F.count(total).alias("n_known"), F.round(F.sum(total), 2).alias("total")
     )
 

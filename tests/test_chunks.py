@@ -166,3 +166,12 @@ def test_names_are_read_in_long_and_late_attempts(spark):
     assert r.chunk_logs[1].num_retries == 1 and r.chunk_logs[1].expressions_found[5] == "10.0 + 5 = 15"
     assert (r.correct, r.total_expressions_checked, r.corrections_applied) == (True, 7, 0)
     assert set(r.chunk_logs[2].context_before) == {"step_1_result", "step_2_result", "current_total"}
+
+
+def test_queries_build_contexts_only_where_they_read_them(spark, sf_dir):
+    from tallymark.plans import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" in plan("x37_context_update")
+    for name in ("w3_double_count_lookback", "a27_log_rollup", "a23_corrections_table"):
+        assert "map_from_entries" not in plan(name) and "names_before" not in plan(name)
