@@ -224,6 +224,15 @@ _ATTEMPTS = "CASE WHEN h IN (11, 13) THEN 3 WHEN h % 6 = 0 THEN 2 ELSE 1 END"
 _CLAUSE = "'Store ' || k || ' gets ' || q1 || ' items.'"
 
 
+def _shown(j: str) -> str:
+    """The running total shown after step j, from 0."""
+    return f"if({j} + 1 >= wrong_from, 2 * vals[{j}] + 1, vals[{j}])"
+
+
+def _step(j: str) -> str:
+    return f"if({j} = 0, 0, {_shown(f'{j} - 1')}) || ' + ' || qs[{j}] || ' = ' || {_shown(j)}"
+
+
 def attempts(spark, d) -> DataFrame:
     """One row per recorded attempt: model, problem_id, seed, depth, gold, chunk_idx, clause_text, attempt, response."""
     models = ", ".join(f"named_struct('model', '{m}', 'model_idx', {i})" for i, m in enumerate(MODELS))
@@ -232,18 +241,12 @@ def attempts(spark, d) -> DataFrame:
         .selectExpr("k", "problem_id", "seed", "depth", "gold", "qs", "vals", f"inline(array({models}))")
         .withColumn("h", F.expr(_CHUNK_HASH))
         .withColumn("wrong_from", F.expr(_WRONG))
-        .withColumn("shown", F.expr("transform(vals, (x, j) -> if(j + 1 >= wrong_from, 2 * x + 1, x))"))
         .withColumn("c", F.expr("explode(sequence(0, cast((depth - 1) div 2 as int)))"))
         .withColumn("last", F.expr("least(2 * c + 2, depth)"))
-        .withColumn("n", F.expr("shown[last - 1]"))
+        .withColumn("n", F.expr(_shown("last - 1")))
         .withColumn("q1", F.expr("qs[2 * c]"))
-        .withColumn(
-            "w",
-            F.expr(
-                "array_join(transform(sequence(2 * c, last - 1), j -> "
-                f"if(j = 0, 0, get(shown, j - 1)) || ' + ' || qs[j] || ' = ' || shown[j]), {NL})"
-            ),
-        )
+        # a chunk has one or two steps
+        .withColumn("w", F.expr(f"array_join(array({_step('2 * c')}, CASE WHEN 2 * c + 1 < last THEN {_step('2 * c + 1')} END), {NL})"))
         .withColumn("a", F.expr(f"explode(sequence(0, {_ATTEMPTS} - 1))"))
         .select(
             "model", "problem_id", "seed", "depth", "gold", F.col("c").alias("chunk_idx"), F.expr(_CLAUSE).alias("clause_text"),

@@ -7,6 +7,8 @@ Everything is written with integers, so both engines produce the same text.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +51,17 @@ def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def problems_of(orders: DataFrame) -> DataFrame:
     quantity = _QUANTITY.format(price="cast(floor(o_totalprice) as bigint)", div="div")
+    # depths are 1 to 8: the steps are written out, since a lambda is interpreted step by step
+    steps = range(1, 9)
+    running = ["_q1"]
+    for i in steps[1:]:
+        running.append(f"{running[-1]} + _q{i}")
     return (
         orders
         .withColumn("depth", F.expr("cast(1 + o_custkey % 8 as int)"))
-        .withColumn("qs", F.expr(f"transform(sequence(1, depth), i -> {quantity})"))
-        .withColumn(
-            "vals",
-            F.expr("transform(sequence(1, depth), i -> aggregate(slice(qs, 1, i), 0L, (a, x) -> a + x))"),
-        )
+        .selectExpr("*", *[f"{re.sub(r'\bi\b', str(i), quantity)} AS _q{i}" for i in steps])
+        .withColumn("qs", F.expr(f"slice(array({', '.join(f'_q{i}' for i in steps)}), 1, depth)"))
+        .withColumn("vals", F.expr(f"slice(array({', '.join(running)}), 1, depth)"))
         .withColumnRenamed("o_orderkey", "k")
         .select(
             "k",
